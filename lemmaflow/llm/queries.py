@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
-from . import binary_records, jaccard, line_dedup, packing, quality, url_filter
+from . import binary_records, decontaminate, jaccard, line_dedup, packing, quality, url_filter
 
 #: Rules of the URL filter query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,6 +23,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -53,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_best_fit_packing, op6_url_filter, op8_line_dedup, op9_quality_rules, op10_binary_records)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op4_best_fit_packing, op6_url_filter, op8_line_dedup, op9_quality_rules, op10_binary_records)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
