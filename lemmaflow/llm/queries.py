@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
-from . import binary_records, decontaminate, jaccard, line_dedup, packing, quality, url_filter
+from . import binary_records, decontaminate, jaccard, line_dedup, packing, quality, token_counts, url_filter, warc
 
 #: Rules of the URL filter query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -46,6 +46,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.add_counts(docs, tokenizer_path("piece_bpe_32k.model"), byte_fallback=True).select("doc_id", "n_tokens")
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", F.octet_length("block").cast("long").alias("block_bytes"), F.map_keys("headers").alias("header_names"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs)
@@ -57,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op4_best_fit_packing, op6_url_filter, op8_line_dedup, op9_quality_rules, op10_binary_records)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op4_best_fit_packing, op5_warc_derivatives, op6_url_filter, op7_token_counts, op8_line_dedup, op9_quality_rules, op10_binary_records)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
