@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
-from . import binary_records, decontaminate, jaccard, line_dedup, packing, quality, token_counts, url_filter, warc
+from . import binary_records, decontaminate, jaccard, license_scan, line_dedup, packing, quality, token_counts, url_filter, warc
 
 #: Rules of the URL filter query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -31,6 +31,16 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: 50 to a directory, 20 directories to one above, below language and source. The first of each of these is its licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    top, mid = F.concat_ws("/", "source", "lang"), F.concat(F.lit("d"), F.expr("cast(doc_id div 1000 as string)"))
+    low, name = F.concat(F.lit("e"), F.expr("cast(doc_id div 50 as string)")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.when(F.expr("doc_id % 1000 = 0"), F.concat_ws("/", top, F.lit("LICENSE"))).when(F.expr("doc_id % 200 = 0"), F.concat_ws("/", top, mid, F.lit("LICENSE")))
+    path = path.when(F.expr("doc_id % 25 = 0"), F.concat_ws("/", top, mid, low, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, mid, low, name))
+    return license_scan.scan(docs.withColumn("path", path))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -67,7 +77,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op4_best_fit_packing, op5_warc_derivatives, op6_url_filter, op7_token_counts, op8_line_dedup, op9_quality_rules, op10_binary_records)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_warc_derivatives, op6_url_filter, op7_token_counts, op8_line_dedup, op9_quality_rules, op10_binary_records)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
