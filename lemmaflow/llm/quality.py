@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_TRUSTED = 200_000
 BUCKETS, MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 1 << 14, 50, 50, -0.05
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -96,14 +97,14 @@ def with_hashes(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_hashes", F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)))
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """log(target share / raw share) of each bucket, from counts over all documents."""
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("good_id")).distinct()
-    grams = with_hashes(docs.select(F.col(text_col)), text_col).select(F.explode(ngram_buckets(F.col("_hashes"), buckets)).alias("b"))
-    raw = grams.groupBy("b").agg(F.count("*").alias("raw"))
-    good_docs = with_hashes(docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(trusted, F.col("id") == F.col("good_id"), "left_semi"), text_col)
-    good = good_docs.select(F.explode(ngram_buckets(F.col("_hashes"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("good"))
-    counts = raw.join(good, "b", "left").select("b", "raw", F.coalesce("good", F.lit(0)).alias("good")).collect()  # at most ``buckets`` rows
+def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
+    """log(target share / raw share) of each bucket. The raw counts are of all documents; the target is all labelled good, up to ``max_trusted`` of them
+    (those of the smallest hash of their id), which bounds what is broadcast."""
+    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("good_id")).filter("good_id is not null").distinct()
+    trusted = F.broadcast(trusted.orderBy(F.xxhash64("good_id"), "good_id").limit(max_trusted).withColumn("good", F.lit(1)))
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(trusted, F.col("id") == F.col("good_id"), "left")
+    grams = with_hashes(marked, text_col).select("good", F.explode(ngram_buckets(F.col("_hashes"), buckets)).alias("b"))
+    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # at most ``buckets`` rows
     n_raw, n_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     weights = [0.0] * buckets
     if n_good:
