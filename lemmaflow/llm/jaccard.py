@@ -167,8 +167,9 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
     named_all = prints.join(classes, ["fp1", "fp2"], "left")
     out = named_all.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("class_id"), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), own).alias("component_id"))
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = F.when(linkable, F.col("class_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("class_id"), F.coalesce(F.when(linkable, F.col("component")), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
