@@ -53,3 +53,26 @@ EDGES = "v_edges as materialized (select distinct least(a, b) as src, greatest(a
 CYCLIC = "v_cyc as materialized (select distinct a as src, b as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as b from lineitem where l_quantity >= 45) p where b is not null and a <> b)"
 CORPUS = "v_corpus as (select p_partkey as seq, concat(p_brand, '.', p_type, '.', replace(p_name, ' ', '_')) as full_name from part)"
 LINES = "v_lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)"
+
+#: Heads of the tactics that are made from the parts.
+HEADS = ["rw", "simp only", "exact", "apply", "intro", "cases", "· exact", "rfl"]
+
+
+def tactics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, tactic): a tactic that cites the part's full name, its type and a hypothesis."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_size") % 8 + 1).cast("int"))
+    full = F.concat_ws(".", "p_brand", F.replace("p_type", F.lit(" "), F.lit("_")), F.replace("p_name", F.lit(" "), F.lit("_")))
+    text = F.concat(head, F.lit(" ["), F.replace(full, F.lit("#"), F.lit("")), F.lit(", *] at h"), F.col("p_size").cast("string"), F.lit(" using "), F.col("p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), text.alias("tactic"))
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, before, after): proof states that declare variables, a hypothesis and an instance made from the part."""
+    size = F.col("p_size").cast("string")
+    before = F.concat(F.lit("x y : "), F.col("p_type"), F.lit("\nhk"), size, F.lit(" : "), F.col("p_brand"), F.lit(" = 1\ninst✝ : Mul "), F.col("p_brand"), F.lit("\n⊢ "), F.col("p_name"), F.lit("\n  more"))
+    after = F.when(F.col("p_size") % 5 == 0, "no goals").otherwise(F.concat(F.lit("x z : "), F.col("p_type"), F.lit("\n⊢ "), F.col("p_name"), F.lit("\n\ncase b\n⊢ q")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), before.alias("before"), after.alias("after"))
+
+
+TACTICS = "v_tac as (select p_partkey as seq, concat(['rw', 'simp only', 'exact', 'apply', 'intro', 'cases', '· exact', 'rfl'][p_size % 8 + 1], ' [', replace(concat(p_brand, '.', replace(p_type, ' ', '_'), '.', replace(p_name, ' ', '_')), '#', ''), ', *] at h', p_size, ' using ', p_name) as tactic from part)"
+STATES = "v_st as (select p_partkey as seq, p_size, p_type, p_brand, p_name, concat('x y : ', p_type, chr(10), 'hk', p_size, ' : ', p_brand, ' = 1', chr(10), 'inst✝ : Mul ', p_brand, chr(10), '⊢ ', p_name, chr(10), '  more') as before, case when p_size % 5 = 0 then 'no goals' else concat('x z : ', p_type, chr(10), '⊢ ', p_name, chr(10), chr(10), 'case b', chr(10), '⊢ q') end as after from part)"
