@@ -377,17 +377,18 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(12)
-    item = text(rng, 30)
-    good = [text(rng, 80) for _ in range(30)]
-    texts = [*good, good[3], good[4].replace(good[4].split()[9], "edited"), text(rng, 60) + " " + item + " " + text(rng, 20), "### " * 90, "short"]
+    # Few words, so that the copies hardly change the counts of the raw corpus.
+    some = lambda n: " ".join(rng.choice(WORDS[:40]) for _ in range(n))
+    item, good = text(rng, 30), [some(80) for _ in range(300)]
+    texts = [*good, good[3], good[4] + " edited", some(60) + " " + item + " " + some(20), "### " * 90, "short"]
     docs = frame(spark, [(i, t + ("\nmenu line" if i % 2 else ""), "en", "s", len(t)) for i, t in enumerate(texts)])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    frame(spark, [(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, [(i, 1, 0) for i in range(300)] + [(303, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     frame(spark, [(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == docs.columns, name
-    assert {r.doc_id for r in d.collect()} == set(range(30))
+    assert {r.doc_id for r in d.collect()} == set(range(300))
     assert not any("menu line" in r.text for r in d.collect())
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(30))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(300))
