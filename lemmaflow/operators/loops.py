@@ -128,3 +128,17 @@ def removal_impact(edges: DataFrame, probes: DataFrame) -> DataFrame:
     ok = reduce(DataFrame.union, parts).groupBy("probe").agg(F.count("*").alias("still"))
     out = pairs.join(total, "probe", "left").join(ok, "probe", "left").na.fill(0)
     return out.select(F.col("probe").alias("id"), "descendants", rounded((F.col("descendants") - F.col("still")) / F.greatest("descendants", F.lit(1))).alias("impact"))
+
+
+def distances(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``(start, id, hops)``: shortest distances from each start, all starts in the same rounds."""
+    edges = materialize(edges, "distance-edges")
+    front = materialize(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")), "distance")
+    parts = [front]
+    for hops in range(1, max_rounds):
+        step = front.select("start", F.col("id").alias("src")).join(edges, "src").select("start", F.col("dst").alias("id")).distinct()
+        front = materialize(step.join(reduce(DataFrame.union, parts), ["start", "id"], "left_anti").select("start", "id", F.lit(hops).alias("hops")), "distance")
+        if front.isEmpty():
+            break
+        parts.append(front)
+    return reduce(DataFrame.union, parts)
