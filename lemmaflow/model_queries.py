@@ -113,3 +113,32 @@ def _(s, d):
 @register("ndcg_at_k", "with a as (select quality, row_number() over (order by n_chars desc, doc_id) as r from sc), b as (select quality, row_number() over (order by quality desc, doc_id) as r from sc) select round((select sum(quality / log2(r + 1)) from a where r <= 100) / (select sum(quality / log2(r + 1)) from b where r <= 100), 6) as ndcg", _SCORED)
 def _(s, d):
     return models.ndcg_at_k(_scored(s, d), "quality", "n_chars", "doc_id", 100)
+
+
+@register("baselines", "with r as (select t.id, t.y2, coalesce(max(g.out_degree), 0) as pm, any_value(t.depth) as depth from tg t left join v_edges on dst = t.id left join dg g on g.id = src group by t.id, t.y2), f as (select regr_slope(y2, pm) as s1, regr_intercept(y2, pm) as i1, regr_slope(y2, depth) as s2, regr_intercept(y2, depth) as i2 from r) select round(avg(abs(y2)), 6) as zero_mae, round(avg(abs(y2 - (i1 + s1 * pm))), 6) as parent_max_mae, round(avg(abs(y2 - (i2 + s2 * depth))), 6) as depth_mae from r, f", v.EDGES, _NODES, _DEPTH, _DEG, _TARGETS)
+def _(s, d):
+    from .operators import graph
+
+    e, depth, t = _targets(s, d)
+    best = e.join(graph.degrees(e).select(F.col("id").alias("src"), "out_degree"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("out_degree").alias("pm"))
+    return models.baselines(t.join(depth, "id").join(best, "id", "left").na.fill(0, ["pm"]), "y2", "pm", "depth")
+
+
+@register("feature_correlations", "with r as (select t.id, depth, y1, y2, in_degree from tg t join dg using (id)), l as (select depth, 'in_degree' as feature, 'y1' as target, in_degree::double as x, y1::double as y from r union all select depth, 'in_degree', 'y2', in_degree::double, y2::double from r), k as (select *, rank() over (partition by depth, target order by x) + (count(*) over (partition by depth, target, x) - 1) / 2 as rx, rank() over (partition by depth, target order by y) + (count(*) over (partition by depth, target, y) - 1) / 2 as ry from l) select depth, feature, target, count(*) as n, round(corr(rx, ry), 6) as spearman from k group by all having min(x) < max(x) and min(y) < max(y)", v.EDGES, _NODES, _DEPTH, _DEG, _TARGETS)
+def _(s, d):
+    from .operators import graph
+
+    e, depth, t = _targets(s, d)
+    rows = t.join(depth, "id").join(graph.degrees(e).select("id", "in_degree"), "id")
+    return models.feature_correlations(rows, ["in_degree"], ["y1", "y2"], "depth")
+
+
+@register("split_stability", "with m as (select doc_id, n_chars, seed, ('0x' || substr(md5(concat(doc_id, '#', seed)), 1, 8))::bigint % 100 as h from documents, range(1, 11) t(seed)), a as (select seed, avg(n_chars) as m from m where h < 20 group by 1) select count(*) as splits, round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std, round(min(m), 6) as least, round(max(m), 6) as most from a")
+def _(s, d):
+    return models.split_stability(v.table(s, d, "documents"), "doc_id", "n_chars")
+
+
+@register("cascaded_model")
+def _(s, d):
+    e, depth, t = _targets(s, d)
+    return models.cascaded(materialize(features.dataset(e, depth, t), "dataset"), _FEATURES, "id", "y2", "y1")

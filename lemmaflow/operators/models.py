@@ -90,3 +90,47 @@ def top_k_retrieval(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     best = scored.withColumn("part_", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part_").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", rounded("score", 5).alias("score"))
+
+
+def feature_correlations(rows: DataFrame, features: list[str], targets: list[str], by: str) -> DataFrame:
+    """Spearman of each feature with each target within each value of ``by``; constant ones are dropped."""
+    pairs = ", ".join(f"'{f}', '{t}', cast({f} as double), cast({t} as double)" for f in features for t in targets)
+    long = rows.select(by, F.expr(f"stack({len(features) * len(targets)}, {pairs}) as (feature, target, x, y)"))
+    group = [by, "feature", "target"]
+
+    def rank(c: str):
+        tied = F.count("*").over(Window.partitionBy(*group, c))
+        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (tied - 1) / 2
+
+    ranked = long.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1_"), F.corr("rx", "ry").alias("r"))
+    return out.filter("x0 < x1 and y0 < y1_").select(*group, "n", rounded("r").alias("spearman"))
+
+
+def split_stability(rows: DataFrame, key: str, value: str, seeds: int = 10, test_percent: int = 20) -> DataFrame:
+    """Mean of ``value`` over the test rows of seeded splits: mean, deviation and range of those means. All splits in one pass."""
+    marked = rows.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")).withColumn("h", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("#", F.col(key).cast("string"), F.col("seed").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(100)))
+    means = marked.filter(F.col("h") < test_percent).groupBy("seed").agg(F.avg(value).alias("m"))
+    return means.agg(F.count("*").alias("splits"), rounded(F.avg("m")).alias("mean"), rounded(F.stddev_pop("m")).alias("std"), rounded(F.min("m")).alias("least"), rounded(F.max("m")).alias("most"))
+
+
+def baselines(rows: DataFrame, truth: str, parent_max: str, depth: str) -> DataFrame:
+    """MAE of predicting zero, and of straight lines in the parents' greatest value and in depth, fitted by least squares in the same aggregate."""
+    y = F.col(truth).cast("double")
+    lines = rows.agg(*[f(y, F.col(c)).alias(f"{n}_{c}") for c in (parent_max, depth) for f, n in ((F.regr_slope, "slope"), (F.regr_intercept, "at"))])
+    joined = rows.join(F.broadcast(lines))  # one row
+    error = lambda c: rounded(F.avg(F.abs(y - F.coalesce(F.col(f"at_{c}") + F.col(f"slope_{c}") * F.col(c), F.lit(0.0)))))
+    return joined.agg(rounded(F.avg(F.abs(y))).alias("zero_mae"), error(parent_max).alias("parent_max_mae"), error(depth).alias("depth_mae"))
+
+
+def cascaded(rows: DataFrame, features: list[str], key: str, first: str, second: str, trees: int = 20, depth: int = 5) -> DataFrame:
+    """``first`` predicted from the features, then ``second`` from the features and that prediction (from the true value in training)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    train, test = split(rows, key)
+    a, b = VectorAssembler(inputCols=features, outputCol="x_"), VectorAssembler(inputCols=[*features, "f_"], outputCol="z_")
+    one = GBTRegressor(featuresCol="x_", labelCol="t_", maxIter=trees, maxDepth=depth, seed=42, predictionCol="f_").fit(a.transform(train.withColumn("t_", F.col(first).cast("double"))))
+    two = GBTRegressor(featuresCol="z_", labelCol="g_", maxIter=trees, maxDepth=depth, seed=42, predictionCol="p_").fit(b.transform(train.withColumn("f_", F.col(first).cast("double")).withColumn("g_", F.log1p(second))))
+    out = two.transform(b.transform(one.transform(a.transform(test))))
+    return out.select(key, F.col(first).alias("first_true"), F.greatest(F.round("f_"), F.lit(0.0)).alias("first_predicted"), F.col(second).alias("second_true"), F.expm1("p_").alias("second_predicted"))

@@ -91,3 +91,27 @@ def first_definition(refs: DataFrame, files: DataFrame) -> DataFrame:
     """``refs(name)``, ``files(name, file, seq)``: whether a name is defined in the files, and in which first."""
     first = files.groupBy("name").agg(F.min(F.struct("seq", "file"))["file"].alias("file"))
     return refs.join(first, "name", "left").withColumn("defined_locally", F.col("file").isNotNull())
+
+
+def peel(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``candidates(name)`` -> ``(name, peeled)``: the name if known; else without its last part, if that is known or the part is a projection; else its longest known prefix; else itself."""
+    known = name_set(corpus).select(F.col("full_name").alias("prefix"))
+    parts = F.split("name", "[.]")
+    n = F.size(parts)
+    prefixes = candidates.select("name").distinct().select("name", n.alias("parts"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("size"), F.array_join(F.slice(parts, 1, i), ".").alias("prefix")))).alias("p")).select("name", "parts", "p.*")
+    best = prefixes.join(known, "prefix", "left_semi").groupBy("name").agg(F.max(F.struct("size", "prefix")).alias("b"))
+    last, base = F.substring_index("name", ".", -1), F.regexp_replace("name", r"\.[^.]*$", "")
+    projection = (n > 1) & (last.rlike(r"^\d+$") | last.isin("mp", "mpr", "symm", "trans"))
+    found = F.when(F.col("b.size") >= n - 1, F.col("b.prefix")).when(projection, base).otherwise(F.coalesce("b.prefix", "name"))
+    return candidates.select("name").distinct().join(best, "name", "left").select("name", found.alias("peeled"))
+
+
+def resolve_candidates(refs: DataFrame, corpus: DataFrame, k: int = 6) -> DataFrame:
+    """``refs(ref_id, token, file)``, ``corpus(seq, full_name, file)`` -> ``(ref_id, full_name, kind)``: full name, else a suffix of two or more parts, else the last part; the same file first, then fewest dots, then the name."""
+    names = corpus.groupBy("full_name").agg(F.min("file").alias("in_file"))
+    full = refs.join(names.withColumn("token", F.col("full_name")), "token").select("ref_id", "full_name", "file", "in_file", F.lit(1).alias("rank"), F.lit("full").alias("kind"))
+    tails = k_suffix_index(corpus, k).join(names, "full_name").withColumnRenamed("suffix", "token")
+    suffix = refs.join(tails, "token").select("ref_id", "full_name", "file", "in_file", F.lit(2), F.lit("suffix"))
+    base = refs.withColumn("b", last_part(F.col("token"))).join(names.withColumn("b", last_part(F.col("full_name"))), "b").select("ref_id", "full_name", "file", "in_file", F.lit(3), F.lit("base"))
+    order = F.struct("rank", F.when(F.col("in_file") == F.col("file"), 0).otherwise(1).alias("other_file"), (F.length("full_name") - F.length(F.replace("full_name", F.lit("."), F.lit("")))).alias("dots"), "full_name", "kind")
+    return full.union(suffix).union(base).groupBy("ref_id").agg(F.min(order).alias("b")).select("ref_id", "b.full_name", "b.kind")

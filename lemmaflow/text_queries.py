@@ -249,3 +249,18 @@ def _(s, d):
     return _refs(s, d).join(tails, "surface").groupBy("ref_id").agg(F.min(F.struct("seq", "full_name"))["full_name"].alias("full_name"))
 
 
+
+
+@register("peel_candidate", "with c as (select distinct case when ref_id % 3 = 0 then surface || '.mp' when ref_id % 3 = 1 then surface || '.foo.bar' else surface end as name from v_ref), p as (select name, string_split(name, '.') as ps from c), x as (select name, ps, i, array_to_string(ps[1:i], '.') as prefix from p, lateral (select unnest(range(1, len(ps) + 1)) as i)), b as (select name, max(i) as i, arg_max(prefix, i) as prefix from x where prefix in (select full_name from nm) group by 1) select p.name, case when i >= len(ps) - 1 then prefix when len(ps) > 1 and ps[len(ps)] in ('mp', 'mpr', 'symm', 'trans') then array_to_string(ps[1 : len(ps) - 1], '.') else coalesce(prefix, p.name) end as peeled from p left join b using (name)", v.CORPUS, _REFS)
+def _(s, d):
+    r = F.col("ref_id") % 3
+    name = F.when(r == 0, F.concat("surface", F.lit(".mp"))).when(r == 1, F.concat("surface", F.lit(".foo.bar"))).otherwise(F.col("surface"))
+    return resolve.peel(_refs(s, d).select(name.alias("name")), v.corpus(s, d))
+
+
+@register("resolve_candidate", "with nf as (select full_name, min(p_brand) as in_file from v_corpus join part on p_partkey = seq group by 1), r as (select v_ref.ref_id, surface as token, p_type as file from v_ref join part on p_partkey = v_ref.ref_id), o as (select ref_id, full_name, file, in_file, 1 as rank, 'full' as kind from r join nf on full_name = token union all select ref_id, full_name, file, in_file, 2, 'suffix' from r join nf on contains(token, '.') and (full_name = token or ends_with(full_name, '.' || token)) union all select ref_id, full_name, file, in_file, 3, 'base' from r join nf on split_part(token, '.', -1) = split_part(full_name, '.', -1)), b as (select *, row_number() over (partition by ref_id order by rank, case when in_file = file then 0 else 1 end, len(full_name) - len(replace(full_name, '.', '')), full_name) as k from o) select ref_id, full_name, kind from b where k = 1", v.CORPUS, _REFS)
+def _(s, d):
+    parts = v.table(s, d, "part")
+    names = v.corpus(s, d).join(parts.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("file")), "seq")
+    refs = _refs(s, d).select("ref_id", F.col("surface").alias("token")).join(parts.select(F.col("p_partkey").alias("ref_id"), F.col("p_type").alias("file")), "ref_id")
+    return resolve.resolve_candidates(refs, names)
