@@ -34,7 +34,7 @@ from ..plans.durable import materialize
 from .text import ascii_words, shingle_hashes
 
 FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT = 4, 8, 5
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("first", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
 
@@ -48,40 +48,42 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int,
         yield [(i, shingle_hashes(ascii_words(t.as_py()), k)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n_shingles, fp1, fp2)``: the size of each set, and 128 bits that equal sets share."""
+def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(doc_id, n_shingles, fp1, fp2, first)``: the size of each set, 128 bits that equal sets share, and its first n-grams by hash, as many as
+    the prefix rule with EXTRA_PERCENT more asks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches, k):
-            rows = [(i, len(s), *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist()) for i, s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 4, _PRINTS, strict=True)], schema=_PRINTS)
+            for at in range(0, len(sets), 500):
+                some = sets[at : at + 500]
+                first = [s[: len(s) - _least(len(s), percent) + len(s) * EXTRA_PERCENT // 100 + 1] for _, s in some]
+                prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for _, s in some])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first), pa.int64()))
+                columns = [pa.array([i for i, _ in some], pa.int64()), pa.array([len(s) for _, s in some], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists]
+                yield pa.RecordBatch.from_arrays(columns, schema=_PRINTS)
 
-    return docs.mapInArrow(task, "doc_id long, n_shingles long, fp1 long, fp2 long")
+    return docs.mapInArrow(task, "doc_id long, n_shingles long, fp1 long, fp2 long, first array<long>")
 
 
-def _grams(docs: DataFrame, k: int, percent: int | None = None) -> DataFrame:
-    """``(doc_id, n, gram)`` for all n-grams, or for the first ones by hash, as the prefix rule with EXTRA_PERCENT more asks."""
+def _grams(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, n, gram)`` for all n-grams."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _sets(batches, k):
-            if percent is not None:
-                cut = [len(s) - _least(len(s), percent) + len(s) * EXTRA_PERCENT // 100 + 1 for _, s in sets]
-                parts = [s[:c] for (_, s), c in zip(sets, cut, strict=True)]
-            else:
-                parts = [s for _, s in sets]
             for at in range(0, len(sets), 500):
-                some, of = parts[at : at + 500], sets[at : at + 500]
-                lengths = [len(p) for p in some]
+                some = sets[at : at + 500]
+                lengths = [len(s) for _, s in some]
                 if sum(lengths):
-                    columns = [np.repeat([i for i, _ in of], lengths), np.repeat([len(s) for _, s in of], lengths), np.concatenate(some)]
+                    columns = [np.repeat([i for i, _ in some], lengths), np.repeat(lengths, lengths), np.concatenate([s for _, s in some])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ROWS)
 
     return docs.mapInArrow(task, "doc_id long, n long, gram long")
 
 
-def _may_link(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _may_link(prints: DataFrame, percent: int) -> DataFrame:
     """Ids of the documents that share enough of their first n-grams with others."""
-    first = _grams(docs, k, percent)
+    first = prints.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), F.explode("first").alias("gram"))
     shared = first.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     hits = first.join(shared, "gram").groupBy("doc_id", "n").agg(F.count("*").alias("hits"))
     # The partner may be smaller, down to percent % of n, and is then bound to share only as many as its own size asks for.
@@ -110,15 +112,16 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
 
 
-def _size_fits(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _may_reach(percent: int) -> Column:
+    """Whether sizes allow a link: an overlap is at most the smaller number of n-grams that other documents have too."""
+    return (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
 
 
 def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """``(id, component)`` of all documents of ``sets`` that link."""
     spark = sets.sparkSession
     prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
-    buckets = sets.select("doc_id", "n", F.explode(prefix).alias("x")).select(F.col("x.gram").alias("gram"), "doc_id", "n")
+    buckets = sets.select("doc_id", "n", F.size("grams").alias("s"), F.explode(prefix).alias("x")).select(F.col("x.gram").alias("gram"), "doc_id", "n", "s")
     components, pivots = spark.createDataFrame([], "id long, component long"), 1
     while True:
         # What is left to compare: buckets that hold more than one component.
@@ -127,13 +130,15 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         live = materialize(labelled.join(sizes, "gram"), "buckets")
         if live.isEmpty():
             return components
-        side = lambda df, s: df.select("gram", F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"))
+        side = lambda df, s: df.select("gram", F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("s").alias(f"s{s}"), F.col("component").alias(f"c{s}"))
         small, large = live.filter(F.col("m") <= SMALL_BUCKET), live.filter(F.col("m") > SMALL_BUCKET)
         near = side(small, "a").join(side(small, "b"), "gram").filter("a < b")
-        chosen = large.groupBy("gram", F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))).agg(F.min(F.struct("doc_id", "n", "component")).alias("p")).select("gram", "p.*")
+        # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
+        central = F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component")
+        chosen = large.groupBy("gram", F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))).agg(F.min(central).alias("p")).select("gram", "p.*")
         chosen = materialize(chosen, "pivots")
         far = side(chosen, "a").join(side(large, "b"), "gram").filter("a <> b")
-        pairs = near.unionByName(far).filter("ca <> cb").filter(_size_fits(F.col("na"), F.col("nb"), percent))
+        pairs = near.unionByName(far).filter("ca <> cb").filter(_may_reach(percent))
         flip = F.col("a") < F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         links = _overlaps(pairs, segments).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
@@ -141,7 +146,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         # Earlier components enter as edges from each document to its label.
         edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(components.filter("id <> component").select("id", "component"))
         components = connected_components(edges)
-        buckets = materialize(large.select("gram", "doc_id", "n").join(chosen.select("gram", "doc_id"), ["gram", "doc_id"], "left_anti"), "buckets")
+        buckets = materialize(large.select("gram", "doc_id", "n", "s").join(chosen.select("gram", "doc_id"), ["gram", "doc_id"], "left_anti"), "buckets")
         pivots *= 4
         if buckets.isEmpty():
             return components
@@ -150,12 +155,12 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
 def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)``: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(fingerprints(rows, k), "prints")
-    named = prints.filter("doc_id is not null and n_shingles > 0")
+    prints = materialize(fingerprints(rows, k, percent), "prints")
+    named = prints.drop("first").filter("doc_id is not null and n_shingles > 0")
     classes = materialize(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
     speakers = classes.select(F.col("class_id").alias("doc_id")).distinct()
 
-    able = materialize(_may_link(rows.filter("doc_id is not null"), k, percent).join(speakers, "doc_id", "left_semi"), "able")
+    able = materialize(_may_link(prints, percent).join(speakers, "doc_id", "left_semi"), "able")
     # An id with several texts would mix their n-grams: one of its texts, the one of the smallest hash, is compared.
     texts = rows.join(able, "doc_id", "left_semi")
     twice = named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
@@ -165,7 +170,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     segments = materialize(cut.groupBy("doc_id", fragment.alias("fragment")).agg(F.collect_list("gram").alias("grams")), "segments")
     linked = _link_rounds(sets, segments, percent)
 
-    named_all = prints.join(classes, ["fp1", "fp2"], "left")
+    named_all = prints.drop("first").join(classes, ["fp1", "fp2"], "left")
     out = named_all.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = F.when(linkable, F.col("class_id")).otherwise(F.col("doc_id"))
