@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.llm import decontaminate, jaccard, line_dedup, packing, quality
 from lemmaflow.llm.queries import table, tokenizer_path
+from lemmaflow.llm.ship import ship_package
 from lemmaflow.plans.durable import materialize
 
 
@@ -23,6 +24,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
+    ship_package(spark)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
@@ -33,6 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, in sequences of 4096 tokens."""
+    ship_package(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 

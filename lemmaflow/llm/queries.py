@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
 from . import binary_records, decontaminate, jaccard, license_scan, line_dedup, packing, quality, token_counts, url_filter, warc
+from .ship import ship_package
 
 #: Rules of the URL filter query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
