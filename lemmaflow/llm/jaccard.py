@@ -11,6 +11,7 @@ Documents are sets of word n-grams, kept as 64-bit hashes. Those whose sets have
    overlaps of its segments are counted fragment by fragment, apart from each other, and summed.
 4. A group of copies in one bucket isn't expanded: large buckets compare a few pivots with all others, and only documents that aren't yet in
    one component are compared, with more pivots each round until no bucket holds two components uncompared. Small buckets list their pairs at once.
+   The overlaps with the first pivot bound those of two copies with each other, and copies that can't reach any other component leave their bucket unpaired.
    No link between different components is left out, so components are exact.
 
 Edge cases: a text that is null or has no words gives an empty set, linked with nothing; a text with fewer words than n is one n-gram. Rows with a null doc_id come
@@ -117,32 +118,69 @@ def _may_reach(percent: int) -> Column:
     return (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
 
 
+def _may_reach_by_anchor(percent: int) -> Column:
+    """The same for documents whose overlaps with a third one, their anchor, are known: what they share lies in the anchor or outside of it."""
+    most = F.least("ka", "kb") + F.least(F.col("sa") - F.col("ka"), F.col("sb") - F.col("kb"))
+    return (F.col("pa") != F.col("pb")) | ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+
+
+def _contenders(buckets: DataFrame, components: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
+    """Rows of buckets that may still link to another component in their bucket, with the number ``m`` of such rows.
+
+    By the best that any other row of the bucket offers, with the same anchor or with another one, so a row goes without being paired."""
+    rows = buckets.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(anchors, "doc_id", "left")
+    rows = rows.select("gram", "doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component"), F.coalesce("anchor", F.lit(-1)).alias("anchor"), F.coalesce("known", F.lit(0)).alias("known"))
+    span = [F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    # What a bucket offers for each size, to documents of the same anchor and to others: arrays no longer than the number of different sizes.
+    per = rows.groupBy("gram", "anchor", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("known").alias("known"), F.max(F.col("s") - F.col("known")).alias("extra"), F.max("s").alias("s"))
+    alike = per.groupBy("gram", "anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("n", "known", "extra")).alias("same"))
+    whole = per.groupBy("gram", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("s").alias("s"), F.min("anchor").alias("a0"), F.max("anchor").alias("a1"))
+    whole = whole.groupBy("gram").agg(F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all"), F.collect_list(F.struct("n", "s", "a0", "a1")).alias("others")).filter("lo_all < hi_all")
+    joined = rows.join(alike, ["gram", "anchor"]).join(whole, "gram")
+    same = (F.col("lo") < F.col("hi")) & F.exists("same", lambda c: (100 + percent) * (F.least(F.col("known"), c["known"]) + F.least(F.col("s") - F.col("known"), c["extra"])) >= percent * (F.col("n") + c["n"]))
+    other = F.exists("others", lambda c: ((c["a0"] != F.col("anchor")) | (c["a1"] != F.col("anchor"))) & ((100 + percent) * F.least(F.col("s"), c["s"]) >= percent * (F.col("n") + c["n"])))
+    left = joined.filter(same | other).select(*rows.columns)
+    sizes = left.groupBy("gram").agg(*span).filter("lo < hi").select("gram", "m")
+    return left.join(sizes, "gram")
+
+
 def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """``(id, component)`` of all documents of ``sets`` that link."""
     spark = sets.sparkSession
     prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
     buckets = sets.select("doc_id", "n", F.size("grams").alias("s"), F.explode(prefix).alias("x")).select(F.col("x.gram").alias("gram"), "doc_id", "n", "s")
     components, pivots = spark.createDataFrame([], "id long, component long"), 1
+    anchors = spark.createDataFrame([], "doc_id long, anchor long, known long")
     while True:
-        # What is left to compare: buckets that hold more than one component.
-        labelled = buckets.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        sizes = labelled.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram", "m")
-        live = materialize(labelled.join(sizes, "gram"), "buckets")
+        live = materialize(_contenders(buckets, components, anchors, percent), "buckets")
         if live.isEmpty():
             return components
-        side = lambda df, s: df.select("gram", F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("s").alias(f"s{s}"), F.col("component").alias(f"c{s}"))
+        side = lambda df, x: df.select("gram", F.col("doc_id").alias(x), *[F.col(c).alias(f"{c[0] if c != 'anchor' else 'p'}{x}") for c in ("n", "s", "component", "anchor", "known")])
         small, large = live.filter(F.col("m") <= SMALL_BUCKET), live.filter(F.col("m") > SMALL_BUCKET)
-        near = side(small, "a").join(side(small, "b"), "gram").filter("a < b")
+        fits = (F.col("ca") != F.col("cb")) & _may_reach(percent) & _may_reach_by_anchor(percent)
+        near = side(small, "a").join(side(small, "b"), "gram").filter("a < b").filter(fits)
         # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
-        central = F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component")
+        central = F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component", "anchor", "known")
         chosen = large.groupBy("gram", F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))).agg(F.min(central).alias("p")).select("gram", "p.*")
         chosen = materialize(chosen, "pivots")
         far = side(chosen, "a").join(side(large, "b"), "gram").filter("a <> b")
-        pairs = near.unionByName(far).filter("ca <> cb").filter(_may_reach(percent))
+        # The first pivots meet all others of their buckets, and become their anchors.
+        far = far if pivots == 1 else far.filter(fits)
+        pairs = near.unionByName(far)
         flip = F.col("a") < F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        links = _overlaps(pairs, segments).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
-        links = materialize(links.select("a", "b"), "links")
+        overlaps = materialize(_overlaps(pairs, segments), "overlaps")
+        links = overlaps.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+
+        # An anchor once found stays, and among new ones the most central pivot is taken: copies of one text should have the same.
+        ends = overlaps.select(F.col("a").alias("doc_id"), F.col("b").alias("anchor"), F.col("overlap").alias("known")).union(overlaps.select("b", "a", "overlap"))
+        heads = chosen.select(F.col("doc_id").alias("anchor"), (F.col("s") - F.col("n")).alias("central"), "s").distinct()
+        offers = ends.join(heads, "anchor").select("doc_id", F.lit(1).alias("rank"), "central", "anchor", "known")
+        offers = offers.union(heads.select("anchor", F.lit(0), "central", "anchor", "s"))
+        offers = offers.union(anchors.select("doc_id", F.when(F.col("doc_id") == F.col("anchor"), 0).otherwise(2), F.lit(0), "anchor", "known"))
+        best = offers.groupBy("doc_id").agg(F.max(F.struct("rank", "central", (-F.col("anchor")).alias("a"), "known")).alias("o"))
+        anchors = materialize(best.select("doc_id", (-F.col("o.a")).alias("anchor"), F.col("o.known").cast("long").alias("known")), "anchors")
+
         # Earlier components enter as edges from each document to its label.
         edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(components.filter("id <> component").select("id", "component"))
         components = connected_components(edges)
