@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import drop_table, materialize
+from ..plans.durable import materialize
 from .graph import nodes, reverse
 from .stats import rounded
 
@@ -26,9 +26,7 @@ def kahn_rounds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         layers.append(layer)
         met = edges.join(layer.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
         left = materialize(need.join(met, "id", "left").select("id", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")), "kahn-need")
-        layer = materialize(left.filter("missing = 0").select("id", F.lit(depth).alias("depth")), "kahn-layer")
-        drop_table(need)
-        need = left.filter("missing > 0")
+        layer, need = left.filter("missing = 0").select("id", F.lit(depth).alias("depth")), left.filter("missing > 0")
     return reduce(DataFrame.union, layers) if layers else layer
 
 
