@@ -351,6 +351,22 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, [], "doc_id long, path string, text string")).count() == 0
 
 
+def test_license_scan_reads_whole_blocks(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os"
+    texts = {
+        "MIT License\n\nCopyright (c) 2020 A": "MIT", "The MIT License (MIT)": "MIT", "  GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\nEveryone is permitted": "GPL-3.0", gpl.format(3): "GPL-3.0", gpl.format(2): "GPL-2.0",
+        gpl.format(3).replace("GNU General", "GNU Lesser General"): "LGPL-3.0",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n": "BSD-3-Clause", "Apache License\nVersion 2.0, January 2004\nhttp": "Apache-2.0",
+        "a long line that goes on and says Released under the MIT License. and then goes on with more words about all the other things": "MIT", "// SPDX-License-Identifier: Apache-2.0\nx": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "Copyright 2020 Some Company Limited. All rights reserved. No part may be copied": "All-Rights-Reserved", "Copyright 2020 A. All rights reserved. Released under the\nMIT License. See there": "MIT",
+        "SPDX-License-Identifier: MIT-0": None, "wir gehen mit ihm nach Hause, mit allen": None, "the film was released under the title": None, "released under the license of a friend": None, "version 3 of the general public is apache": None,
+    }
+    files = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.license for r in license_scan.notices(files).collect()}
+    assert {t: got.get(i) for i, t in enumerate(texts)} == texts
+    assert {r.id: r.line_no for r in license_scan.notices(files).collect()}[3] == 1
+
+
 def test_warc(spark):
     page = "<html><head><title>T</title><script>var a='<a href=\"/no\">n</a>'</script></head><body><p>Hello &amp; <b>bye</b></p><a href='/x?a=1&amp;b=2'>go <i>on</i></a><img src=pic.png><!-- <a href='/c'>c</a> --><p>end<a href=\"/open\">open</body>"
     pages = frame(spark, [(1, "http://a/b", page), (2, None, None), (None, "u", "<<a <a>x< y"), (1, "http://a/b", page)], "page_id long, url string, html string")
