@@ -10,7 +10,10 @@ largest weights of a passage's terms within each range are summed first, for all
 can't reach the threshold the range is skipped; the others go through block-max WAND.
 
 Verification. A retrieved item counts as leaked if the document holds at least ``min_question`` of the distinct word ``gram``-grams of its question and
-``min_answer`` of those of its answer (shorter texts count as one gram).
+``min_answer`` of those of its answer (shorter texts count as one gram). One edited word takes up to ``gram`` grams, which are all that a short side has.
+So an item also counts as leaked if, around a retrieved passage, three quarters of its words stand in their order (shifted against each other by at most a quarter of
+the item's length), among them ``min_question`` of the question's and ``min_answer`` of the answer's; one word of either may always lack. Items of
+three words or fewer must be whole. Overlaps are shares of grams where these suffice, else of words in order.
 
 Test items are read in blocks of ``block_items``: only one block's index is at the driver and in a task at a time, and the
 documents are searched for each block. No document is shuffled; documents with a third of all rows in common are no matter.
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,6 +65,7 @@ class Index:
     items: list[int | None] = field(default_factory=list)
     questions: list[set] = field(default_factory=list)
     answers: list[set] = field(default_factory=list)
+    texts: list[tuple[list[str], int]] = field(default_factory=list)  # words of each item, how many are the question's
     terms: dict[str, int] = field(default_factory=dict)
     docs: list[list[int]] = field(default_factory=list)  # postings of each term: item numbers, rising
     weights: list[list[float]] = field(default_factory=list)
@@ -79,6 +83,7 @@ def build_index(rows: list[tuple[int | None, str | None]], stride: int = STRIDE,
         x.questions.append(grams(q, gram))
         x.answers.append(grams(a, gram))
         bags.append(q + a)
+        x.texts.append((q + a, len(q)))
     n, mean = len(bags), sum(map(len, bags)) / max(1, len(bags))
     df = Counter(t for ws in bags for t in set(ws))
     x.terms = {t: i for i, t in enumerate(df)}
@@ -151,6 +156,46 @@ def wand(x: Index, query: list[int], threshold: float, first: int = 0, end: int
     return out
 
 
+def in_order(item: list[str], n_question: int, region: list[str], min_question: float, min_answer: float) -> tuple[float, float] | None:
+    """Shares of the question's and the answer's words that stand in order in ``region``, if they and the whole are enough."""
+    n, n_answer = len(item), len(item) - n_question
+    lack = n // 4
+    need, need_q = n - lack, min(n_question - 1, math.ceil(min_question * n_question))
+    need_a = max(0, min(n_answer - 1, math.ceil(min_answer * n_answer)))
+    words_there = set(region)
+    if sum(w in words_there for w in item) < need:
+        return None
+    at = defaultdict(list)
+    for i, w in enumerate(item):
+        at[w].append(i)
+    matches = [(i, j) for j, w in enumerate(region) for i in at.get(w, ())]
+    shifts = Counter(j - i for i, j in matches)
+    for low in sorted(shifts):
+        if sum(shifts.get(low + k, 0) for k in range(lack + 1)) < need:
+            continue
+        # Longest chain of matches that rises in both: ends[k] is the least end of a chain of k + 1.
+        ends: list[int] = []
+        last: list[tuple] = []
+        for i, j in sorted((m for m in matches if low <= m[1] - m[0] <= low + lack), key=lambda m: (m[0], -m[1])):
+            k = bisect_left(ends, j)
+            before = last[k - 1] if k else None
+            if k == len(ends):
+                ends.append(j)
+                last.append((i, before))
+            else:
+                ends[k], last[k] = j, (i, before)
+        if len(ends) < need:
+            continue
+        link, q = last[-1], 0
+        while link:
+            q += link[0] < n_question
+            link = link[1]
+        a = len(ends) - q
+        if q >= need_q and a >= need_a:
+            return q / n_question, a / n_answer if n_answer else 1.0
+    return None
+
+
 def search(x: Index, text: str, stride: int, threshold: float, min_question: float, min_answer: float, gram: int) -> list[tuple[int | None, float, float, float]]:
     """Leaked items of one text: (item_id, best score, question overlap, answer overlap)."""
     ws = words(text)
@@ -166,10 +211,12 @@ def search(x: Index, text: str, stride: int, threshold: float, min_question: flo
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     bounds[part[first]] = np.add.reduceat(x.bounds[term], first, axis=0)
     best: dict[int, float] = {}
+    places: dict[int, list[int]] = defaultdict(list)
     for p, r in np.argwhere(bounds[:-1] + bounds[1:] >= threshold - 1e-4).tolist():
         query = np.unique(term[np.searchsorted(part, p) : np.searchsorted(part, p + 1, "right")]).tolist()
         for item, score in wand(x, query, threshold, x.edges[r], x.edges[r + 1]):
             best[item] = max(best.get(item, 0.0), score)
+            places[item].append(p)
     if not best:
         return []
     have = grams(ws, gram)
@@ -187,7 +234,11 @@ def search(x: Index, text: str, stride: int, threshold: float, min_question: flo
     out = []
     for item, score in sorted(best.items()):
         q, a = share(x.questions[item]), share(x.answers[item])
-        if q >= min_question and a >= min_answer:
+        if q < min_question or a < min_answer:
+            item_words, n_question = x.texts[item]
+            around = (ws[max(0, p * stride - len(item_words)) : (p + 2) * stride + len(item_words)] for p in places[item])
+            q, a = next(filter(None, (in_order(item_words, n_question, region, min_question, min_answer) for region in around)), (-1.0, -1.0))
+        if q >= 0:
             out.append((x.items[item], round(score, 6), round(q, 6), round(a, 6)))
     return out
 

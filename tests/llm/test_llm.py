@@ -325,6 +325,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, tests.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), tests).count() == 0
 
 
+def test_decontamination_survives_one_edited_word():
+    rng = random.Random(12)
+    items = [(i, text(rng, rng.randint(8, 40)) + ". " + text(rng, i % 10 + 1) + ".") for i in range(30)]
+    x = decontaminate.build_index(items)
+    find = lambda t: {r[0] for r in decontaminate.search(x, t, decontaminate.STRIDE, decontaminate.THRESHOLD, decontaminate.MIN_QUESTION, decontaminate.MIN_ANSWER, decontaminate.GRAM)}
+    for i, item in items:
+        ws = item.split()
+        for at in range(len(ws)):
+            for edit in (["changed"], [], ["added", ws[at]]):
+                assert find(text(rng, 50) + " " + " ".join(ws[:at] + edit + ws[at + 1 :]) + " " + text(rng, 50)) == {i}, (i, at, edit)
+        shuffled = rng.sample(ws, len(ws))
+        assert not find(" ".join(shuffled)) and not find(" ".join(ws[: len(ws) // 2]))
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = random.Random(11)
     x = decontaminate.build_index([(i, text(rng, rng.randint(3, 60))) for i in range(300)])
