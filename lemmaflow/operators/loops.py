@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize
+from ..plans.durable import drop_table, materialize, new_path
+from .components import connected_components
 from .graph import nodes, reverse
 from .stats import rounded
 
@@ -140,3 +141,66 @@ def distances(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) ->
             break
         parts.append(front)
     return reduce(DataFrame.union, parts)
+
+
+#: Starts of one block; the state of a block is at most this many times the number of nodes.
+BLOCK = 2000
+
+
+def start_blocks(ids: DataFrame, block: int = BLOCK) -> list[DataFrame]:
+    """``ids(id)`` in parts of about ``block`` by hash; together they are all ids."""
+    ids = materialize(ids.select("id"), "starts")
+    blocks = max(1, -(-ids.count() // block))
+    return [ids.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def _in_blocks(parts, name: str) -> DataFrame:
+    """The rows of all parts, each part computed and written before the next."""
+    path = schema = None
+    for part in parts:
+        path, schema = path or new_path(part.sparkSession, name), part.schema
+        part.write.mode("append").parquet(path)
+        spark = part.sparkSession
+    return spark.read.schema(schema).parquet(path)
+
+
+def relatives(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(start, id, side)``: the descendants and the ancestors of every node; an ancestor is a descent read backwards."""
+    edges = materialize(edges, "relatives-edges")
+    down = _in_blocks((closure(edges, starts) for starts in start_blocks(nodes(edges), block)), "relatives")
+    return down.select("start", "id", F.lit("descendant").alias("side")).union(down.select("id", "start", F.lit("ancestor")))
+
+
+def greatest_removal_impacts(edges: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+    """The ``n`` nodes of the greatest impact, after measuring all; ties by more descendants, then the smaller id."""
+    edges = materialize(edges, "impact-edges")
+    impacts = _in_blocks((removal_impact(edges, probes) for probes in start_blocks(nodes(edges), block)), "impacts")
+    return impacts.orderBy(F.desc("impact"), F.desc("descendants"), "id").limit(n)
+
+
+def path_statistics(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row ``(mean_path, diameter, pairs)`` over all ordered pairs of the largest weakly connected component (ties: smallest id), directions ignored.
+
+    A neighbour of a layer is in it, in the one before or new, so each round holds the new layer against two only."""
+    edges = materialize(edges.select("src", "dst"), "path-edges")
+    parts = materialize(connected_components(edges), "path-components")
+    largest = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    ids = materialize(parts.join(F.broadcast(largest.select("component")), "component", "left_semi").select("id"), "path-ids")  # one row
+    both = edges.union(reverse(edges)).filter("src <> dst").distinct()
+    both = materialize(both.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"), "path-both")
+
+    def layers():
+        for starts in start_blocks(ids, block):
+            before = materialize(starts.select(F.col("id").alias("start"), "id").limit(0), "path")
+            front = materialize(starts.select(F.col("id").alias("start"), "id"), "path")
+            hops = 0
+            while not front.isEmpty():
+                yield front.agg(F.lit(hops).cast("long").alias("hops"), F.count("*").alias("n"))
+                step = front.select("start", F.col("id").alias("src")).join(both, "src").select("start", F.col("dst").alias("id")).distinct()
+                new = materialize(step.join(front.union(before), ["start", "id"], "left_anti"), "path")
+                drop_table(before)
+                before, front, hops = front, new, hops + 1
+            drop_table(before)
+
+    far = _in_blocks(layers(), "path-counts").filter("hops > 0")
+    return far.agg(rounded(F.sum(F.col("hops") * F.col("n")) / F.sum("n")).alias("mean_path"), F.max("hops").alias("diameter"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

@@ -1,6 +1,7 @@
 """Small fixtures with literal results for the odd semantics, and properties."""
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -94,6 +95,29 @@ def test_depth_is_longest_and_level_shortest(spark):
     assert [tuple(r) for r in loops.bfs_waves(e).orderBy("step").collect()] == [(0, 2, 1), (1, 3, 1), (2, 4, 1), (3, 5, 0)]
 
 
+def test_whole_graphs_in_blocks(spark):
+    pairs = [(k, k + 1) for k in range(100, 109)] + [(100, 109), (90, 100), (1, 2), (2, 3)]
+    e = edges(spark, pairs)
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def reach(start, step):
+        hops, front = {start: 0}, [start]
+        while front:
+            front = [n for n in dict.fromkeys(y for x in front for y in step(x)) if n not in hops and not hops.update({n: hops[front[0]] + 1})]
+        return hops
+
+    far = [h for s in near if s >= 90 for h in reach(s, near.get).values() if h]
+    r = loops.path_statistics(e, 5).first()
+    assert (r.mean_path, r.diameter, r.pairs) == (round(sum(far) / len(far), 6), max(far), len(far))
+    below = {(s, x) for s in near for x in reach(s, lambda y: [b for a, b in pairs if a == y]) if x != s}
+    assert Counter(map(tuple, loops.relatives(e, 5).collect())) == Counter([(a, b, "descendant") for a, b in below] + [(b, a, "ancestor") for a, b in below])
+    top = loops.greatest_removal_impacts(e, 80, 5).collect()
+    assert len(top) == len(near) and top[0].id == 90 and {x.id: x.impact for x in top}[108] == 0 and {x.id: x.impact for x in top}[1] == 1
+
+
 def test_triangles_and_diamonds(spark):
     with_middle = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (2, 3)])
     without = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)])
