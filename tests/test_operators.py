@@ -152,6 +152,18 @@ def test_random_graphs(spark):
     assert sorted(graph.degrees(new).collect()) == sorted(graph.degrees(dag).collect()) and new.distinct().count() == dag.count() and loops.is_dag(new).first().is_dag
 
 
+def test_null_model_swaps_enough(spark):
+    rng = random.Random(3)
+    e = edges(spark, sorted({(rng.randint(0, 19), rng.randint(20, 39)) for _ in range(60)}))
+    order = loops.kahn_rounds(e).withColumnRenamed("depth", "t")
+    new, accepted = cycles.null_model(e, order, 2)
+    assert accepted >= 2 * e.count()
+    assert sorted(graph.degrees(new).collect()) == sorted(graph.degrees(e).collect()) and new.distinct().count() == e.count()
+    stuck = edges(spark, [(1, 2), (1, 3)])
+    same, accepted = cycles.null_model(stuck, loops.kahn_rounds(stuck).withColumnRenamed("depth", "t"), idle=3)
+    assert accepted == 0 and sorted(map(tuple, same.collect())) == [(1, 2), (1, 3)]
+
+
 def test_resolution(spark):
     corpus = spark.createDataFrame([(i, n) for i, n in enumerate(["A.x", "B.x", "N.y", "Q.z", "Q.R.w", *[f"M{k}.many" for k in range(7)], "Nat.t", "Other.t"])], "seq int, full_name string")
     refs = [(1, "q", "A.x", [], []), (2, "B.x", "none", [], []), (3, "zzz", "none", [], []), (4, "x", None, ["Z", "B", "A"], []), (5, "t", None, [], ["Nat"]), (6, "y", None, [], []), (7, "many", None, [], [])]
