@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import new_path
 from .stats import rounded
 
 
@@ -92,6 +93,17 @@ def top_k_retrieval(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", rounded("score", 5).alias("score"))
 
 
+def top_k_retrieval_blocks(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 500) -> DataFrame:
+    """``top_k_retrieval`` of any number of queries, about ``block`` of them broadcast at a time; each block's result is written before the next is searched."""
+    spark, path, schema = vectors.sparkSession, new_path(vectors.sparkSession, "top-k"), None
+    blocks = max(1, -(-queries.count() // block))
+    for b in range(blocks):
+        found = top_k_retrieval(vectors, queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, vector, k)
+        schema = found.schema
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def feature_correlations(rows: DataFrame, features: list[str], targets: list[str], by: str) -> DataFrame:
     """Spearman of each feature with each target within each value of ``by``; constant ones are dropped."""
     pairs = ", ".join(f"'{f}', '{t}', cast({f} as double), cast({t} as double)" for f in features for t in targets)

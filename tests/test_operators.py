@@ -152,6 +152,16 @@ def test_random_graphs(spark):
     assert sorted(graph.degrees(new).collect()) == sorted(graph.degrees(dag).collect()) and new.distinct().count() == dag.count() and loops.is_dag(new).first().is_dag
 
 
+def test_retrieval_goes_through_all_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(0, 1200, 20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = models.top_k_retrieval_blocks(frame, frame.filter("vec_id % 100 = 0"), "vec_id", "embedding", 3, block=5).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, r + 1, i) for q, x in rows if q % 100 == 0 for r, (_, i) in enumerate(sorted((-dot(x, y), i) for i, y in rows if i != q)[:3])}
+    assert {(r.query_id, r.rank, r.id) for r in got} == want and len(got) == len(want) == 36
+
+
 def test_null_model_swaps_enough(spark):
     rng = random.Random(3)
     e = edges(spark, sorted({(rng.randint(0, 19), rng.randint(20, 39)) for _ in range(60)}))
