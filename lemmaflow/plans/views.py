@@ -24,15 +24,22 @@ def premises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("theorem"), F.concat_ws(".", "p_brand", "p_type").alias("premise")).distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str, least_quantity: int = 40, cyclic: bool = False) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, least_quantity: int | None = 40, cyclic: bool = False) -> DataFrame:
     """(src, dst), distinct, no loops: parts that follow each other in an order; acyclic ones go from the smaller to the larger key."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    some = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least_quantity)
+    some = table(spark, sf_dir, "lineitem")
+    if least_quantity is not None:
+        some = some.filter(F.col("l_quantity") >= least_quantity)
     pairs = some.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b")).filter("b is not null and a <> b")
     ends = (F.col("a"), F.col("b")) if cyclic else (F.least("a", "b"), F.greatest("a", "b"))
     return pairs.select(ends[0].alias("src"), ends[1].alias("dst")).distinct()
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edges`` of the whole table, for queries that no SQL binds to a part of it."""
+    return edges(spark, sf_dir, None)
+
+
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir, 45, cyclic=True)
 

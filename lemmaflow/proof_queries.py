@@ -103,14 +103,14 @@ def _(s, d):
 
 @register("null_model_rewire")
 def _(s, d):
-    e = v.edges(s, d)
+    e = v.all_edges(s, d)
     return cycles.null_model(e, loops.kahn_rounds(e).withColumnRenamed("depth", "t"))[0]
 
 
 @register("motif_zscore")
 def _(s, d):
     """z of the number of feed-forward loops against five rewired graphs."""
-    e = materialize(v.edges(s, d), "edges")
+    e = materialize(v.all_edges(s, d), "edges")
     order = materialize(loops.kahn_rounds(e).withColumnRenamed("depth", "t"), "order")
     null = [graph.ffl_count(cycles.null_model(e, order, seed=seed)[0]) for seed in range(5)]
     union = null[0]

@@ -320,7 +320,7 @@ def _(s, d):
     return loops.closure(e, graph.nodes(e).join(e.select(F.col("dst").alias("id")), "id", "left_anti").orderBy("id").limit(50))
 
 
-register("descendants_ancestors_all")(lambda s, d: loops.relatives(v.edges(s, d)))
+register("descendants_ancestors_all")(lambda s, d: loops.relatives(v.all_edges(s, d)))
 
 
 # --- frontier ----------------------------------------------------------------------------------------------------------
@@ -378,7 +378,7 @@ def _(s, d):
     return loops.removal_impact(e, graph.degrees(e).orderBy(F.desc(F.col("in_degree") * F.col("out_degree")), "id").limit(20).select("id"))
 
 
-register("removal_impact_all")(lambda s, d: loops.greatest_removal_impacts(v.edges(s, d), 20))
+register("removal_impact_all")(lambda s, d: loops.greatest_removal_impacts(v.all_edges(s, d), 20))
 
 
 @register("targets", "with pt as (select src as id, dst as at, 1 as len from v_edges), y2 as (select src as id, count(*) as y2 from v_edges group by 1), w as (select dst as id, src, 1::double as k from v_edges) select 1", v.EDGES)

@@ -162,6 +162,15 @@ def test_retrieval_goes_through_all_queries(spark):
     assert {(r.query_id, r.rank, r.id) for r in got} == want and len(got) == len(want) == 36
 
 
+def test_all_edges_come_from_all_lines(spark, tmp_path):
+    from lemmaflow.plans import views
+
+    lines = [(1, 1, 5, 50), (1, 2, 3, 1), (1, 3, 9, 45), (2, 1, 3, 1), (2, 2, 5, 2), (3, 1, 7, None), (3, 2, 8, 3), (3, 3, 8, 50)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, views.all_edges(spark, str(tmp_path)).collect())) == [(3, 5), (3, 9), (7, 8)]
+    assert sorted(map(tuple, views.edges(spark, str(tmp_path)).collect())) == [(5, 9)]
+
+
 def test_null_model_swaps_enough(spark):
     rng = random.Random(3)
     e = edges(spark, sorted({(rng.randint(0, 19), rng.randint(20, 39)) for _ in range(60)}))
