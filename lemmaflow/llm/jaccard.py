@@ -9,10 +9,9 @@ Documents are sets of word n-grams, kept as 64-bit hashes. Those whose sets have
 3. For those that stay, the global order is by rising document frequency. N-grams of one document only can't overlap and go. The order is cut into
    ``fragments`` at quantiles: each document has one segment per fragment. Pairs come from equal n-grams in the prefixes; for each pair, the
    overlaps of its segments are counted fragment by fragment, apart from each other, and summed.
-4. A group of copies in one bucket isn't expanded: large buckets compare a few pivots with all others, and only documents that aren't yet in
-   one component are compared, with more pivots each round until no bucket holds two components uncompared. Small buckets list their pairs at once.
-   The overlaps with the first pivot bound those of two copies with each other, and copies that can't reach any other component leave their bucket unpaired.
-   No link between different components is left out, so components are exact.
+4. Small buckets list their pairs. A large bucket isn't expanded: its most central document is the pivot, compared with all others. Its members are then known by their differences from the pivot, and
+   two members that link must share most of these differences, so the prefix rule on the differences cuts the bucket into smaller ones (``_link_rounds`` has the bound). Rounds go on
+   until no bucket is large; documents found to be connected needn't be compared again. No link between different components is left out, so components are exact.
 
 Edge cases: a text that is null or has no words gives an empty set, linked with nothing; a text with fewer words than n is one n-gram. Rows with a null doc_id come
 back with a null component and link nothing. Repeated rows are one class. An id that comes with several texts is one document whose rows keep
@@ -22,19 +21,21 @@ of any length are handled whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.durable import materialize
+from ..plans.durable import drop_table, materialize
 from .text import ascii_words, shingle_hashes
 
-FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT = 4, 8, 5
+FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT = 4, 32, 5
+HEAVY, SALTS = 1000, 32
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("first", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
@@ -92,8 +93,9 @@ def _may_link(prints: DataFrame, percent: int) -> DataFrame:
     return hits.filter(F.col("hits") >= least).select("doc_id").distinct()
 
 
-def _ordered_sets(docs: DataFrame, k: int, percent: int, fragments: int) -> tuple[DataFrame, Column]:
-    """``(doc_id, n, grams)``: those n-grams that other documents have too, as (o, gram) in the global order o; and the fragment of an o."""
+def _ordered_sets(docs: DataFrame, k: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """``sets(doc_id, n, grams)``: those n-grams that other documents have too, as (o, gram) in the global order o, and ``segments(doc_id, fragment, grams)``: the
+    same cut into fragments of the order, a row for each fragment of each document."""
     grams = materialize(_grams(docs, k), "grams")
     df = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     # The global order: document frequency, then hash.
@@ -101,8 +103,11 @@ def _ordered_sets(docs: DataFrame, k: int, percent: int, fragments: int) -> tupl
     sets = grams.join(df, "gram").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "gram"))).alias("grams"))
     sets = materialize(sets.filter(F.size("grams") >= F.expr(f"(n * {percent} + 99) div 100")), "sets")
     cuts = sets.select(F.explode("grams.o").alias("o")).agg(F.percentile_approx("o", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []
-    fragment = sum((F.when(F.col("o") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    return sets, fragment
+    ends = [None, *cuts, None]
+    within = lambda lo, hi: lambda x: (F.lit(True) if lo is None else x["o"] > lo) & (F.lit(True) if hi is None else x["o"] <= hi)
+    parts = F.array(*(F.filter("grams", within(lo, hi))["gram"] for lo, hi in zip(ends, ends[1:], strict=False)))
+    drop_table(grams)
+    return sets, materialize(sets.select("doc_id", F.posexplode(parts).alias("fragment", "grams")), "segments")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -113,81 +118,106 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
 
 
-def _may_reach(percent: int) -> Column:
-    """Whether sizes allow a link: an overlap is at most the smaller number of n-grams that other documents have too."""
-    return (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
+def _with_salted(rows: DataFrame, by_key: DataFrame, key: str, spread: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` joined with ``by_key`` (a row for each key). Rows of the ``heavy`` keys are dealt to SALTS tasks each; these are at most HEAVY keys, as each has more
+    than that part of all rows, so they may be broadcast."""
+    marked = F.broadcast(heavy.select(F.col(key), F.lit(True).alias("heavy")))
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(marked, key, "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy")
+    right = by_key.join(marked, key, "left").withColumn("salt", F.explode(salts)).drop("heavy")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
-def _may_reach_by_anchor(percent: int) -> Column:
-    """The same for documents whose overlaps with a third one, their anchor, are known: what they share lies in the anchor or outside of it."""
-    most = F.least("ka", "kb") + F.least(F.col("sa") - F.col("ka"), F.col("sb") - F.col("kb"))
-    return (F.col("pa") != F.col("pb")) | ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+def _heavy(by_key: DataFrame, key: str) -> DataFrame:
+    total = by_key.agg(F.sum("m")).first()[0] or 0
+    return by_key.filter(F.col("m") * HEAVY > max(total, HEAVY * SMALL_BUCKET)).select(key)
 
 
-def _contenders(buckets: DataFrame, components: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
-    """Rows of buckets that may still link to another component in their bucket, with the number ``m`` of such rows.
+def _buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """A row for each n-gram of each prefix."""
+    prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
+    own = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs")]
+    return sets.select("doc_id", *own, F.posexplode(prefix).alias("pos", "g")).select(F.col("g.gram").alias("key"), "doc_id", "label", "n", "s", "x", "xs", "pos")
+
 
-    By the best that any other row of the bucket offers, with the same anchor or with another one, so a row goes without being paired."""
-    rows = buckets.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(anchors, "doc_id", "left")
-    rows = rows.select("gram", "doc_id", "n", "s", F.coalesce("component", "doc_id").alias("component"), F.coalesce("anchor", F.lit(-1)).alias("anchor"), F.coalesce("known", F.lit(0)).alias("known"))
-    span = [F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")]
-    # What a bucket offers for each size, to documents of the same anchor and to others: arrays no longer than the number of different sizes.
-    per = rows.groupBy("gram", "anchor", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("known").alias("known"), F.max(F.col("s") - F.col("known")).alias("extra"), F.max("s").alias("s"))
-    alike = per.groupBy("gram", "anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("n", "known", "extra")).alias("same"))
-    whole = per.groupBy("gram", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("s").alias("s"), F.min("anchor").alias("a0"), F.max("anchor").alias("a1"))
-    whole = whole.groupBy("gram").agg(F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all"), F.collect_list(F.struct("n", "s", "a0", "a1")).alias("others")).filter("lo_all < hi_all")
-    joined = rows.join(alike, ["gram", "anchor"]).join(whole, "gram")
-    same = (F.col("lo") < F.col("hi")) & F.exists("same", lambda c: (100 + percent) * (F.least(F.col("known"), c["known"]) + F.least(F.col("s") - F.col("known"), c["extra"])) >= percent * (F.col("n") + c["n"]))
-    other = F.exists("others", lambda c: ((c["a0"] != F.col("anchor")) | (c["a1"] != F.col("anchor"))) & ((100 + percent) * F.least(F.col("s"), c["s"]) >= percent * (F.col("n") + c["n"])))
-    left = joined.filter(same | other).select(*rows.columns)
-    sizes = left.groupBy("gram").agg(*span).filter("lo < hi").select("gram", "m")
-    return left.join(sizes, "gram")
+def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``groups(pivot, doc_id, ...)`` with the overlap of both and ``elements``: the shared n-grams that only one of both has. Counted in each fragment, then summed."""
+    mine = groups.join(segments, "doc_id")
+    theirs = pivots.select("pivot", "m").join(segments.select(F.col("doc_id").alias("pivot"), "fragment", F.col("grams").alias("theirs")), "pivot")
+    theirs = theirs.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("fragment", "theirs"))).alias("all"))  # the fragments of one document
+    both = _with_salted(mine, theirs, "pivot", "doc_id", heavy).withColumn("theirs", F.element_at("all", F.col("fragment") + 1)["theirs"])
+    part = F.struct(F.array_except("grams", "theirs").alias("more"), F.array_except("theirs", "grams").alias("less"))
+    cols = [c for c in groups.columns if c not in ("pivot", "doc_id")]
+    parts = both.select("pivot", "doc_id", *cols, F.size(F.array_intersect("grams", "theirs")).alias("c"), part.alias("part"))
+    out = parts.groupBy("pivot", "doc_id").agg(*(F.first(c).alias(c) for c in cols), F.sum("c").alias("overlap"), F.collect_list("part").alias("parts"))
+    return out.select("pivot", "doc_id", *cols, "overlap", F.concat(F.flatten("parts.more"), F.flatten("parts.less")).alias("elements"))
 
 
 def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """``(id, component)`` of all documents of ``sets`` that link."""
-    spark = sets.sparkSession
-    prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
-    buckets = sets.select("doc_id", "n", F.size("grams").alias("s"), F.explode(prefix).alias("x")).select(F.col("x.gram").alias("gram"), "doc_id", "n", "s")
-    components, pivots = spark.createDataFrame([], "id long, component long"), 1
-    anchors = spark.createDataFrame([], "doc_id long, anchor long, known long")
+    """``(id, component)`` of all documents of ``sets`` that link.
+
+    A document is seen as a set X of x elements, of which xs are shared with others: at first all its n-grams, later those that differ from a pivot. Two documents differ in as many
+    elements as their X do, so they link if |X1 ^ X2| is at most (100 - p) / (100 + p) of n1 + n2. With f = (100 + p) x - (100 - p) n that means: X1 and X2
+    share at least (f1 + f2) / (2 (100 + p)) elements. So the prefix rule holds for X too, and those with f1 + f2 <= 0 link in any case.
+
+    Rows of a bucket may share an element at ``pos`` of theirs in a common order, and at most min(xs - pos) from there on."""
+    spark, p, q = sets.sparkSession, 100 + percent, 100 - percent
+    f = F.col("x") * p - F.col("n") * q
+    rows, pairs, small = _buckets(sets, percent), [], SMALL_BUCKET
+    edges = spark.createDataFrame([], "id long, component long")
     while True:
-        live = materialize(_contenders(buckets, components, anchors, percent), "buckets")
-        if live.isEmpty():
-            return components
-        side = lambda df, x: df.select("gram", F.col("doc_id").alias(x), *[F.col(c).alias(f"{c[0] if c != 'anchor' else 'p'}{x}") for c in ("n", "s", "component", "anchor", "known")])
-        small, large = live.filter(F.col("m") <= SMALL_BUCKET), live.filter(F.col("m") > SMALL_BUCKET)
-        fits = (F.col("ca") != F.col("cb")) & _may_reach(percent) & _may_reach_by_anchor(percent)
-        near = side(small, "a").join(side(small, "b"), "gram").filter("a < b").filter(fits)
+        rows = rows.withColumn("f", f).withColumn("most", 2 * p * (F.col("xs") - F.col("pos")) - F.col("f"))
+        span = [F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("f").alias("least_f"), F.max("most").alias("most_f")]
         # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
-        central = F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s", "component", "anchor", "known")
-        chosen = large.groupBy("gram", F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))).agg(F.min(central).alias("p")).select("gram", "p.*")
-        chosen = materialize(chosen, "pivots")
-        far = side(chosen, "a").join(side(large, "b"), "gram").filter("a <> b")
-        # The first pivots meet all others of their buckets, and become their anchors.
-        far = far if pivots == 1 else far.filter(fits)
-        pairs = near.unionByName(far)
-        flip = F.col("a") < F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        overlaps = materialize(_overlaps(pairs, segments), "overlaps")
-        links = overlaps.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
-
-        # An anchor once found stays, and among new ones the most central pivot is taken: copies of one text should have the same.
-        ends = overlaps.select(F.col("a").alias("doc_id"), F.col("b").alias("anchor"), F.col("overlap").alias("known")).union(overlaps.select("b", "a", "overlap"))
-        heads = chosen.select(F.col("doc_id").alias("anchor"), (F.col("s") - F.col("n")).alias("central"), "s").distinct()
-        offers = ends.join(heads, "anchor").select("doc_id", F.lit(1).alias("rank"), "central", "anchor", "known")
-        offers = offers.union(heads.select("anchor", F.lit(0), "central", "anchor", "s"))
-        offers = offers.union(anchors.select("doc_id", F.when(F.col("doc_id") == F.col("anchor"), 0).otherwise(2), F.lit(0), "anchor", "known"))
-        best = offers.groupBy("doc_id").agg(F.max(F.struct("rank", "central", (-F.col("anchor")).alias("a"), "known")).alias("o"))
-        anchors = materialize(best.select("doc_id", (-F.col("o.a")).alias("anchor"), F.col("o.known").cast("long").alias("known")), "anchors")
-
-        # Earlier components enter as edges from each document to its label.
-        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(components.filter("id <> component").select("id", "component"))
-        components = connected_components(edges)
-        buckets = materialize(large.select("gram", "doc_id", "n", "s").join(chosen.select("gram", "doc_id"), ["gram", "doc_id"], "left_anti"), "buckets")
-        pivots *= 4
-        if buckets.isEmpty():
-            return components
+        central = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s")).alias("pivot")
+        keys = materialize(rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f"), "keys")
+        live = _with_salted(rows, keys.drop("lo", "hi"), "key", "doc_id", _heavy(keys, "key")).filter("f <= most_f and least_f <= most")
+        live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "f", "most", "pivot"), "live")
+
+        side = lambda x: live.filter(F.col("m") <= small).select("key", *[F.col(c).alias(c[0] + x) for c in ("doc_id", "label", "n", "f", "most")])
+        fits = (F.col("da") < F.col("db")) & (F.col("la") != F.col("lb")) & (F.col("fa") <= F.col("mb")) & (F.col("fb") <= F.col("ma"))
+        near = side("a").join(side("b"), "key").filter(fits).select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb").distinct()
+        pairs.append(materialize(near, "pairs"))
+
+        large = live.filter(F.col("m") > small)
+        groups = large.filter("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.s").alias("ps"), "doc_id", "label", "n", "s").distinct()
+        groups = materialize(groups, "groups")
+        pivots = materialize(groups.groupBy("pivot").agg(F.count("*").alias("m"), F.first("pn").alias("pn"), F.first("ps").alias("ps")), "pivots")
+        heavy = _heavy(pivots, "pivot")
+        if pivots.isEmpty():
+            break
+        d = _differences(groups, pivots, segments, heavy).withColumn("x", F.col("n") + F.col("ps") - 2 * F.col("overlap")).withColumn("f", f)
+        d = materialize(d, "differences")
+        # Of all pairs with f1 + f2 <= 0 in a group, each document of one also has such a pair with the document of the least f.
+        first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"))
+        first = pivots.join(first, "pivot").withColumn("q", F.least("q", F.struct(((F.col("pn") - F.col("ps")) * p - F.col("pn") * q).alias("f"), F.col("pivot").alias("id"))))
+        d = _with_salted(d, first.select("pivot", "q"), "pivot", "doc_id", heavy)
+        to_pivot = p * F.col("overlap") >= percent * (F.col("pn") + F.col("n"))
+        to_first = (F.col("f") + F.col("q.f") <= 0) & (F.col("q.id") != F.col("doc_id"))
+        d = d.withColumn("to", F.array_compact(F.array(F.when(to_pivot, F.col("pivot")), F.when(to_first, F.col("q.id")))))
+        links = materialize(d.select("doc_id", F.explode(F.array_distinct("to")).alias("to")).distinct(), "links")
+        edges = connected_components(links.select(F.col("doc_id").alias("src"), F.col("to").alias("dst")).union(edges))
+        label = edges.select(F.col("id").alias("doc_id"), F.col("component").alias("new"))
+
+        # The common order within a group: elements of few documents first. Those that one document alone has find none, wherever they stand.
+        d = d.select("*", F.xxhash64("pivot", "doc_id").alias("one")).join(label, "doc_id", "left").withColumn("label", F.coalesce("new", "label"))
+        each = d.select("one", "doc_id", F.explode(F.transform("elements", lambda e: F.xxhash64("pivot", e))).alias("key"))
+        counts = materialize(each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+        each = _with_salted(each, counts, "key", "doc_id", _heavy(counts, "key"))
+        order = each.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("order"))
+        # The least number of elements that X shares with any other X it links with.
+        widest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * q / p)
+        least = F.greatest(F.lit(1), F.col("x") - widest, F.ceil((F.col("f") + F.col("q.f")) / (2 * p))).cast("int")
+        nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).withColumn("least", least).filter("least <= xs")
+        prefix = F.slice("order", 1, (F.col("xs") - F.col("least") + 1).cast("int"))
+        rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos")
+        done, rows = [keys, live, groups, pivots, links, counts], materialize(rows, "buckets")
+        for table in done:
+            drop_table(table)
+        small *= 2
+    both = functools.reduce(DataFrame.union, pairs).distinct()
+    overlaps = _overlaps(both, segments).filter(p * F.col("overlap") >= percent * (F.col("na") + F.col("nb")))
+    return connected_components(overlaps.select("a", "b").union(edges).toDF("src", "dst"))
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
@@ -203,9 +233,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     texts = rows.join(able, "doc_id", "left_semi")
     twice = named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     once = texts.join(twice, "doc_id", "left_anti").union(texts.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-    sets, fragment = _ordered_sets(once, k, percent, fragments)
-    cut = sets.select("doc_id", F.explode("grams").alias("x")).select("doc_id", F.col("x.o").alias("o"), F.col("x.gram").alias("gram"))
-    segments = materialize(cut.groupBy("doc_id", fragment.alias("fragment")).agg(F.collect_list("gram").alias("grams")), "segments")
+    sets, segments = _ordered_sets(once, k, percent, fragments)
     linked = _link_rounds(sets, segments, percent)
 
     named_all = prints.drop("first").join(classes, ["fp1", "fp2"], "left")

@@ -88,6 +88,21 @@ def test_jaccard_large_group_needs_no_pair_list(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+@pytest.mark.parametrize("edits", [(0, 9), (5, 5), (1, 1)])
+def test_jaccard_many_edited_copies(spark, edits):
+    """Copies of one text that share most n-grams, of which many, few or all pairs link; and copies of one of its copies."""
+    rng = random.Random(22)
+    base, rows = text(rng, 150).split(), []
+    sub = [f"s{i}" if i % 10 == 0 else w for i, w in enumerate(base)]
+    for i in range(700):
+        w = list(base if i % 3 else sub)
+        for j in rng.sample(range(150), rng.randint(*edits)):
+            w[j] = f"y{rng.randint(0, 30)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_jaccard_odd_rows(spark):
     docs = odd_docs()
     rows = jaccard.components(frame(spark, docs)).collect()
