@@ -3,9 +3,9 @@
 1. Documents are encoded and cut into pieces of at most ``capacity`` tokens; only lengths go on.
 2. The histogram of lengths (at most ``capacity`` rows, whatever the data) goes to the driver. A configuration is a multiset of lengths
    that fits a sequence. The covering LP (fewest configurations that cover the histogram) is solved by multiplicative weights: a knapsack by dynamic
-   programming finds the configuration of the greatest weight, it is taken for a share of what its scarcest length still needs, and the weights of
-   its lengths fall with their cover.
-3. The solution is rounded down; what is left goes through the program again, and the rest by best fit in falling order, both on the histogram.
+   programming over all lengths prices configurations, the best ones are taken, and the prices of lengths move with their cover (``solve``).
+3. The mean of the iterations is rounded, most taken configurations first; what is left goes through the program again, up to ROUNDS times, and the rest by
+   best fit in falling order; the round after which the whole is shortest counts. ``solved`` gives the share of both and the lower bound.
 4. Pieces get a rank within their length without any large group: each length is cut into hash buckets, counts of the buckets are summed up,
    and rows are numbered within a bucket. A rank then names the sequence and the offset by a binary search in the table of
    configurations.
@@ -18,6 +18,7 @@ alike). An empty table gives an empty result. A null doc_id stays null. Extra co
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from ..plans.durable import materialize
 from . import pieces
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
-ITERATIONS, CANDIDATES, ROUNDS, BUCKET_ROWS = 120, 384, 3, 2000
+ITERATIONS, ROUNDS, BUCKET_ROWS, NEAR, NOISE, ETA = 20, 12, 2000, 0.998, 1e-3, 0.05
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,52 +53,85 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, PIECES_DDL)
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int) -> Config:
-    """The multiset of greatest value that fits; at most ``counts`` copies of a length. Copies are offered as 1, 2, 4 ... at once."""
-    best, items, took = np.zeros(capacity + 1), [], []
-    for length, n, v in zip(lengths.tolist(), counts.tolist(), values.tolist(), strict=True):
-        k = 1
-        while k * length <= capacity and 2 * k - 1 <= n:
-            size = k * length
-            with_it = best[: capacity + 1 - size] + k * v
-            better = with_it > best[size:] + 1e-12
-            best[size:][better] = with_it[better]
-            items.append((length, k))
-            took.append((size, better))
-            k *= 2
-    room, out = capacity, Counter()
-    for (length, k), (size, better) in zip(reversed(items), reversed(took), strict=True):
-        if room >= size and better[room - size]:
-            out[length] += k
-            room -= size
-    return tuple(sorted(out.items(), reverse=True))
-
-
-def solve(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, step: float = 0.25, eta: float = 2.0) -> dict[Config, float]:
-    """A fractional solution of the configuration LP by multiplicative weights; it covers no length more than once."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room from 0 to ``capacity`` the greatest value of a multiset of lengths that fits, and the place of one of its lengths (-1: nothing fits).
+
+    ``lengths`` are rising; of equally good ones the longest is taken."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    fall, worth = np.ascontiguousarray(lengths[::-1]), np.ascontiguousarray(values[::-1])
+    firsts = len(lengths) - np.searchsorted(lengths, np.arange(capacity + 1), "right")  # the first of ``fall`` that fits
+    for room in range(int(lengths[0]), capacity + 1):
+        at = firsts[room]
+        with_it = best[room - fall[at:]] + worth[at:]
+        k = int(with_it.argmax())
+        if with_it[k] > best[room - 1]:
+            best[room], choice[room] = with_it[k], len(lengths) - 1 - at - k
+        else:
+            best[room], choice[room] = best[room - 1], -1
+    return best, choice
+
+
+def columns(lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int, near: float) -> tuple[float, list[tuple[tuple[int, int], ...]]]:
+    """The greatest value of a configuration, and for each length the most valuable configuration with it (as (place, copies) pairs), if its value
+    is at least ``near`` of the greatest and it holds no more copies than there are."""
+    best, choice = knapsack(lengths, values, capacity)
+    out = {}
+    for i in np.flatnonzero(values + best[capacity - lengths] >= near * best[capacity]).tolist():
+        held, room = {i: 1}, capacity - int(lengths[i])
+        while room > 0:
+            j = int(choice[room])
+            if j < 0:
+                room -= 1
+                while room > 0 and choice[room] < 0:
+                    room -= 1
+                continue
+            held[j] = held.get(j, 0) + 1
+            room -= int(lengths[j])
+        if all(counts[j] >= n for j, n in held.items()):
+            out[tuple(sorted(held.items()))] = None
+    return float(best[capacity]), list(out)
+
+
+def solve(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, near: float | None = None, eta: float | None = None) -> tuple[dict[Config, float], float]:
+    """A fractional solution of the covering LP by multiplicative weights, and the best lower bound on the number of sequences its prices have given.
+
+    Prices start in proportion to the lengths. Each iteration prices configurations by the knapsack over all lengths, shares the sequences out among the
+    best ones by what their scarcest length allows, and multiplies prices down where lengths were covered more than needed and up where less. The mean over the iterations is
+    the solution; total price of all lengths over the greatest price of a configuration is the dual bound."""
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[x] for x in lengths.tolist()], float)
-    left, cover, base = need.copy(), np.zeros(len(lengths)), lengths / capacity
-    at = {x: i for i, x in enumerate(lengths.tolist())}
-    out: Counter = Counter()
+    price = lengths / capacity
+    near, eta = near or NEAR, eta or ETA
+    bound, total, spread = 0.0, Counter(), np.random.default_rng(0)
     for _ in range(iterations):
-        weight = base * np.exp(-eta * cover)
-        live = np.flatnonzero(left >= 1)
-        if not len(live):
+        # A little noise picks other ones of many equally good configurations; the bound holds for any prices.
+        noisy = price * (1 + NOISE * spread.random(len(lengths)))
+        top, found = columns(lengths, need, noisy, capacity, near)
+        bound = max(bound, float(need @ noisy) / top)
+        if not found:
             break
-        # Pricing over the lengths that weigh most for their size, with the smallest ones to fill gaps.
-        order = live[np.argsort(-weight[live] / lengths[live], kind="stable")]
-        pick = np.unique(np.concatenate([order[:CANDIDATES], live[:32]]))[::-1]
-        config = knapsack(lengths[pick], left[pick].astype(np.int64), weight[pick], capacity)
-        if not config:
-            break
-        idx, copies = np.array([at[x] for x, _ in config]), np.array([k for _, k in config], float)
-        most = (left[idx] / copies).min()
-        x = min(most, max(1.0, step * most))
-        out[config] += x
-        left[idx] -= copies * x
-        cover[idx] += copies * x / need[idx]
-    return dict(out)
+        room = np.array([min(need[i] / n for i, n in c) for c in found])
+        share, cover = bound * room / room.sum(), np.zeros(len(lengths))
+        for c, x in zip(found, share.tolist(), strict=True):
+            total[c] += x
+            for i, n in c:
+                cover[i] += n * x
+        price = price * np.exp(-eta * np.clip(cover / need - 1, -1, 1))
+        price /= price.max()
+    return {tuple((int(lengths[i]), n) for i, n in reversed(c)): x / iterations for c, x in total.items()}, bound
+
+
+def rounded(solution: dict[Config, float], histogram: dict[int, int], least: float = 0) -> tuple[list[tuple[Config, int]], dict[int, int]]:
+    """Whole numbers of the configurations, those taken most first: rounded up as far as what is left of each length allows. And what is left of the histogram.
+    Configurations of fewer than ``least`` tokens aren't taken."""
+    left, out = dict(histogram), []
+    for config, x in sorted(solution.items(), key=lambda t: (-t[1], t[0])):
+        n = min(math.ceil(x - 1e-9), *(left.get(length, 0) // k for length, k in config))
+        if n > 0 and sum(length * k for length, k in config) >= least:
+            out.append((config, n))
+            for length, k in config:
+                left[length] -= n * k
+    return out, {length: n for length, n in left.items() if n}
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -145,26 +179,32 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int
 
 def plan(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
     """Configurations with the number of sequences each is used for; together they hold the histogram exactly."""
-    left = dict(histogram)
-    out: list[tuple[Config, int]] = []
+    return solved(histogram, capacity, iterations, rounds)[0]
+
+
+def solved(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, rounds: int = ROUNDS) -> tuple[list[tuple[Config, int]], int, float]:
+    """The plan, how many of its sequences come from the rounded program (the others from best fit), and the lower bound on sequences."""
+    left, out = dict(histogram), []
     if full := left.pop(capacity, 0):
         out.append((((capacity, 1),), full))
     bound = -(-sum(length * n for length, n in histogram.items()) // capacity)
-    rest: list[tuple[Config, int]] = []
-    for _ in range(max(1, rounds)):
-        for config, x in sorted(solve(left, capacity, iterations).items(), key=lambda t: (-t[1], t[0])) if left else ():
-            n = min(int(x + 1e-9), *(left.get(length, 0) // k for length, k in config))
-            # A configuration with much room left is better filled by best fit.
-            if n and sum(length * k for length, k in config) >= 0.995 * capacity:
-                out.append((config, n))
-                for length, k in config:
-                    left[length] -= n * k
-                    if not left[length]:
-                        del left[length]
+    found, least = [], capacity
+    for k in range(rounds):
+        if not left:
+            break
+        solution, dual = solve(left, capacity, iterations)
+        if k == 0:
+            bound = max(bound, full + math.ceil(dual - 1e-6))
+        taken, left = rounded(solution, left, least)
+        out = out + taken
         rest = best_fit(left, capacity)
-        if sum(n for _, n in out + rest) <= bound:  # no packing can be shorter
+        found.append((sum(n for _, n in out + rest), -k, out, rest))
+        if not taken and least < capacity:
             break
-    return out + rest
+        # Full configurations first; where there are no more, those that waste little.
+        least = capacity if taken and least == capacity else capacity * NEAR
+    _, _, out, rest = min(found, key=lambda t: t[:2]) if found else (0, 0, out, [])
+    return out + rest, sum(n for _, n in out), bound
 
 
 def place(parts: DataFrame, capacity: int, **options) -> DataFrame:
