@@ -11,7 +11,7 @@ gzip member, as archives do) and ``read_files`` reads them through Spark.
 Ids are urn:uuid of a hash of (target, date, payload digest, record type), so a repeated run gives the same ids.
 
 Edge cases: a null page body is an empty one; a null url gives an empty target. A response without a header end has an empty body. Broken HTML is read as far
-as it goes; bytes that aren't UTF-8 become U+FFFD in the text. Repeated pages give repeated records. An empty table gives an empty result. Extra columns are ignored.
+as it goes; bytes that aren't of the named charset become U+FFFD in the text; an unknown charset is read as UTF-8. Repeated pages give repeated records. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,12 +38,15 @@ from ..plans.durable import materialize
 DDL = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, payload_digest string, block_digest string, headers map<string,string>, block binary"
 SCHEMA = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest")), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 CRAWL_DATE = "2024-01-01T00:00:00Z"
-# Tags end at the next "<" too, so that a broken one costs no search to the end of the page.
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
-_INSIDE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|(<(script|style|template)\b[^<>]*>).*?(?:</\2\s*>|\Z)")
-_BLOCKS = re.compile(r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|blockquote|pre|title)|br|hr)\b[^<>]*>")
-_TAG, _SPACE = re.compile(r"<[/!?a-zA-Z][^<>]*>"), re.compile(r"[ \t\r\f\v\n]+")
-_LINK = re.compile(r"(?is)<(?:(a)\b([^<>]*)>([^<]*(?:<(?!/?a\b)[^<]*)*)|(link|img|script|iframe|area)\b([^<>]*)>)")
+# What stands in a tag: quoted values may hold ">". A tag ends at the next "<" too, so that a broken one costs no search to the end of the page.
+_IN = r"""(?>[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*+"""
+_HIDDEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b{_IN}>.*?(?:</\1\s*>|\Z)")
+_INSIDE = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|(<(script|style|template)\b{_IN}>).*?(?:</\2\s*>|\Z)")
+# The end tag of a head may lack; then the head ends where the body begins, or has no end that could be seen.
+_HEAD, _HEAD_END = re.compile(rf"(?i)<head\b{_IN}>"), re.compile(r"(?i)</head\s*>|(?=<body\b)")
+_BLOCKS = re.compile(rf"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|blockquote|pre|title)|br|hr)\b{_IN}>")
+_TAG, _SPACE = re.compile(rf"<[/!?a-zA-Z]{_IN}>"), re.compile(r"[ \t\r\f\v\n]+")
+_LINK = re.compile(rf"(?is)<(?:(a)\b({_IN})>([^<]*(?:<(?!/?a\b)[^<]*)*)|(link|img|script|iframe|area)\b({_IN})>)")
 _ATTR = re.compile(r"""(?is)(?:^|\s)(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
@@ -55,6 +59,8 @@ def record_id(*parts: str) -> str:
 
 
 def plain_text(page: str) -> str:
+    if (head := _HEAD.search(page)) and (end := _HEAD_END.search(page, head.end())):
+        page = page[: head.start()] + " " + page[end.end() :]
     text = _BLOCKS.sub("\n", _HIDDEN.sub(" ", page))
     lines = (_SPACE.sub(" ", html.unescape(_TAG.sub("", line))).strip() for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
@@ -87,18 +93,46 @@ def response(page_id: int | None, url: str | None, body: str | None, date: str =
     return _record(page_id, "response", url or "", date, digest(data), http + data, "application/http; msgtype=response", None)
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in their order (repeated ones too) and body as sent."""
     head, sep, body = block.partition(b"\r\n\r\n")
     if not sep:
-        return "", {}, b""
+        return "", [], b""
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
+    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
+    """The body's text: chunks joined, content encoding undone as far as it can be read, characters as Content-Type names them (else UTF-8)."""
+    named = {k.lower(): v for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        whole, rest = [], body
+        while m := re.match(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n", rest):
+            n = int(m[1], 16)
+            if not n:
+                break
+            whole.append(rest[m.end() : m.end() + n])
+            rest = rest[m.end() + n + 2 :]
+        body = b"".join(whole) or body
+    for coding in reversed(named.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):  # gzip or zlib by its header; bare deflate
+                try:
+                    body = zlib.decompressobj(bits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+    charset = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""))
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):  # no such charset, or one that isn't of text
+        return body.decode("utf-8", "replace")
 
 
 def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of a response record (a row as a dict)."""
-    status, headers, body = split_http(r["block"])
-    page = body.decode("utf-8", "replace")
+    status, headers, body = split_http(r["block"] or b"")
+    page = decoded(headers, body)
     about = {"status": status, "headers": headers, "payload_digest": r["payload_digest"], "block_digest": r["block_digest"], "links": links(page)}
     own = [r["page_id"]], (r["target_uri"], r["date"], r["payload_digest"])
     meta = _record(*own[0], "metadata", *own[1], json.dumps(about, ensure_ascii=False).encode("utf-8", "surrogatepass"), "application/json", r["record_id"])
