@@ -15,7 +15,7 @@ So an item also counts as leaked if, around a retrieved passage, three quarters
 the item's length), among them ``min_question`` of the question's and ``min_answer`` of the answer's; one word of either may always lack. Items of
 three words or fewer must be whole. Overlaps are shares of grams where these suffice, else of words in order.
 
-Test items are read in blocks of ``block_items``: only one block's index is at the driver and in a task at a time, and the
+Test items are read in blocks of ``block_items``, with the idf and the mean length of all items, so decisions don't depend on the blocks: only one block's index is at the driver and in a task at a time, and the
 documents are searched for each block. No document is shuffled; documents with a third of all rows in common are no matter.
 
 Edge cases: words are runs of letters, digits and underscores, lower-cased. Null or empty texts and items, and items without a word, leak nothing.
@@ -34,9 +34,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import materialize
+
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)|\n+(?=\S)")
 STRIDE, THRESHOLD, MIN_QUESTION, MIN_ANSWER, GRAM, BLOCK, RANGES, BLOCK_ITEMS = 32, 0.5, 0.6, 0.5, 5, 8, 48, 20_000
@@ -75,7 +78,8 @@ class Index:
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # largest weight of each term in each range
 
 
-def build_index(rows: list[tuple[int | None, str | None]], stride: int = STRIDE, k1: float = 1.2, b: float = 0.75, gram: int = GRAM) -> Index:
+def build_index(rows: list[tuple[int | None, str | None]], stride: int = STRIDE, k1: float = 1.2, b: float = 0.75, gram: int = GRAM, whole: tuple[int, float, dict[str, int]] | None = None) -> Index:
+    """``whole`` has number, mean length and document frequencies of all items, if ``rows`` are a block of them."""
     x, bags = Index(), []
     split = [(item_id, *question_and_answer(text or "")) for item_id, text in rows]
     for item_id, q, a in sorted((r for r in split if r[1]), key=lambda r: (len(r[1]) + len(r[2]), r[1], r[2])):
@@ -86,9 +90,10 @@ def build_index(rows: list[tuple[int | None, str | None]], stride: int = STRIDE,
         x.texts.append((q + a, len(q)))
     n, mean = len(bags), sum(map(len, bags)) / max(1, len(bags))
     df = Counter(t for ws in bags for t in set(ws))
+    n_all, mean, df_all = whole or (n, mean, df)
     x.terms = {t: i for i, t in enumerate(df)}
     x.docs, x.weights = [[] for _ in df], [[] for _ in df]
-    idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    idf = {t: math.log(1 + (n_all - df_all[t] + 0.5) / (df_all[t] + 0.5)) for t in df}
     for i, ws in enumerate(bags):
         norm = k1 * (1 - b + b * len(ws) / mean)
         w = {t: idf[t] * c * (k1 + 1) / (c + norm) for t, c in Counter(ws).items()}
@@ -246,6 +251,23 @@ def search(x: Index, text: str, stride: int, threshold: float, min_question: flo
 _minus_one = [-1] * 100_000
 
 
+def _hash(item_id: int | None, text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(f"{item_id} {text}".encode("utf-8", "surrogatepass")) >> 1
+
+
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(map(_hash, ids, texts), pa.int64())], ["item_id", "text", "k"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash, length and distinct terms of each item that has words."""
+    for b in batches:
+        rows = [(_hash(i, t), len(ws), sorted(set(ws))) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (ws := words(t or ""))]
+        yield pa.RecordBatch.from_pylist([dict(zip(("k", "n", "terms"), r, strict=True)) for r in rows], schema=pa.schema([("k", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.string()))]))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", stride: int = STRIDE, threshold: float = THRESHOLD, min_question: float = MIN_QUESTION, min_answer: float = MIN_ANSWER, gram: int = GRAM, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of each test item that a document leaks."""
     spark = docs.sparkSession
@@ -253,9 +275,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     blocks = -(-tests.count() // block_items)
     out = spark.createDataFrame([], DDL)
+    if blocks > 1:  # idf and mean length are those of all items
+        bags = materialize(tests.mapInArrow(_bags, "k long, n long, terms array<string>").withColumn("block", F.pmod("k", F.lit(blocks))), "item-terms")
+        n_all, total = bags.agg(F.count("*"), F.sum("n")).first()
+        df = materialize(bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("d")), "item-df")
     for k in range(blocks):
-        own = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], stride, gram=gram))  # about block_items items
+        own, whole = tests, None
+        if blocks > 1:
+            own = tests.mapInArrow(_with_hash, "item_id long, text string, k long").filter(F.pmod("k", F.lit(blocks)) == k).select("item_id", "text")
+            terms = bags.filter(F.col("block") == k).select(F.explode("terms").alias("term")).distinct()
+            whole = n_all, total / max(1, n_all), dict(df.join(terms, "term").select("term", "d").collect())  # the terms of one block
+        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], stride, gram=gram, whole=whole))  # about block_items items
 
         def task(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value

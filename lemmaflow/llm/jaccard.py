@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.durable import drop_table, materialize
+from .skew import heavy_keys, join_by_key
 from .text import ascii_words, shingle_hashes
 
 FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT = 4, 32, 5
-HEAVY, SALTS = 1000, 32
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("first", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
@@ -118,21 +118,6 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
 
 
-def _with_salted(rows: DataFrame, by_key: DataFrame, key: str, spread: str, heavy: DataFrame) -> DataFrame:
-    """``rows`` joined with ``by_key`` (a row for each key). Rows of the ``heavy`` keys are dealt to SALTS tasks each; these are at most HEAVY keys, as each has more
-    than that part of all rows, so they may be broadcast."""
-    marked = F.broadcast(heavy.select(F.col(key), F.lit(True).alias("heavy")))
-    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(marked, key, "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("heavy")
-    right = by_key.join(marked, key, "left").withColumn("salt", F.explode(salts)).drop("heavy")
-    return left.join(right, [key, "salt"]).drop("salt")
-
-
-def _heavy(by_key: DataFrame, key: str) -> DataFrame:
-    total = by_key.agg(F.sum("m")).first()[0] or 0
-    return by_key.filter(F.col("m") * HEAVY > max(total, HEAVY * SMALL_BUCKET)).select(key)
-
-
 def _buckets(sets: DataFrame, percent: int) -> DataFrame:
     """A row for each n-gram of each prefix."""
     prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
@@ -145,7 +130,7 @@ def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heav
     mine = groups.join(segments, "doc_id")
     theirs = pivots.select("pivot", "m").join(segments.select(F.col("doc_id").alias("pivot"), "fragment", F.col("grams").alias("theirs")), "pivot")
     theirs = theirs.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("fragment", "theirs"))).alias("all"))  # the fragments of one document
-    both = _with_salted(mine, theirs, "pivot", "doc_id", heavy).withColumn("theirs", F.element_at("all", F.col("fragment") + 1)["theirs"])
+    both = join_by_key(mine, theirs, "pivot", "doc_id", heavy).withColumn("theirs", F.element_at("all", F.col("fragment") + 1)["theirs"])
     part = F.struct(F.array_except("grams", "theirs").alias("more"), F.array_except("theirs", "grams").alias("less"))
     cols = [c for c in groups.columns if c not in ("pivot", "doc_id")]
     parts = both.select("pivot", "doc_id", *cols, F.size(F.array_intersect("grams", "theirs")).alias("c"), part.alias("part"))
@@ -171,7 +156,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
         central = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s")).alias("pivot")
         keys = materialize(rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f"), "keys")
-        live = _with_salted(rows, keys.drop("lo", "hi"), "key", "doc_id", _heavy(keys, "key")).filter("f <= most_f and least_f <= most")
+        live = join_by_key(rows, keys.drop("lo", "hi"), "key", "doc_id", heavy_keys(keys, "key")).filter("f <= most_f and least_f <= most")
         live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "f", "most", "pivot"), "live")
 
         side = lambda x: live.filter(F.col("m") <= small).select("key", *[F.col(c).alias(c[0] + x) for c in ("doc_id", "label", "n", "f", "most")])
@@ -183,7 +168,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         groups = large.filter("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.s").alias("ps"), "doc_id", "label", "n", "s").distinct()
         groups = materialize(groups, "groups")
         pivots = materialize(groups.groupBy("pivot").agg(F.count("*").alias("m"), F.first("pn").alias("pn"), F.first("ps").alias("ps")), "pivots")
-        heavy = _heavy(pivots, "pivot")
+        heavy = heavy_keys(pivots, "pivot")
         if pivots.isEmpty():
             break
         d = _differences(groups, pivots, segments, heavy).withColumn("x", F.col("n") + F.col("ps") - 2 * F.col("overlap")).withColumn("f", f)
@@ -191,7 +176,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         # Of all pairs with f1 + f2 <= 0 in a group, each document of one also has such a pair with the document of the least f.
         first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"))
         first = pivots.join(first, "pivot").withColumn("q", F.least("q", F.struct(((F.col("pn") - F.col("ps")) * p - F.col("pn") * q).alias("f"), F.col("pivot").alias("id"))))
-        d = _with_salted(d, first.select("pivot", "q"), "pivot", "doc_id", heavy)
+        d = join_by_key(d, first.select("pivot", "q"), "pivot", "doc_id", heavy)
         to_pivot = p * F.col("overlap") >= percent * (F.col("pn") + F.col("n"))
         to_first = (F.col("f") + F.col("q.f") <= 0) & (F.col("q.id") != F.col("doc_id"))
         d = d.withColumn("to", F.array_compact(F.array(F.when(to_pivot, F.col("pivot")), F.when(to_first, F.col("q.id")))))
@@ -203,7 +188,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         d = d.select("*", F.xxhash64("pivot", "doc_id").alias("one")).join(label, "doc_id", "left").withColumn("label", F.coalesce("new", "label"))
         each = d.select("one", "doc_id", F.explode(F.transform("elements", lambda e: F.xxhash64("pivot", e))).alias("key"))
         counts = materialize(each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-        each = _with_salted(each, counts, "key", "doc_id", _heavy(counts, "key"))
+        each = join_by_key(each, counts, "key", "doc_id", heavy_keys(counts, "key"))
         order = each.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("order"))
         # The least number of elements that X shares with any other X it links with.
         widest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * q / p)

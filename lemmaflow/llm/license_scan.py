@@ -31,6 +31,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import materialize
+from .skew import heavy_keys, join_by_key
+
 #: The short notices by which these public licences are commonly granted.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -185,8 +188,6 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", **options) -> DataFrame:
     """``(id, path, license, origin, score, line_no, license_dir)`` of every file; origin is own, inherited or none."""
-    from ..plans.durable import materialize
-
     found = materialize(notices(files, id_col, text_col, **options), "notices")
     own = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), directory(F.col(path_col)).alias("dir"))
     own = own.join(found.withColumnRenamed("id", "found_id"), F.col("id").eqNullSafe(F.col("found_id")), "left").drop("found_id")
@@ -198,7 +199,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     ups = dirs.select("dir", F.explode(chain).alias("c")).select("dir", "c.depth", "c.up")
     near = ups.join(granted, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "granted")).alias("g")).select("dir", F.col("g.up").alias("up"), F.col("g.granted").alias("granted"))
-    out = own.join(near, "dir", "left")
+    counts = materialize(own.filter("dir is not null").groupBy("dir").agg(F.count("*").alias("m")), "directories")
+    out = join_by_key(own, near, "dir", "id", heavy_keys(counts, "dir"), "left")
     taken = F.col("license").isNull() & F.col("granted").isNotNull()
     return out.select(
         F.col("id").alias(id_col), F.col("path").alias(path_col), F.coalesce("license", "granted").alias("license"),

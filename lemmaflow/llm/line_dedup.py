@@ -9,7 +9,7 @@ of all pages costs one row a task. Kept texts are rebuilt on the row of the docu
 
 Edge cases: a null host is a host of its own; a null text stays null and counts as a page without lines; an
 empty text or line without any character but white space never goes (it is layout). Repeated rows are pages of their own; rows
-of one id and host share the decision, which depends on host and line alone. Extra columns pass through.
+of one id and host share the decision, which depends on host and line alone. Extra columns pass through, but for input columns named n_lines or n_dropped, which give way to the counts.
 """
 
 from __future__ import annotations
@@ -43,21 +43,22 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
     broadcast; beyond that they are repeated for ``SALTS`` salts and joined on (host, salt), which spreads a host
     with a third of all pages over that many tasks."""
     bad = boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
-    arrays = materialize(bad.groupBy("host").agg(F.collect_list("line_hash").alias("bad_hashes")).withColumnRenamed("host", "host_"), "boilerplate")
-    same = F.col(host_col).eqNullSafe(F.col("host_"))
-    if (arrays.agg(F.sum(F.size("bad_hashes"))).first()[0] or 0) <= MAX_BROADCAST:
-        joined = docs.join(F.broadcast(arrays), same, "left")
+    arrays = materialize(bad.groupBy("host").agg(F.collect_list("line_hash").alias("bad")), "boilerplate")
+    # The row goes along as one struct, so that its names can't clash with those used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(host_col).alias("own"), F.col(text_col).alias("text"))
+    same = F.col("own").eqNullSafe(F.col("host"))
+    if (arrays.agg(F.sum(F.size("bad"))).first()[0] or 0) <= MAX_BROADCAST:
+        joined = rows.join(F.broadcast(arrays), same, "left")
     else:
-        salted = arrays.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("salt__", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt__") == F.col("salt_")), "left")
-    hashes = F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(x))
-    hit = F.arrays_overlap(hashes, F.col("bad_hashes"))
-    kept = F.filter(_lines(F.col(text_col)), lambda x: ~F.array_contains(F.col("bad_hashes"), F.xxhash64(x)))
-    text = F.when(F.coalesce(hit, F.lit(False)), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    n = F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0))
-    out = joined.select(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).alias("old_text_"), text.alias("new_text_"))
-    n_old = F.when(F.col("old_text_").isNull(), 0).otherwise(F.size(_lines(F.col("old_text_"))))
-    # A text of which every line goes becomes empty: its one remaining split part isn't a line.
-    n_new = F.when(F.col("new_text_").isNull() | ((F.col("new_text_") == "") & (F.col("old_text_") != "")), 0).otherwise(F.size(_lines(F.col("new_text_"))))
-    return out.select(*[c for c in docs.columns if c != text_col], F.col("new_text_").alias(text_col), n_old.cast("long").alias("n_lines"), (n_old - n_new).cast("long").alias("n_dropped"))
-
+        salted = arrays.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("to")), "left")
+    # Of the host's list only what the page has: found by hash, so a long list isn't searched for each line.
+    mine = F.array_intersect(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)), F.coalesce("bad", F.array().cast("array<bigint>")))
+    lines = F.when(F.col("text").isNotNull(), _lines(F.col("text")))
+    joined = joined.select("row", "text", lines.alias("lines"), mine.alias("mine"))
+    joined = joined.withColumn("kept", F.when(F.size("mine") > 0, F.filter("lines", lambda x: ~F.array_contains("mine", F.xxhash64(x)))))
+    n, left = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("kept"), F.size("lines"), F.lit(0))
+    n, left = F.greatest(n, F.lit(0)), F.greatest(left, F.lit(0))
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    return joined.select(*own, text.alias(text_col), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"))

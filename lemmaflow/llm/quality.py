@@ -14,7 +14,7 @@ covered by a 3-word window that is found twice or more in the text. 3-word windo
 
 Edge cases: a null or empty text has no words and fails the base rules. Without target documents or without words in
 the corpus all weights are 0 and the base rules alone decide. Null ids are kept as rows; a null label isn't trusted. Repeated
-rows are judged alike and counted each time. Very long texts cost n log n. Extra columns pass through ``keep_good``.
+rows are judged alike and counted each time. Very long texts cost n log n. Extra columns pass through; in ``judge`` those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 MAX_TRUSTED = 200_000
 BUCKETS, MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 1 << 14, 50, 50, -0.05
+PLACE_BITS = 24
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -48,13 +49,14 @@ def repeated_words(hashes: Column) -> Column:
     """Number of words (given by their hashes) covered by 3-word windows that occur twice or more.
 
     A window's hash and place share one long (40 and 24 bits), so that plain long sorting brings equal windows together;
-    the few windows that share 40 bits with another are then compared by all 64 bits."""
-    low = F.lit(0xFFFFFF)
+    the few windows that share 40 bits with another are then compared by all 64 bits. Where places need more than PLACE_BITS, all windows are compared that way."""
+    low = F.lit((1 << PLACE_BITS) - 1)
 
     def places(hs: Column) -> Column:
-        packed = F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(h, 24).bitwiseOR(i.cast("long").bitwiseAND(low))))
-        maybe = _let(packed, lambda xs: _neighbours(xs, lambda x: F.shiftright(x, 24)))
-        full = F.sort_array(F.transform(maybe, lambda x: F.struct(F.get(hs, x.bitwiseAND(low).cast("int")).alias("h"), x.bitwiseAND(low).cast("int").alias("p"))))
+        packed = F.sort_array(F.transform(hs, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long").bitwiseAND(low))))
+        maybe = _let(packed, lambda xs: _neighbours(xs, lambda x: F.shiftright(x, PLACE_BITS)))
+        some = F.sort_array(F.transform(maybe, lambda x: F.struct(F.get(hs, x.bitwiseAND(low).cast("int")).alias("h"), x.bitwiseAND(low).cast("int").alias("p"))))
+        full = F.when(F.size(hs) <= 1 << PLACE_BITS, some).otherwise(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p")))))
         return _let(full, lambda xs: F.sort_array(F.transform(_neighbours(xs, lambda x: x["h"]), lambda x: x["p"])))
 
     def covered(ps: Column) -> Column:
@@ -118,12 +120,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # As text and cast back, which is exact and folds into one constant: a plan of one literal, not of 16,384.
     weights = F.split(F.lit(",".join(map(repr, bucket_weights(docs, labels, id_col, text_col, buckets)))), ",").cast("array<double>")
     hashes = F.col("_hashes")
-    counts = {"n_words": F.size(hashes).cast("long"), **base_counts(F.col(text_col)), "n_repeat_words": repeated_words(hashes).cast("long")}
-    out = with_hashes(docs, text_col).withColumns(counts | {"llr": F.round(mean_weight(hashes, weights, buckets), 6)}).drop("_hashes")
+    counts = {"n_words": F.size(hashes).cast("long"), **base_counts(F.col("text")), "n_repeat_words": repeated_words(hashes).cast("long")}
+    # The row goes along as one struct, so that its names can't clash with those used here.
+    out = with_hashes(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "text")
+    out = out.withColumns(counts | {"llr": F.round(mean_weight(hashes, weights, buckets), 6)})
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    names = [*counts, "llr", "base_failed", "kept"]
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in names), *names)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns only."""
-    return judge(docs, labels, **options).filter("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns only, whatever these are called."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = judge(packed, labels.withColumnRenamed(id_col, "id"), "id", "text", **options).filter("kept")
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))

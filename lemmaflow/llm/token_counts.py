@@ -12,7 +12,7 @@ tokenizers library's Unigram model:
 Texts are first cut as the Metaspace pre-tokenizer does: spaces become U+2581, one is put in front, and a piece never reaches across the front of a U+2581. Each word thus
 counts by itself, and counts of words are remembered (at most ``MAX_WORDS`` in a worker; others are counted each time).
 
-Edge cases: a null text has a null count, an empty one 0. All other white space is ordinary text. Repeated rows count alike; extra columns pass through.
+Edge cases: a null text has a null count, an empty one 0. All other white space is ordinary text. Repeated rows count alike; extra columns pass through, but an input column named n_tokens gives way to the count.
 An empty table gives an empty result. Time is linear in the length of a text.
 """
 
