@@ -12,29 +12,31 @@ from lemmaflow.plans.durable import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, so null, empty and short texts too. Rows are judged one by one: repeated ones alike, those with a null id like others.
+    An empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; n_chars follows the text."""
+    """Boilerplate lines of each source (a null one is a source too) go; n_chars follows the text. No row goes: null texts stay null, a text of boilerplate alone becomes empty.
+    Repeated rows are pages of their own."""
     out = line_dedup.drop_boilerplate(docs).drop("n_lines", "n_dropped")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays, with all rows of that id. Null and empty texts and rows with a null id are copies of nothing and stay."""
     ship_package(spark)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go, all rows of that id. Null and empty texts and rows with a null id stay; without items, all do."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, in sequences of 4096 tokens."""
+    """All rows that are left, in sequences of 4096 tokens. A null or empty text is one end id; rows that repeat an id are packed each."""
     ship_package(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
