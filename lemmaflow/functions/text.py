@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 
 IDENTIFIER = r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\b"
 
+#: Words that the first version of surface premises leaves out.
+FIRST_KEYWORDS = [
+    "apply", "at", "by", "calc", "cases", "congr", "constructor", "conv", "decide", "do", "else", "exact", "ext", "from", "fun", "have", "if", "in", "induction", "intro", "intros", "let", "linarith",
+    "match", "obtain", "omega", "only", "rcases", "refine", "refl", "return", "rfl", "ring", "rw", "show", "simp", "simp_rw", "then", "trivial", "using", "where", "with",
+]
+#: Tactic keywords that identifier references leave out.
+REFERENCE_KEYWORDS = [
+    "aesop", "all_goals", "apply", "assumption", "by", "calc", "case", "cases", "change", "choose", "congr", "constructor", "contrapose", "convert", "exact", "ext", "field_simp", "first", "fun",
+    "guard_hyp", "guard_target", "have", "induction", "intro", "intros", "left", "let", "linarith", "nlinarith", "norm_num", "obtain", "omega", "positivity", "rcases", "refine", "rename_i", "repeat",
+    "revert", "rfl", "right", "ring", "rintro", "rw", "rwa", "set", "show", "simp", "simpa", "skip", "specialize", "split", "split_ifs", "subst", "suffices", "symm", "tidy", "trivial",
+]
 #: Words that are tactics or syntax, not names of results.
 TACTIC_KEYWORDS = [
     "aesop", "apply", "at", "by", "by_cases", "by_contra", "calc", "cases", "classical", "congr", "constructor", "contrapose", "conv", "decide", "do", "else", "exact", "ext",
@@ -94,9 +105,15 @@ def surface_premises(tactic: Column, dedupe: bool = True) -> Column:
     return F.array_distinct(kept) if dedupe else kept
 
 
+def surface_premises_first(tactic: Column) -> Column:
+    """The first version: a shorter list of keywords, usual names of hypotheses stay, and so do repeated names."""
+    found = F.regexp_extract_all(F.coalesce(tactic, F.lit("")), F.lit(IDENTIFIER), F.lit(1))
+    return F.filter(found, lambda m: ~F.lower(m).isin(FIRST_KEYWORDS) & (F.length(m) > 1))
+
+
 def identifier_refs(tactic: Column) -> Column:
-    """All identifiers that aren't tactic keywords, repeated as they occur."""
-    return F.filter(F.regexp_extract_all(F.coalesce(tactic, F.lit("")), F.lit(IDENTIFIER), F.lit(1)), lambda m: ~m.isin(TACTIC_KEYWORDS))
+    """All undotted identifiers that aren't tactic keywords, repeated as they occur."""
+    return F.filter(F.regexp_extract_all(F.coalesce(tactic, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_']*"), F.lit(0)), lambda m: ~m.isin(REFERENCE_KEYWORDS))
 
 
 def is_tactic_or_hypothesis(name: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .graph import nodes, reverse
 from .stats import rounded
 
 
-def kahn_rounds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def kahn_rounds(edges: DataFrame) -> DataFrame:
     """``(id, depth)``: the round in which a node has no unmet parent, which is its longest depth. Nodes on or below cycles are missing.
 
     Each round only touches the edges that leave the last layer and the counts of what they reach."""
@@ -21,7 +22,7 @@ def kahn_rounds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     need = materialize(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("missing")), "kahn-need")
     layer = materialize(nodes(edges).join(need, "id", "left_anti").select("id", F.lit(0).alias("depth")), "kahn-layer")
     layers = []
-    for depth in range(1, max_rounds):
+    for depth in count(1):
         if layer.isEmpty():
             break
         layers.append(layer)
@@ -37,13 +38,13 @@ def is_dag(edges: DataFrame) -> DataFrame:
     return left.select((F.col("blocked") == 0).alias("is_dag"), "blocked")
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def bfs_levels(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``(id, level)``: least number of edges from any source (default: the roots); unreached nodes have 0."""
     edges = materialize(edges, "bfs-edges")
     front = sources if sources is not None else nodes(edges).join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
     front = materialize(front.select("id", F.lit(0).alias("level")), "bfs-front")
     seen, fronts = front, [front]
-    for level in range(1, max_rounds):
+    for level in count(1):
         reached = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = materialize(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level")), "bfs-front")
         if front.isEmpty():
@@ -53,13 +54,13 @@ def bfs_levels(edges: DataFrame, sources: DataFrame | None = None, max_rounds: i
     return nodes(edges).join(seen, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``(start, id)``: all nodes reachable from each start (default: every node), semi-naive."""
     edges = materialize(edges, "closure-edges")
     begin = starts if starts is not None else nodes(edges)
     new = materialize(edges.join(begin.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("id")), "closure")
     parts = [new]
-    for _ in range(max_rounds):
+    for _ in count():
         step = new.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("start", F.col("dst").alias("id")).distinct()
         new = materialize(step.join(reduce(DataFrame.union, parts), ["start", "id"], "left_anti"), "closure")
         if new.isEmpty():
@@ -129,12 +130,12 @@ def removal_impact(edges: DataFrame, probes: DataFrame) -> DataFrame:
     return out.select(F.col("probe").alias("id"), "descendants", rounded((F.col("descendants") - F.col("still")) / F.greatest("descendants", F.lit(1))).alias("impact"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, id, hops)``: shortest distances from each start, all starts in the same rounds."""
     edges = materialize(edges, "distance-edges")
     front = materialize(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")), "distance")
     parts = [front]
-    for hops in range(1, max_rounds):
+    for hops in count(1):
         step = front.select("start", F.col("id").alias("src")).join(edges, "src").select("start", F.col("dst").alias("id")).distinct()
         front = materialize(step.join(reduce(DataFrame.union, parts), ["start", "id"], "left_anti").select("start", "id", F.lit(hops).alias("hops")), "distance")
         if front.isEmpty():

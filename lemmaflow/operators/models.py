@@ -115,7 +115,7 @@ def feature_correlations(rows: DataFrame, features: list[str], targets: list[str
         return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (tied - 1) / 2
 
     ranked = long.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1_"), F.corr("rx", "ry").alias("r"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1_"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
     return out.filter("x0 < x1 and y0 < y1_").select(*group, "n", rounded("r").alias("spearman"))
 
 

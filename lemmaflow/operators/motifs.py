@@ -31,7 +31,7 @@ def connected_motifs(flow: DataFrame, heads: DataFrame, size: int, support: int)
     return candidates, witnesses
 
 
-def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False, max_rounds: int = 1000) -> DataFrame:
+def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False) -> DataFrame:
     """Witnesses ``(theorem, members)`` with a path that leaves the set and comes back. A pair with an edge of its own is taken as its shortest path and passes, unless ``strict``.
 
     Frontiers are keyed by (witness, first member); all witnesses go in the same rounds."""
@@ -39,7 +39,7 @@ def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False, max_rou
     w = materialize(witnesses.select("theorem", "members").distinct(), "detour-sets")
     front = w.withColumn("start", F.explode("members")).withColumn("at", F.col("start"))
     found, seen = None, None
-    for _ in range(max_rounds):
+    while True:
         step = front.join(e, ["theorem", "at"]).select("theorem", "members", "start", "at", F.col("to"))
         inside = F.array_contains("members", F.col("to"))
         back = materialize(step.filter(inside & (F.col("at") != F.col("start"))).select("theorem", "members", F.col("start").alias("at"), "to").distinct(), "detour-back")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,16 @@ def forward_edges(trans: DataFrame) -> DataFrame:
     return state_edges(trans).filter("src < dst").select("theorem", "src", "dst").distinct()
 
 
-def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """``(theorem, node, level)``: longest distance from the proof's sources, for all proofs in the same rounds."""
     edges = materialize(edges, "proof-edges")
     ends = edges.select("theorem", F.col("src").alias("node")).union(edges.select("theorem", "dst")).distinct()
     level = materialize(ends.select("theorem", "node", F.lit(0).alias("level")), "proof-levels")
-    for _ in range(max_rounds):
+    # In an acyclic graph no path has as many edges as the graph has nodes.
+    most = level.groupBy("theorem").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for k in count():
+        if k > most:
+            raise ValueError("a proof has a cycle")
         got = edges.join(level.withColumnRenamed("node", "src"), ["theorem", "src"]).groupBy("theorem", F.col("dst").alias("node")).agg(F.max(F.col("level") + 1).alias("got"))
         new = materialize(level.join(got, ["theorem", "node"], "left").select("theorem", "node", F.greatest("level", F.coalesce("got", "level")).alias("level"), (F.coalesce("got", "level") > F.col("level")).alias("moved")), "proof-levels")
         level = new.drop("moved")

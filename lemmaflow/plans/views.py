@@ -24,7 +24,14 @@ def premises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("theorem"), F.concat_ws(".", "p_brand", "p_type").alias("premise")).distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str, least_quantity: int | None = 40, cyclic: bool = False) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst), distinct, no loops: an order cites the last one before it that took as many of the same part. Of all lines."""
+    before = Window.partitionBy("l_partkey", "l_quantity").orderBy("l_orderkey", "l_linenumber")
+    pairs = table(spark, sf_dir, "lineitem").select(F.lag("l_orderkey").over(before).alias("src"), F.col("l_orderkey").alias("dst"))
+    return pairs.filter("src is not null and src <> dst").distinct()
+
+
+def part_edges(spark: SparkSession, sf_dir: str, least_quantity: int | None = None, cyclic: bool = False) -> DataFrame:
     """(src, dst), distinct, no loops: parts that follow each other in an order; acyclic ones go from the smaller to the larger key."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     some = table(spark, sf_dir, "lineitem")
@@ -36,12 +43,12 @@ def edges(spark: SparkSession, sf_dir: str, least_quantity: int | None = 40, cyc
 
 
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``edges`` of the whole table, for queries that no SQL binds to a part of it."""
-    return edges(spark, sf_dir, None)
+    """``part_edges`` of the whole table: few nodes, many edges."""
+    return part_edges(spark, sf_dir)
 
 
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir, 45, cyclic=True)
+    return part_edges(spark, sf_dir, 45, cyclic=True)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STEPS = "v_steps as (select concat(cast(user_id as varchar), '/', cast(cast(date_trunc('week', ts) as date) as varchar)) as theorem, row_number() over (partition by user_id, date_trunc('week', ts) order by ts, event_id) - 1 as idx, event_type as head from events)"
 PREMISES = "v_prem as (select distinct l_orderkey as theorem, concat(p_brand, '.', p_type) as premise from lineitem join part on l_partkey = p_partkey)"
-EDGES = "v_edges as materialized (select distinct least(a, b) as src, greatest(a, b) as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as b from lineitem where l_quantity >= 40) p where b is not null and a <> b)"
+EDGES = "v_edges as materialized (select distinct src, dst from (select lag(l_orderkey) over (partition by l_partkey, l_quantity order by l_orderkey, l_linenumber) as src, l_orderkey as dst from lineitem) p where src is not null and src <> dst)"
 CYCLIC = "v_cyc as materialized (select distinct a as src, b as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as b from lineitem where l_quantity >= 45) p where b is not null and a <> b)"
 CORPUS = "v_corpus as (select p_partkey as seq, concat(p_brand, '.', p_type, '.', replace(p_name, ' ', '_')) as full_name from part)"
 LINES = "v_lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)"

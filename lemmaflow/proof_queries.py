@@ -138,10 +138,10 @@ def _(s, d):
     return graph.degrees(v.edges(s, d)).select("id", F.row_number().over(order).alias("place"), F.coalesce(F.lead("id").over(order), F.first("id").over(whole)).alias("next_id"), F.coalesce(F.lag("id").over(order), F.last("id").over(whole)).alias("prev_id"))
 
 
-@register("topk_retrieval", "with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id < 10), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")
+@register("topk_retrieval", "with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")
 def _(s, d):
     e = v.table(s, d, "embeddings")
-    return models.top_k_retrieval(e, e.filter("vec_id < 10"), "vec_id", "embedding", 10)
+    return models.top_k_retrieval_blocks(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
 @register("topk_retrieval_all", "with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")

@@ -28,16 +28,16 @@ def _(s, d):
 _SURFACE = f"list_filter({_IDS}, lambda x: not list_contains({_KEYS}, lower(x)) and length(x) > 1 and not regexp_matches(x, '^h[0-9]*$') and x not in ('this', 'ih', 'IH'))"
 
 
-@register("surface_premises", f"with x as (select seq, {_SURFACE} as a from v_tac), y as (select seq, a, list_filter(a, lambda e, i: list_position(a, e) = i) as d from x) select seq, array_to_string(d, ' ') as v2, array_to_string(a, ' ') as v1 from y", v.TACTICS)
+@register("surface_premises", f"with x as (select seq, {_SURFACE} as a from v_tac), y as (select seq, a, list_filter(a, lambda e, i: list_position(a, e) = i) as d from x) select y.seq, array_to_string(d, ' ') as v2, array_to_string(list_filter({_IDS}, lambda x: not list_contains(string_split('apply at by calc cases congr constructor conv decide do else exact ext from fun have if in induction intro intros let linarith match obtain omega only rcases refine refl return rfl ring rw show simp simp_rw then trivial using where with', ' '), lower(x)) and length(x) > 1), ' ') as v1 from y join v_tac using (seq)", v.TACTICS)
 def _(s, d):
     c = F.col("tactic")
-    return v.tactics(s, d).select("seq", F.array_join(t.surface_premises(c), " ").alias("v2"), F.array_join(t.surface_premises(c, dedupe=False), " ").alias("v1"))
+    return v.tactics(s, d).select("seq", F.array_join(t.surface_premises(c), " ").alias("v2"), F.array_join(t.surface_premises_first(c), " ").alias("v1"))
 
 
-@register("identifier_refs", f"select x as name, count(*) as n from (select unnest({_IDS}) as x from v_tac) where not list_contains({_KEYS}, x) group by 1 order by n desc, name limit 100", v.TACTICS)
+@register("identifier_refs", "select x as name, count(*) as n from (select unnest(regexp_extract_all(tactic, '[A-Za-z_][A-Za-z0-9_'']*')) as x from v_tac) where not list_contains(string_split('aesop all_goals apply assumption by calc case cases change choose congr constructor contrapose convert exact ext field_simp first fun guard_hyp guard_target have induction intro intros left let linarith nlinarith norm_num obtain omega positivity rcases refine rename_i repeat revert rfl right ring rintro rw rwa set show simp simpa skip specialize split split_ifs subst suffices symm tidy trivial', ' '), x) group by 1", v.TACTICS)
 def _(s, d):
     refs = v.tactics(s, d).select(F.explode(t.identifier_refs(F.col("tactic"))).alias("name"))
-    return refs.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(100)
+    return refs.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @register("is_tactic_or_hyp", f"select name, list_contains({_TH}, lower(split_part(name, '.', -1))) as drop, count(*) as n from (select unnest({_IDS}) as name from v_tac) group by all", v.TACTICS)
@@ -109,9 +109,9 @@ def _(s, d):
     return v.corpus(s, d).select("seq", t.short_name(F.concat(F.lit("@[simp] protected theorem "), "full_name", F.lit(" (x : Nat) : x = x"))).alias("short_name"))
 
 
-@register("strip_comments", "select doc_id, md5(text) as code_md5 from documents where not contains(text, '--') and not contains(text, '/-')")
+@register("strip_comments", r"select doc_id, md5(regexp_replace(regexp_replace(concat('/- head', chr(10), '-/', text, '-- tail'), '(?s)/-.*?-/', '', 'g'), '--[^\n]*', '', 'g')) as code_md5 from documents where text is not null")
 def _(s, d):
-    docs = v.table(s, d, "documents").filter(~F.col("text").contains("--") & ~F.col("text").contains("/-"))
+    docs = v.table(s, d, "documents").filter("text is not null")
     code = F.concat(F.lit("/- head\n-/"), F.col("text"), F.lit("-- tail"))
     return docs.select("doc_id", F.md5(F.encode(t.strip_comments(code), "UTF-8")).alias("code_md5"))
 
