@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import features, loops, models
 from .plans import views as v
 from .plans.durable import materialize
-from .queries import _DEG, _DEPTH, _NODES, register
+from .queries import _DEG, _DEPTH, _NODES, QUERIES, register
 
 _PAR = "par as materialized (select e.dst as v, a.depth as d, e.src as p, b.depth as dp from v_edges e join dp a on a.id = e.dst join dp b on b.id = e.src)"
 _SEEN = "sn as materialized (select v, d, p, dp, (select count(*) from par y where y.p = x.p and y.d < x.d) as out_seen, (select count(*) from par y where y.p = x.p and y.d < x.d and y.d = x.dp + 1) as beta from par x)"
@@ -142,3 +142,38 @@ def _(s, d):
 def _(s, d):
     e, depth, t = _targets(s, d)
     return models.cascaded(materialize(features.dataset(e, depth, t), "dataset"), _FEATURES, "id", "y2", "y1")
+
+
+_REACH = "reach as (select src as start, dst as id from v_edges union select start, dst from reach join v_edges on src = id)"
+
+
+@register("feat_parent_reach", "with n as (select e.dst, e.src, count(*) filter (b.depth < a.depth) as n from v_edges e join dp a on a.id = e.dst left join reach r on r.start = e.src left join dp b on b.id = r.id group by all) select dst as id, round(avg(n), 6) as mean_parent_reach, max(n) as max_parent_reach from n group by 1", v.EDGES, _NODES, _DEPTH, _REACH)
+def _(s, d):
+    e = materialize(v.edges(s, d), "edges")
+    return features.parent_reach(e, materialize(loops.kahn_rounds(e), "depth"), loops.closure(e))
+
+
+@register("feat_parent_diversity", "with up as (select start as x, id as p, 0 as own from reach union all select distinct src, src, 1 from v_edges), l as (select e.dst as id, e.src as p, x, own from v_edges e join up on up.p = e.src), sz as (select id as p, count(*) as n from reach group by 1), pr as (select a.dst as id, a.src as p, b.src as q, coalesce(x.n, 0) as np, coalesce(y.n, 0) as nq from v_edges a join v_edges b on a.dst = b.dst and a.src < b.src left join sz x on x.p = a.src left join sz y on y.p = b.src), sh as (select a.id, a.p, b.p as q, count(*) filter (a.own = 0 and b.own = 0) as c, max(depth) as deep from l a join l b on a.id = b.id and a.x = b.x and a.p < b.p join dp on dp.id = a.x group by all), t as (select pr.id, case when np + nq - coalesce(c, 0) > 0 then coalesce(c, 0) / (np + nq - coalesce(c, 0)) else 0 end as j, coalesce(deep, 0) as deep from pr left join sh using (id, p, q)), g as (select id, avg(j) as j, avg(deep) as d, max(deep) as m from t group by 1) select distinct dst as id, round(1 - coalesce(j, 0), 6) as parent_diversity, round(coalesce(d, 0), 6) as mean_lca_depth, coalesce(m, 0) as max_lca_depth from v_edges left join g on g.id = dst", v.EDGES, _NODES, _DEPTH, _REACH)
+def _(s, d):
+    """Diversity of the parents and depth of their last common ancestors, which come from the same pairs."""
+    e = materialize(v.edges(s, d), "edges")
+    return features.parent_pairs(e, materialize(loops.kahn_rounds(e), "depth"), materialize(loops.closure(e), "reach"))
+
+
+@register("feat_masked", "select nd.id, (select count(*) from reach where start = nd.id) as n_masked, (select count(*) from v_edges) - (select count(*) from reach join v_edges on dst = reach.id where start = nd.id) as n_seen_edges from nd", v.EDGES, _NODES, _REACH)
+def _(s, d):
+    e = materialize(v.edges(s, d), "edges")
+    return features.masked(e, materialize(loops.closure(e), "reach"))
+
+
+@register("feature_importance")
+def _(s, d):
+    """Importances of the features in boosted trees for whether a node has children, over all depths."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = materialize(QUERIES["feature_dataset"](s, d), "features")
+    names = [c for c, kind in rows.dtypes if kind in ("int", "bigint", "double") and c not in ("id", "y1", "y2", "z1", "z2", "k1", "k2", "child_count", "grandchild_count")]
+    data = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep").transform(rows.na.fill(0).withColumn("y", (F.col("y2") > 0).cast("double")))
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=20, maxDepth=5, seed=1).fit(data)
+    return s.createDataFrame([(n, float(w)) for n, w in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")  # a row for each feature

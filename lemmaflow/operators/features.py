@@ -118,3 +118,45 @@ def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame) -> DataFrame
     for block in (parent_degrees(edges, depth), upstream(edges), parentset_rarity(edges, depth), peek(edges)):
         out = out.join(block, "id", "left")
     return out.na.fill(0).join(targets.select("id", "y1", "y2"), "id")
+
+
+def parent_reach(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
+    """``reach(start, id)`` of all nodes -> ``(id, mean_parent_reach, max_parent_reach)``: descendants of the parents among the nodes of a lower depth than the node's own. Counted by depth, then summed up."""
+    by_depth = reach.join(depth, "id").groupBy(F.col("start").alias("src"), F.col("depth").alias("at")).agg(F.count("*").alias("n"))
+    pairs = edges.join(depth.select(F.col("id").alias("dst"), "depth"), "dst")
+    own = pairs.join(by_depth, "src", "left").groupBy("dst", "src").agg(F.coalesce(F.sum(F.when(F.col("at") < F.col("depth"), F.col("n"))), F.lit(0)).alias("n"))
+    return own.groupBy(F.col("dst").alias("id")).agg(F.round(F.avg("n"), 6).alias("mean_parent_reach"), F.max("n").alias("max_parent_reach"))
+
+
+def _shared_ancestors(edges: DataFrame, reach: DataFrame, depth: DataFrame) -> DataFrame:
+    """``(id, p, q, both, deepest)`` of each pair of parents with common ancestors (a parent counts as its own in ``deepest`` alone)."""
+    up = reach.select(F.col("start").alias("x"), F.col("id").alias("src")).withColumn("own", F.lit(0))
+    up = up.union(edges.select("src").distinct().select(F.col("src").alias("x"), "src", F.lit(1)))
+    lines = edges.join(up, "src").select("dst", "src", "x", "own")
+    a, b = lines.toDF("id", "p", "x", "oa"), lines.toDF("id", "q", "x", "ob")
+    pairs = a.join(b, ["id", "x"]).filter("p < q").join(depth.select(F.col("id").alias("x"), "depth"), "x")
+    return pairs.groupBy("id", "p", "q").agg(F.count_if((F.col("oa") == 0) & (F.col("ob") == 0)).alias("both"), F.max("depth").alias("deepest"))
+
+
+def parent_pairs(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
+    """``(id, parent_diversity, mean_lca_depth, max_lca_depth)``: 1 - mean Jaccard of the ancestors of two parents (1 with fewer than two), and the depth of the deepest
+    ancestor two parents share (themselves included; 0 without one)."""
+    n = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
+    ancestors = reach.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"))
+    size = lambda x: ancestors.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = _shared_ancestors(edges, reach, depth).join(size("p"), "p", "left").join(size("q"), "q", "left").na.fill(0, ["np", "nq"])
+    union = F.col("np") + F.col("nq") - F.col("both")
+    sums = pairs.groupBy("id").agg(F.sum(F.when(union > 0, F.col("both") / union).otherwise(0.0)).alias("j"), F.sum("deepest").alias("d"), F.max("deepest").alias("m"))
+    out = n.join(sums, "id", "left").na.fill(0, ["j", "d", "m"]).withColumn("pairs", F.greatest(F.col("k") * (F.col("k") - 1) / 2, F.lit(1)))
+    return out.select("id", F.round(1 - F.col("j") / F.col("pairs"), 6).alias("parent_diversity"), F.round(F.col("d") / F.col("pairs"), 6).alias("mean_lca_depth"), F.col("m").alias("max_lca_depth"))
+
+
+def masked(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """``(id, n_masked, n_seen_edges)`` of the graph that a node sees with its descendants taken out: how many are, and how many edges stay."""
+    gone = reach.groupBy(F.col("start").alias("id")).agg(F.count("*").alias("n_masked"))
+    # An edge goes if either end does; an edge out of a descendant ends in one, so those into descendants are all.
+    lost = reach.select(F.col("start").alias("id"), F.col("id").alias("dst")).join(edges, "dst").groupBy("id").agg(F.count("*").alias("lost"))
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    total = edges.agg(F.count("*").alias("total"))  # one row
+    out = ends.join(gone, "id", "left").join(lost, "id", "left").na.fill(0, ["n_masked", "lost"]).crossJoin(F.broadcast(total))
+    return out.select("id", "n_masked", (F.col("total") - F.col("lost")).alias("n_seen_edges"))

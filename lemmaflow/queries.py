@@ -314,10 +314,11 @@ def _(s, d):
     return graph.extreme_nodes(v.edges(s, d))
 
 
-@register("descendants_ancestors", "with starts as (select id from nd where id not in (select dst from v_edges) order by id limit 50), reach as (select src as start, dst as id from v_edges where src in (select id from starts) union select start, dst from reach join v_edges on src = id) select start, id from reach", v.EDGES, _NODES)
+@register("descendants_ancestors", "with reach as (select src as start, dst as id from v_edges union select start, dst from reach join v_edges on src = id) select start as id, id as relative, 'descendant' as role from reach union all select id, start, 'ancestor' from reach", v.EDGES)
 def _(s, d):
-    e = v.edges(s, d)
-    return loops.closure(e, graph.nodes(e).join(e.select(F.col("dst").alias("id")), "id", "left_anti").orderBy("id").limit(50))
+    """Of every node; the ancestors are the same pairs the other way round."""
+    reach = loops.closure(v.edges(s, d))
+    return reach.select(F.col("start").alias("id"), F.col("id").alias("relative"), F.lit("descendant").alias("role")).union(reach.select("id", "start", F.lit("ancestor")))
 
 
 register("descendants_ancestors_all")(lambda s, d: loops.relatives(v.all_edges(s, d)))
