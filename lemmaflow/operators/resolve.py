@@ -47,10 +47,11 @@ def resolve(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     found(refs.select("ref_id", F.col("surface").alias("key"), F.lit(0).alias("place")), 2, F.lit("exact_match"), 1.0)
     spaced = refs.select("ref_id", "surface", F.posexplode("namespaces").alias("place", "ns"))
     found(spaced.select("ref_id", F.concat_ws(".", "ns", "surface").alias("key"), "place"), 3, F.lit("namespace_match"), 0.95)
-    by_suffix = refs.select("ref_id", "types", last_part(F.col("surface")).alias("suffix")).join(names.select("full_name", "seq", last_part(F.col("full_name")).alias("suffix")), "suffix")
-    typed = by_suffix.select("ref_id", "full_name", "seq", F.posexplode("types").alias("place", "ns")).filter(F.expr("startswith(full_name, concat(ns, '.'))"))
-    options.append(typed.select("ref_id", "full_name", F.lit(4), F.col("place").cast("long"), "seq", F.concat(F.lit("type_inference:"), "ns"), F.lit(0.8)))
-    some = by_suffix.groupBy("ref_id").agg(F.count("*").alias("n_candidates"), F.min(F.struct("seq", "full_name")).alias("f"))
+    by_suffix, by_prefix = suffix_firsts(names)
+    tails = refs.select("ref_id", "types", last_part(F.col("surface")).alias("suffix"))
+    typed = tails.select("ref_id", "suffix", F.posexplode("types").alias("place", "ns")).join(by_prefix, ["suffix", "ns"])
+    options.append(typed.select("ref_id", "f.full_name", F.lit(4), F.col("place").cast("long"), "f.seq", F.concat(F.lit("type_inference:"), "ns"), F.lit(0.8)))
+    some = tails.join(by_suffix, "suffix").select("ref_id", "n_candidates", "f")
     only = F.col("n_candidates") == 1
     options.append(some.select("ref_id", "f.full_name", F.lit(5), F.lit(0).cast("long"), "f.seq", F.when(only, "unique_suffix").otherwise("ambiguous"), F.when(only, 0.6).otherwise(0.3)))
     union = options[0]
@@ -61,6 +62,29 @@ def resolve(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("ref_id", "surface", F.coalesce("b.full_name", "surface").alias("full_name"), F.coalesce("b.method", F.lit("not_found")).alias("method"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def suffix_firsts(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``names(full_name, seq)`` -> ``(suffix, n_candidates, f)`` and ``(suffix, ns, f)``: number and first name of each last part, and the first name of each last part below each namespace.
+    References meet one row of these, not all names of a common last part."""
+    first, parts = F.min(F.struct("seq", "full_name")).alias("f"), F.split("full_name", "[.]")
+    tails = names.select("full_name", "seq", last_part(F.col("full_name")).alias("suffix"))
+    spaces = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    below = tails.filter(F.size(parts) > 1).select("full_name", "seq", "suffix", F.explode(spaces).alias("ns"))
+    return tails.groupBy("suffix").agg(F.count("*").alias("n_candidates"), first), below.groupBy("suffix", "ns").agg(first)
+
+
+def resolve_first(refs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The first version: ``refs(ref_id, surface, types)`` -> ``(ref_id, full_name, resolved_by)``: exact, not_found, unique, the first candidate below a namespace of the types, else the first of all, as ambiguous with their number."""
+    names = first_seen(corpus)
+    by_suffix, by_prefix = suffix_firsts(names)
+    tails = refs.select("ref_id", "surface", "types", last_part(F.col("surface")).alias("suffix"))
+    typed = tails.select("ref_id", "suffix", F.explode("types").alias("ns")).join(by_prefix, ["suffix", "ns"]).groupBy("ref_id").agg(F.min(F.struct("f.seq", "f.full_name", "ns")).alias("t"))
+    out = tails.join(by_suffix, "suffix", "left").join(typed, "ref_id", "left").join(names.select(F.col("full_name").alias("surface"), F.lit(True).alias("exact")), "surface", "left")
+    how = F.when(F.col("exact"), "exact").when(F.col("n_candidates").isNull(), "not_found").when(F.col("n_candidates") == 1, "unique")
+    how = how.when(F.col("t").isNotNull(), F.concat(F.lit("type_hint:"), "t.ns")).otherwise(F.concat(F.lit("ambiguous:"), F.col("n_candidates").cast("string")))
+    full = F.when(F.col("exact") | F.col("n_candidates").isNull(), F.col("surface")).when((F.col("n_candidates") > 1) & F.col("t").isNotNull(), F.col("t.full_name")).otherwise(F.col("f.full_name"))
+    return out.select("ref_id", full.alias("full_name"), how.alias("resolved_by"))
+
+
 def match_kinds(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """``names(name, n)`` -> exact, suffix, qualified suffix or none."""
     known = name_set(corpus)

@@ -202,6 +202,11 @@ def _(s, d):
     return resolve.resolve(_refs(s, d), v.corpus(s, d))
 
 
+@register("resolve_premise_v1", "with suf as (select ref_id, n.full_name, n.seq, types from v_ref join nm n on split_part(surface, '.', -1) = split_part(n.full_name, '.', -1)), c as (select ref_id, count(*) as n, arg_min(full_name, seq) as f from suf group by 1), ty as (select ref_id, arg_min(full_name, seq) as f, min(types[1]) as ns from suf where len(types) > 0 and starts_with(full_name, concat(types[1], '.')) group by 1) select r.ref_id, case when r.surface in (select full_name from nm) or c.n is null then r.surface when c.n > 1 and ty.f is not null then ty.f else c.f end as full_name, case when r.surface in (select full_name from nm) then 'exact' when c.n is null then 'not_found' when c.n = 1 then 'unique' when ty.f is not null then concat('type_hint:', ty.ns) else concat('ambiguous:', c.n) end as resolved_by from v_ref r left join c using (ref_id) left join ty using (ref_id)", v.CORPUS, _REFS)
+def _(s, d):
+    return resolve.resolve_first(_refs(s, d), v.corpus(s, d))
+
+
 @register("corpus_name_set", "select distinct full_name from v_corpus", v.CORPUS)
 def _(s, d):
     return resolve.name_set(v.corpus(s, d))

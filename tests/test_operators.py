@@ -47,7 +47,8 @@ def test_names_in_tactics(spark):
     assert one(spark, "simp only [foo, *, 3, a.b']", t.bracket_lemmas(c)) == ["foo", "*", "a.b'"]
     assert one(spark, "rw [foo, foo, h1, x, Nat.add_comm]", t.surface_premises(c)) == ["foo", "Nat.add_comm"]
     assert one(spark, "rw [foo, foo, h1, x]", t.surface_premises(c, dedupe=False)) == ["foo", "foo"]
-    assert one(spark, "exact h.symm", t.identifier_refs(c)) == ["h.symm"]
+    assert one(spark, "rw [foo, foo, h1, x] this norm_num", t.surface_premises_first(c)) == ["foo", "foo", "h1", "this", "norm_num"]
+    assert one(spark, "exact h.symm x' norm_num at", t.identifier_refs(c)) == ["h", "x'", "at"]
     assert one(spark, "Foo.mp", t.is_tactic_or_hypothesis(c)) and not one(spark, "Foo.bar", t.is_tactic_or_hypothesis(c))
 
 
@@ -168,7 +169,39 @@ def test_all_edges_come_from_all_lines(spark, tmp_path):
     lines = [(1, 1, 5, 50), (1, 2, 3, 1), (1, 3, 9, 45), (2, 1, 3, 1), (2, 2, 5, 2), (3, 1, 7, None), (3, 2, 8, 3), (3, 3, 8, 50)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, views.all_edges(spark, str(tmp_path)).collect())) == [(3, 5), (3, 9), (7, 8)]
-    assert sorted(map(tuple, views.edges(spark, str(tmp_path)).collect())) == [(5, 9)]
+    assert sorted(map(tuple, views.edges(spark, str(tmp_path)).collect())) == [(1, 2)]
+
+
+def test_loops_end_where_the_graph_does(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert {r.id: r.depth for r in loops.kahn_rounds(chain).collect()} == {i: i for i in range(41)}
+    assert loops.closure(chain).count() == 41 * 40 // 2
+
+
+def test_features_of_ancestors(spark):
+    from lemmaflow.operators import features
+
+    rng = random.Random(5)
+    pairs = sorted({(a, b) for _ in range(60) for a, b in [sorted(rng.sample(range(25), 2))]})
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    up = {}
+    for x in range(25):
+        ps = [a for a, b in pairs if b == x]
+        up[x] = set(ps).union(*(up[p] for p in ps)) if ps else set()
+    depth = {r.id: r.depth for r in loops.kahn_rounds(e).collect()}
+    d = spark.createDataFrame(list(depth.items()), "id long, depth long")
+    got = {r.id: r for r in features.parent_pairs(e, d, loops.closure(e)).collect()}
+    reach = {r.id: r for r in features.parent_reach(e, d, loops.closure(e)).collect()}
+    for x in {b for _, b in pairs}:
+        ps = [a for a, b in pairs if b == x]
+        two = [(p, q) for p in ps for q in ps if p < q]
+        jaccard = [len(up[p] & up[q]) / len(up[p] | up[q]) if up[p] | up[q] else 0 for p, q in two]
+        deepest = [max((depth[a] for a in (up[p] | {p}) & (up[q] | {q})), default=0) for p, q in two]
+        r = got[x]
+        assert abs(r.parent_diversity - (1 - sum(jaccard) / len(two) if two else 1)) < 1e-5
+        assert abs(r.mean_lca_depth - (sum(deepest) / len(two) if two else 0)) < 1e-5 and r.max_lca_depth == max(deepest, default=0)
+        below = [sum(p in up[y] and depth[y] < depth[x] for y in depth) for p in ps]
+        assert abs(reach[x].mean_parent_reach - sum(below) / len(below)) < 1e-5 and reach[x].max_parent_reach == max(below)
 
 
 def test_null_model_swaps_enough(spark):
