@@ -521,5 +521,5 @@ def test_pipeline(spark, tmp_path):
         out, none = stage(spark, odd, str(tmp_path)), stage(spark, odd.limit(0), str(tmp_path))
         assert none.count() == 0 and (name == "best_fit_packing" or out.columns == odd.columns), name
         ids = Counter(r.doc_id for r in out.collect())
-        assert ids[400] == 2, name  # rows that repeat an id are judged alike
+        assert ids[400] == 2 or (name == "quality_rules" and not ids[400]), (name, ids)  # rows that repeat an id are judged alike; the labels of this test trust none of their words
         assert name == "quality_rules" or (ids[None] == 2 and ids[0] == ids[1] == 1), name  # only the quality rules drop null and empty texts
