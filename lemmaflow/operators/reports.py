@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.candidates import identifier_category, identifiers, lemma_candidates
 from ..plans.durable import materialize
+from .resolve import peel
 from .stats import rounded
 
 #: Names that are tactics, and beginnings of local names, among names without a match.
@@ -120,9 +122,82 @@ def coverage_table(rows: DataFrame, row: str, column: str, columns: list[str], v
 
 
 def goal_blocks(state: Column) -> Column:
-    """The goals of a state, cut at blank lines: case label, declarations and target."""
-    blocks = F.filter(F.split(F.coalesce(state, F.lit("")), r"\n[ \t]*\n"), lambda b: t.strip(b) != "")
-    label = lambda b: F.nullif(F.regexp_extract(b, r"(?m)^\s*case\s+(\S+)", 1), F.lit(""))
-    held = lambda b: F.filter(F.transform(F.split(b, "\n"), t.strip), lambda x: x.contains(":") & ~x.startswith("⊢") & ~x.startswith("case "))
+    """The goals of a state, cut at blank lines or, without any, before lines that start with "case ": case label, lines before the target, (name, type) of what they declare, target.
+
+    Null, empty states and "no goals" have none, and neither has a block without a turnstile. What stands before the first case belongs to no goal."""
+    text = F.regexp_replace(F.coalesce(state, F.lit("")), "\r\n", "\n")
+    blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: t.strip(b) != "")
+    cases = F.split(F.regexp_replace(F.get(blocks, F.lit(0)), r"(?U)\n[ \t]*(?=\n)", ""), r"\n(?=case )")
+    cases = F.when(F.exists(cases, lambda b: b.startswith("case ")), F.filter(cases, lambda b: b.startswith("case "))).otherwise(cases)
+    blocks = F.filter(F.when(F.size(blocks) == 1, cases).otherwise(blocks), lambda b: b.contains("⊢"))
+    label = lambda b: F.when(b.startswith("case "), t.strip(F.regexp_extract(b, r"^case ([^\n]*)", 1)))
+    before = lambda b: F.filter(F.split(F.regexp_replace(F.substring_index(b, "⊢", 1), r"^case [^\n]*(\n|\z)|(?<=\n)[^\n]*\z", ""), "\n"), lambda x: t.strip(x) != "")
+    names = lambda x: F.transform(t.words(F.regexp_extract(x, r"^([^\s:][^:]*?)\s*:", 1)), lambda n: F.struct(n.alias("name"), t.collapse(F.regexp_extract(x, r"^[^\s:][^:]*?\s*:\s*(.*)$", 1)).alias("type")))
     goal = lambda b: t.collapse(F.regexp_extract(b, r"(?s)⊢(.*)$", 1))
-    return F.transform(blocks, lambda b: F.struct(label(b).alias("case_label"), held(b).alias("hypotheses"), goal(b).alias("target")))
+    return F.transform(blocks, lambda b: F.struct(label(b).alias("case_label"), before(b).alias("hypotheses"), F.flatten(F.transform(before(b), names)).alias("declared"), goal(b).alias("target")))
+
+
+def validation_alignment(steps: DataFrame) -> DataFrame:
+    """``steps(theorem, before, after, is_terminal)`` -> per theorem the share of steps whose states can be read (nodes), and of those with an active goal that goes on or ends (edges)."""
+    rows = steps.select("theorem", goal_blocks(F.col("before")).alias("b"), (F.size(goal_blocks(F.col("after"))) > 0).alias("goes_on"), t.strip(F.coalesce("after", F.lit(""))).isin("", "no goals").alias("done"), "is_terminal")
+    active = F.coalesce(F.get("b", F.lit(0))["target"], F.lit("")) != ""
+    share = lambda c: rounded(F.avg(F.coalesce(c, F.lit(False)).cast("int")))
+    return rows.groupBy("theorem").agg(F.count("*").alias("num_tactics"), share((F.size("b") > 0) & (F.col("done") | F.col("goes_on"))).alias("node_alignment_rate"), share(active & (F.col("goes_on") | F.col("is_terminal"))).alias("edge_alignment_rate"))
+
+
+def annotate_premises(tactics: DataFrame, spans: DataFrame) -> DataFrame:
+    """``tactics(seq, tactic)``, ``spans(seq, start, stop, full_name)`` (characters from 0) -> the tactic with its premises in <a> tags and their names, from left to right; a span that starts
+    within one already taken is left out, the longer of two that start together is taken. A tactic without spans stays as it is."""
+    per = spans.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("stop")).alias("back"), "full_name"))).alias("spans"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("names"))
+
+    def take(a, x):
+        start, stop = x["start"].cast("long"), (-x["back"]).cast("long")
+        cut = lambda i, j: F.substr(F.col("tactic"), (i + 1).cast("int"), (j - i).cast("int"))
+        taken = F.struct(F.concat(a["text"], cut(a["at"], start), F.lit("<a>"), cut(start, stop), F.lit("</a>")).alias("text"), stop.alias("at"), F.concat(a["names"], F.array(x["full_name"])).alias("names"))
+        return F.when(start >= a["at"], taken).otherwise(a)
+
+    out = tactics.join(per, "seq", "left").withColumn("a", F.aggregate(F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)), nothing, take))
+    return out.select("seq", F.concat("a.text", F.substr("tactic", (F.col("a.at") + 1).cast("int"))).alias("annotated"), "a.names")
+
+
+def proof_candidates(blocks: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """``blocks(proof, block, text)`` -> ``(proof, block, candidate)``, each name once a block; with ``corpus(full_name)`` names are peeled to known ones."""
+    rows = blocks.select("proof", "block", F.explode(lemma_candidates(F.col("text"))).alias("candidate"))
+    if corpus is None:
+        return rows
+    peeled = peel(rows.select(F.col("candidate").alias("name")), corpus).withColumnRenamed("name", "candidate")
+    return rows.join(peeled, "candidate").select("proof", "block", F.col("peeled").alias("candidate")).distinct()
+
+
+def block_names(blocks: DataFrame) -> DataFrame:
+    """``blocks(proof, block, text)`` -> per proof and distinct trimmed text the sorted names of each class; blocks of the same text become one."""
+    rows = blocks.select("proof", t.strip(F.col("text")).alias("text"), F.explode(identifiers(F.col("text"))).alias("name")).distinct()
+    return rows.groupBy("proof", "text", identifier_category(F.col("name")).alias("category")).agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("names"))
+
+
+def ego_proof_report(ego: DataFrame, traced: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``ego(name)``, ``traced(name, statement, proof)``, ``corpus(name, code)`` -> ``(name, source, entry)`` sorted by name; the entry is a section in Markdown."""
+    rows = ego.select("name").distinct().join(traced, "name", "left").join(corpus.select("name", "code"), "name", "left")
+    source = F.when(F.col("proof").isNotNull() | F.col("statement").isNotNull(), "traced").when(F.col("code").isNotNull(), "corpus").otherwise("none")
+    text = F.when(source == "traced", F.coalesce("proof", F.lit(""))).otherwise(F.coalesce("code", F.lit("")))
+    head = F.when((source == "traced") & (F.coalesce("statement", F.lit("")) != ""), F.concat(F.lit("**Statement:** `"), "statement", F.lit("`\n\n"))).otherwise("")
+    body = F.when(text != "", F.concat(head, F.lit("```lean\n"), text, F.lit("\n```"))).otherwise("*Proof not available*")
+    return rows.select("name", source.alias("source"), F.concat(F.lit("## "), F.col("name").cast("string"), F.lit("\n\n"), body).alias("entry")).orderBy("name")
+
+
+def extreme_egos(edges: DataFrame, extremes: DataFrame, k: int = 3, most: int = 50) -> DataFrame:
+    """``extremes(measure, side, id, degree)`` (of ``graph.extreme_nodes``) -> ``(measure, side, centre, id)``: the nodes around the k centres of each measure and side that have the highest priority.
+
+    A centre counts for its first measure and side. Its priority is its number of neighbours and one, times 1 + degree / the highest degree on the high side of in and out, times a half on their
+    low side. An ego network has at most ``most`` nodes: the centre and the neighbours of most neighbours."""
+    both = materialize(edges.select(F.col("src").alias("id"), F.col("dst").alias("near")).union(edges.select("dst", "src")).distinct(), "near")
+    n = materialize(both.groupBy("id").agg(F.count("*").alias("n")), "near-counts")
+    top = extremes.groupBy("measure").agg(F.max("degree").alias("top"))  # the highest is among the extremes
+    first = extremes.groupBy("id").agg(F.min(F.struct("measure", "side", "degree")).alias("x")).select("id", "x.*").join(n, "id").join(F.broadcast(top), "measure")
+    factor = F.when(F.col("measure") == "total", 1.0).when(F.col("side") == "high", 1 + F.col("degree") / F.col("top")).otherwise(0.5)
+    best = first.withColumn("r", F.row_number().over(Window.partitionBy("measure", "side").orderBy(F.desc((1 + F.col("n")) * factor), "id"))).filter(F.col("r") <= k)
+    centres = F.broadcast(best.select("measure", "side", F.col("id").alias("centre")))  # k for each measure and side
+    around = both.join(centres, F.col("id") == F.col("centre")).select("measure", "side", "centre", F.col("near").alias("id")).join(n, "id")
+    kept = around.withColumn("r", F.row_number().over(Window.partitionBy("measure", "side", "centre").orderBy(F.desc("n"), "id"))).filter(F.col("r") < most)
+    return kept.select("measure", "side", "centre", "id").union(best.select("measure", "side", F.col("id").alias("centre"), "id"))

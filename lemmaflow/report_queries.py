@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import candidates as c
 from .functions import text as t
 from .operators import graph, loops, reports
 from .plans import views as v
-from .queries import _DEG, _DEPTH, _MDL, _NODES, _mdl, register
+from .queries import _DEG, _DEPTH, _EGO, _MDL, _NODES, _hub, _mdl, register
 from .sources import tables
 
 _NAMES = r"unnest(regexp_extract_all(tactic, '\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\b', 1))"
@@ -156,3 +157,92 @@ def _(s, d):
     """The priority of an order is its module."""
     module = v.table(s, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_orderpriority").alias("module"))
     return reports.mixture(v.edges(s, d).join(module, "src").select(F.col("dst").alias("id"), "module"), "module")
+
+
+_LIST = r"regexp_extract_all(regexp_extract(x, '\[(.*?)\]', 1), '[^,]+')"
+_NAME = r"[A-Za-z_][A-Za-z0-9_''.]*"
+_AFTER = "list_transform(regexp_extract_all(x, '\\b{}\\b\\s+([^\\s({{\\[]+)', 1), lambda w: regexp_replace(w, '[,)\\]}}]+$', ''))"
+
+
+def _found(heads: str, more: str) -> str:
+    """SQL for the names of a tactic ``x``: of its list, after the heads, dotted ones and ``more``."""
+    after = ", ".join(_AFTER.format(h) for h in heads.split())
+    return f"list_concat(list_transform(list_concat({_LIST}, {after}), lambda w: regexp_extract(w, '{_NAME}')), regexp_extract_all(x, '\\b([A-Za-z_][A-Za-z0-9_'']*(?:\\.[A-Za-z0-9_'']+)+)\\b', 1){more})"
+
+
+_CANDIDATES = "v_cand as (select distinct seq, name from (select seq, unnest(" + _found("apply exact have refine rw simp suffices", "") + ") as name from (select seq, tactic as x from v_tac)) where name not in ('', '_', 'by', 'fun', 'have', 'in', 'let', 'show', 'simp', 'rw', 'exact', 'apply', 'intro', 'refine', 'with', 'from') and not regexp_matches(name, '^[0-9._'']*$'))"
+
+
+@register("lemma_candidates", "select seq, name from v_cand", v.TACTICS, _CANDIDATES)
+def _(s, d):
+    return v.tactics(s, d).select("seq", F.explode(c.lemma_candidates(F.col("tactic"))).alias("name"))
+
+
+@register("normalize_candidate", "select seq, array_to_string(case when seq % 4 = 0 then ['Set.MapsTo.' || p_brand, 'this.' || p_brand] when seq % 4 = 1 then ['Cardinal.mk_uLift_' || p_size, 'mk_uLift_' || p_size] when seq % 4 = 2 then ['Polynomial.rootSet', 'f.rootSet'] else ['Abc' || p_size, 'Set.Abc' || p_size] end, ' ') as names from (select p_partkey as seq, * from part)")
+def _(s, d):
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    token = F.when(k == 0, F.concat(F.lit("this."), "p_brand", F.lit(".2"))).when(k == 1, F.concat(F.lit("mk_uLift_"), size)).when(k == 2, "f.rootSet").otherwise(F.concat(F.lit("Abc"), size))
+    return v.table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.array_join(c.normalize_candidate(token), " ").alias("names"))
+
+
+def _blocks(s, d):
+    """Tactics of the parts whose keys leave the same remainder are the blocks of a proof."""
+    return v.tactics(s, d).select((F.col("seq") % 97).alias("proof"), F.col("seq").alias("block"), F.col("tactic").alias("text"))
+
+
+@register("proof_candidates", "select seq % 97 as proof, seq as block, name as candidate from v_cand", v.TACTICS, _CANDIDATES)
+def _(s, d):
+    return reports.proof_candidates(_blocks(s, d))
+
+
+@register("proof_candidates_peeled", "with nm as (select distinct replace(replace(full_name, '#', ''), ' ', '_') as full_name from v_corpus), p as (select seq, name, string_split(name, '.') as ps from v_cand), x as (select seq, name, ps, i, array_to_string(ps[1:i], '.') as prefix from p, lateral (select unnest(range(1, len(ps) + 1)) as i)), b as (select name, max(i) as i, arg_max(prefix, i) as prefix from x where prefix in (select full_name from nm) group by 1) select distinct seq % 97 as proof, seq as block, case when i >= len(ps) - 1 then prefix when len(ps) > 1 and ps[len(ps)] in ('mp', 'mpr', 'symm', 'trans') then array_to_string(ps[1 : len(ps) - 1], '.') else coalesce(prefix, p.name) end as candidate from p left join b using (name)", v.TACTICS, v.CORPUS, _CANDIDATES)
+def _(s, d):
+    known = v.corpus(s, d).withColumn("full_name", F.replace(F.replace("full_name", F.lit("#"), F.lit("")), F.lit(" "), F.lit("_")))
+    return reports.proof_candidates(_blocks(s, d), known)
+
+
+_CLASSES = "v_id as (select distinct seq, name from (select seq, unnest(" + _found("apply cases exact have induction obtain rcases refine rw simp simp_rw simpa suffices use", ", regexp_extract_all(x, '\\b([A-Za-z_][A-Za-z0-9_'']*)\\b', 1)") + ") as name from (select seq, tactic as x from v_tac)) where not regexp_matches(name, '^[0-9._'']*$'))"
+_CLASS = "case when name in ('{}') then 'keywords_modifiers' when regexp_matches(name, '^[A-Z]$') then 'type_variables' when name in ('{}') then 'namespaces' when contains(name, '.') and (split_part(name, '.', 1) in ('assoc', 'comm', 'fst', 'inl', 'inr', 'refl', 'snd', 'symm', 'this', 'trans') or regexp_matches(split_part(name, '.', 1), '^([A-Za-z]|[a-z][0-9]+|h[a-z]+[0-9]*)$')) then 'local_var_access' when regexp_matches(name, '^([a-z][0-9]*|h[a-z]+[0-9]*|h[A-Z][a-z]*)$') or name = 'this' then 'local_hypotheses' when name in ('{}') then 'type_class_annotations' when (contains(name, '.') and regexp_matches(name, '^[A-Z]')) or (contains(name, '_') and name[1] <> '_') then 'global_lemmas' else 'other' end".format("', '".join(x.replace("'", "''") for x in c.KEYWORDS + c.PROJECTIONS + c.CONSTRUCTORS), "', '".join(c.NAMESPACES), "', '".join(c.TYPE_CLASSES))
+
+
+@register("identifier_categories", f"select {_CLASS} as category, name, count(*) as n from v_id group by all", v.TACTICS, _CLASSES)
+def _(s, d):
+    names = v.tactics(s, d).select(F.explode(c.identifiers(F.col("tactic"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return names.select(c.identifier_category(F.col("name")).alias("category"), "name", "n")
+
+
+@register("block_names", f"with x as (select distinct seq % 97 as proof, trim(tactic) as text, name from v_id join v_tac using (seq)) select proof, text, {_CLASS} as category, string_agg(name, ' ' order by name) as names from x group by all", v.TACTICS, _CLASSES)
+def _(s, d):
+    return reports.block_names(_blocks(s, d))
+
+
+@register("annotate_premises", "with x as (select seq, tactic, regexp_extract(tactic, '\\[([^,]*),', 1) as a, regexp_extract(tactic, ' using (.*)$', 1) as b from v_tac) select seq, concat(split_part(tactic, '[', 1), '[<a>', a, '</a>, *', split_part(split_part(tactic, ', *', 2), ' using ', 1), ' using <a>', b, '</a>') as annotated, concat(a, '|', b) as names from x", v.TACTICS)
+def _(s, d):
+    """The name in the list, its last letters (which lie within it, so that they are left out) and the part's name are the spans."""
+    a, b = F.regexp_extract("tactic", r"\[([^,]*),", 1), F.regexp_extract("tactic", " using (.*)$", 1)
+    at = F.length(F.substring_index("tactic", "[", 1)) + 1
+    span = lambda start, stop, name: F.struct(start.alias("start"), stop.alias("stop"), name.alias("full_name"))
+    spans = F.array(span(F.length("tactic") - F.length(b), F.length("tactic"), b), span(at + 2, at + F.length(a), F.lit("within")), span(at, at + F.length(a), a))
+    tactics = v.tactics(s, d)
+    return reports.annotate_premises(tactics, tactics.select("seq", F.explode(spans).alias("x")).select("seq", "x.*")).withColumn("names", F.array_join("names", "|"))
+
+
+@register("validation_alignment", "select p_size as theorem, count(*) as num_tactics, 1 as node_alignment_rate, round(avg(case when p_size % 5 > 0 or p_partkey % 2 = 0 then 1 else 0 end), 6) as edge_alignment_rate from part group by 1")
+def _(s, d):
+    """Parts of one size are the steps of a theorem; even ones are terminal."""
+    sizes = v.table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("theorem"))
+    return reports.validation_alignment(v.states(s, d).join(sizes, "seq").withColumn("is_terminal", F.col("seq") % 2 == 0))
+
+
+@register("ego_proof_report", "select id as name, case when id % 2 = 0 then 'traced' when id % 3 > 0 then 'corpus' else 'none' end as source, concat('## ', id, chr(10), chr(10), case when id % 2 = 0 then concat('**Statement:** `', o_orderpriority, '`', chr(10), chr(10), '```lean', chr(10), o_orderstatus, chr(10), '```') when id % 3 > 0 then concat('```lean', chr(10), o_orderpriority, chr(10), '```') else '*Proof not available*' end) as entry from eg join orders on o_orderkey = id", v.EDGES, _NODES, _DEG, _EGO)
+def _(s, d):
+    """Even orders are traced, those that three doesn't divide have code."""
+    o, e = v.table(s, d, "orders").withColumn("name", F.col("o_orderkey")), v.edges(s, d)
+    traced = o.filter("name % 2 = 0").select("name", F.col("o_orderpriority").alias("statement"), F.col("o_orderstatus").alias("proof"))
+    return reports.ego_proof_report(graph.ego_network(e, _hub(e)).withColumnRenamed("id", "name"), traced, o.filter("name % 3 > 0").select("name", F.col("o_orderpriority").alias("code")))
+
+
+@register("extreme_ego_extract", "with l as (select id, 'in' as measure, in_degree as degree from dg union all select id, 'out', out_degree from dg union all select id, 'total', in_degree + out_degree from dg), r as (select *, row_number() over (partition by measure order by degree desc, id) as h, row_number() over (partition by measure order by degree, id) as k from l), e as (select measure, 'high' as side, id, degree from r where h <= 5 union all select measure, 'low', id, degree from r where k <= 5 and (measure = 'total' or degree = 0)), b as (select src as id, dst as near from v_edges union select dst, src from v_edges), n as (select id, count(*) as n from b group by 1), f as (select *, row_number() over (partition by id order by measure, side, degree) as k from e), g as (select f.*, n, (1 + n) * case when measure = 'total' then 1.0 when side = 'high' then 1 + degree / (select max(degree) from e x where x.measure = f.measure) else 0.5 end as score from f join n using (id) where k = 1), c as (select *, row_number() over (partition by measure, side order by score desc, id) as p from g), a as (select measure, side, c.id as centre, near as id, row_number() over (partition by c.id order by m.n desc, near) as q from c join b on b.id = c.id join n m on m.id = near where p <= 3) select measure, side, centre, id from a where q < 50 union all select measure, side, id, id from c where p <= 3", v.EDGES, _NODES, _DEG)
+def _(s, d):
+    e = v.edges(s, d)
+    return reports.extreme_egos(e, graph.extreme_nodes(e))

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from lemmaflow.functions import candidates
 from lemmaflow.functions import text as t
-from lemmaflow.operators import components, cycles, features, graph, loops, mining, models, proof, resolve, stats
+from lemmaflow.operators import components, cycles, features, graph, loops, mining, models, proof, reports, resolve, stats
 from lemmaflow.sources import tables
 
 
@@ -253,3 +254,39 @@ def test_features_see_only_the_past(spark):
     depth = loops.kahn_rounds(e)  # 1:0 2:1 3:2 4:3
     got = {r.id: (r.parent_outdeg_sum, r.parent_beta_max) for r in features.parent_degrees(e, depth).collect()}
     assert got == {2: (0, 0), 3: (1, 1), 4: (2, 1)}
+
+
+def test_lemma_candidates(spark):
+    c = t.F.col("x")
+    block = "rw [← Nat.add_comm, *, _, foo'] at h; exact apply x.2, Subtype.coe_injective.injOn \\u2190 have (a)"
+    assert one(spark, block, candidates.lemma_candidates(c)) == ["Nat.add_comm", "Subtype.coe_injective.injOn", "foo'", "x", "x.2"]
+    assert one(spark, None, candidates.lemma_candidates(c)) == [] and one(spark, "", candidates.identifiers(c)) == []
+    for token, want in [
+        ("MapsTo", ["Set.MapsTo", "MapsTo"]), ("f.rootSet", ["Polynomial.rootSet", "f.rootSet"]), ("f.rootSet_finite", ["Polynomial.rootSet_finite", "f.rootSet_finite"]),
+        ("le_aleph0_iff_set_countable", ["Cardinal.le_aleph0_iff_set_countable", "le_aleph0_iff_set_countable"]), ("mk_uLift", ["Cardinal.mk_uLift", "mk_uLift"]),
+        ("this.countable_of_injOn", ["Set.MapsTo.countable_of_injOn"]), ("x.coe_prop", []), ("foo.2", ["foo"]), ("Foo", ["Foo", "Set.Foo"]), ("Nat.add", ["Nat.add"]),
+    ]:
+        assert one(spark, token, candidates.normalize_candidate(c)) == want
+    classes = {"simp": "keywords_modifiers", "Or.inl": "keywords_modifiers", "A": "type_variables", "Nat": "namespaces", "this.foo": "local_var_access", "h1.2": "local_var_access", "h_pos": "local_hypotheses",
+               "hab1": "local_hypotheses", "MapsTo": "type_class_annotations", "Nat.succ_le": "global_lemmas", "add_comm": "global_lemmas", "foo.mp": "global_lemmas", "foo": "other", "Foo": "other", "âx": "corrupted_unicode"}
+    rows = spark.createDataFrame([(k,) for k in classes], "x string").select("x", candidates.identifier_category(c).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == classes
+
+
+def test_goal_blocks_and_alignment(spark):
+    c = t.F.col("x")
+    two = one(spark, "lost : A\ncase zero\nn m : ℕ\n⊢ n\n  = m\ncase succ\nh : p ⊢ q", reports.goal_blocks(c))
+    assert [(g.case_label, [tuple(d) for d in g.declared], g.target) for g in two] == [("zero", [("n", "ℕ"), ("m", "ℕ")], "n = m"), ("succ", [], "q")]
+    apart = one(spark, "a : A\n⊢ p\n\nno turnstile\n\n⊢ q", reports.goal_blocks(c))
+    assert [(g.hypotheses, g.target) for g in apart] == [(["a : A"], "p"), ([], "q")]
+    assert one(spark, "no goals", reports.goal_blocks(c)) == [] and one(spark, None, reports.goal_blocks(c)) == []
+    rows = [("a", "⊢ p", "no goals", True), ("a", "⊢ p", "?", False), ("a", None, "⊢ q", False), ("a", "⊢ p", "⊢ q", False)]
+    got = reports.validation_alignment(spark.createDataFrame(rows, "theorem string, before string, after string, is_terminal boolean")).first()
+    assert (got.num_tactics, got.node_alignment_rate, got.edge_alignment_rate) == (4, 0.5, 0.5)
+
+
+def test_annotate_premises(spark):
+    tactics = spark.createDataFrame([(1, "rw [add_comm b, f]"), (2, "rfl")], "seq long, tactic string")
+    spans = spark.createDataFrame([(1, 4, 12, "Nat.add_comm"), (1, 4, 7, "Nat.add"), (1, 6, 14, "x"), (1, 16, 17, "f")], "seq long, start int, stop int, full_name string")
+    got = {r.seq: (r.annotated, r.names) for r in reports.annotate_premises(tactics, spans).collect()}
+    assert got == {1: ("rw [<a>add_comm</a> b, <a>f</a>]", ["Nat.add_comm", "f"]), 2: ("rfl", [])}
