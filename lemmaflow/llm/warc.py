@@ -41,11 +41,11 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 # What stands in a tag: quoted values may hold ">". A tag ends at the next "<" too, so that a broken one costs no search to the end of the page.
 _IN = r"""(?>[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*+"""
 _HIDDEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b{_IN}>.*?(?:</\1\s*>|\Z)")
-_INSIDE = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|(<(script|style|template)\b{_IN}>).*?(?:</\2\s*>|\Z)")
+_INSIDE = re.compile(rf"(?is)<(?:!--.*?(?:-->|\Z)|(script|style|template)\b({_IN}>).*?(?:</\1\s*>|\Z))")
 # The end tag of a head may lack; then the head ends where the body begins, or has no end that could be seen.
 _HEAD, _HEAD_END = re.compile(rf"(?i)<head\b{_IN}>"), re.compile(r"(?i)</head\s*>|(?=<body\b)")
 _BLOCKS = re.compile(rf"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|blockquote|pre|title)|br|hr)\b{_IN}>")
-_TAG, _SPACE = re.compile(rf"<[/!?a-zA-Z]{_IN}>"), re.compile(r"[ \t\r\f\v\n]+")
+_TAG, _SPACE = re.compile(rf"<[/!?a-zA-Z]{_IN}>"), re.compile(r"[ \t\r\f\v\n]{2,}|[\t\r\f\v\n]")  # a single blank stays
 _LINK = re.compile(rf"(?is)<(?:(a)\b({_IN})>([^<]*(?:<(?!/?a\b)[^<]*)*)|(link|img|script|iframe|area)\b({_IN})>)")
 _ATTR = re.compile(r"""(?is)(?:^|\s)(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -61,15 +61,15 @@ def record_id(*parts: str) -> str:
 def plain_text(page: str) -> str:
     if (head := _HEAD.search(page)) and (end := _HEAD_END.search(page, head.end())):
         page = page[: head.start()] + " " + page[end.end() :]
-    text = _BLOCKS.sub("\n", _HIDDEN.sub(" ", page))
-    lines = (_SPACE.sub(" ", html.unescape(_TAG.sub("", line))).strip() for line in text.split("\n"))
+    text = _TAG.sub("", _BLOCKS.sub("\n", _HIDDEN.sub(" ", page)))
+    lines = (_SPACE.sub(" ", html.unescape(line)).strip() for line in text.split("\n") if line)
     return "\n".join(line for line in lines if line)
 
 
 def links(page: str) -> list[dict[str, str]]:
     """Links in the order of the page; none from within comments, scripts, styles and templates."""
     out = []
-    for m in _LINK.finditer(_INSIDE.sub(r"\1", page)):
+    for m in _LINK.finditer(_INSIDE.sub(lambda m: f"<{m[1]}{m[2]}" if m[1] else "", page)):
         element, attributes = m[1] or m[4], m[2] if m[1] else m[5]
         for name, *values in _ATTR.findall(attributes):
             entry = {"path": f"{element.upper()}@/{name.lower()}", "url": html.unescape(next((v for v in values if v), ""))}
@@ -168,10 +168,13 @@ def derive(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of the response records among ``responses``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = ("page_id", "target_uri", "date", "payload_digest", "block_digest", "record_id", "block")
+
         def rows() -> Iterator[dict]:
             for b in batches:
-                for i in range(b.num_rows):
-                    yield from derivatives({n: b.column(n)[i].as_py() for n in ("page_id", "target_uri", "date", "payload_digest", "block_digest", "record_id", "block")})
+                for i in range(0, b.num_rows, 100):  # blocks are whole pages
+                    for values in zip(*(b.column(n).slice(i, 100).to_pylist() for n in needed), strict=True):
+                        yield from derivatives(dict(zip(needed, values, strict=True)))
 
         yield from _some(rows())
 

@@ -449,6 +449,8 @@ def test_warc(spark):
 
     meta = json.loads(next(bytes(r.block) for r in rows if r.record_type == "metadata" and r.page_id == 1))
     assert [(x["path"], x["url"], x.get("text")) for x in meta["links"]] == [("A@/href", "/x?a=1&b=2", "go on"), ("IMG@/src", "pic.png", None), ("A@/href", "/open", "open")]
+    assert warc.plain_text("<p>one <a\nhref='x'>two</a>\u00a0three</p>") == "one two\u00a0three"
+    assert [x["url"] for x in warc.links("<!-- <a href='no'>x</a> --><script\nsrc='s.js'>'<a href=\"no\">'</script><a href='y'>y</a>")] == ["s.js", "y"]
     assert warc.plain_text("<html><head><title>x</title><body><p>Hello world</p>") == "Hello world" and warc.plain_text("<head><title>x</title><p>Hello") == "Hello"
     assert warc.plain_text('<p title="a > b">one</p><p title=don\'t>two<a href=\'x>y\'>l</a>') == "one\ntwol" and warc.links("<a href='x>y'>l</a>") == [{"path": "A@/href", "url": "x>y", "text": "l"}]
     import gzip as gz
