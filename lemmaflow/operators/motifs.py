@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import materialize
@@ -31,8 +31,9 @@ def connected_motifs(flow: DataFrame, heads: DataFrame, size: int, support: int)
     return candidates, witnesses
 
 
-def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False) -> DataFrame:
-    """Witnesses ``(theorem, members)`` with a path that leaves the set and comes back. A pair with an edge of its own is taken as its shortest path and passes, unless ``strict``.
+def detour_pairs(flow: DataFrame, witnesses: DataFrame, strict: bool = False) -> DataFrame:
+    """``(theorem, members, at, to)``: the pairs of members of a witness ``(theorem, members)`` that a path outside the set joins. A pair with an edge of its own is taken as its shortest path
+    and left out, unless ``strict``.
 
     Frontiers are keyed by (witness, first member); all witnesses go in the same rounds."""
     e = materialize(flow.select("theorem", F.col("src").alias("at"), F.col("dst").alias("to")).distinct(), "detour-edges")
@@ -51,8 +52,73 @@ def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False) -> Data
         if front.isEmpty():
             break
         seen = front if seen is None else seen.union(front)
-    found = found.distinct() if strict else found.distinct().join(e, ["theorem", "at", "to"], "left_anti")
-    return found.select("theorem", "members").distinct()
+    return found.distinct() if strict else found.distinct().join(e, ["theorem", "at", "to"], "left_anti")
+
+
+def detours(flow: DataFrame, witnesses: DataFrame, strict: bool = False) -> DataFrame:
+    """Witnesses ``(theorem, members)`` with a path that leaves the set and comes back."""
+    return detour_pairs(flow, witnesses, strict).select("theorem", "members").distinct()
+
+
+def paths(flow: DataFrame, size: int) -> DataFrame:
+    """``(theorem, members, heads, kinds)``: simple directed paths of ``size`` steps, members in the order of the path, the kinds of its edges as an array."""
+    out = flow.select("theorem", F.array("src", "dst").alias("members"), F.concat_ws(">", "src_head", "dst_head").alias("heads"), F.array("kind").alias("kinds"), F.col("dst").alias("at"))
+    nxt = flow.select("theorem", F.col("src").alias("at"), F.col("dst").alias("to"), "dst_head", "kind")
+    for _ in range(size - 2):
+        grown = out.join(nxt, ["theorem", "at"]).filter(~F.array_contains("members", F.col("to")))
+        out = grown.select("theorem", F.concat("members", F.array("to")).alias("members"), F.concat_ws(">", "heads", "dst_head").alias("heads"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("to").alias("at"))
+    return out.drop("at")
+
+
+def collapsible_paths(flow: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """``witnesses(theorem, members, heads, kinds)`` of ``paths`` with ``reason``: missing_internal_edge if the members have a typed edge that isn't one of the path's,
+    intermediate_path_violation if an earlier member reaches a later one through steps outside the path alone, else ok."""
+    w = materialize(witnesses, "paths")
+    ends = w.withColumn("src", F.explode("members")).join(flow.select("theorem", "src", "dst", "kind").distinct(), ["theorem", "src"]).filter(F.array_contains("members", F.col("dst")))
+    place = F.array_position("members", F.col("src")).cast("int")
+    own = (F.array_position("members", F.col("dst")) == place + 1) & (F.get("kinds", place - 1) == F.col("kind"))
+    extra = ends.filter(~F.coalesce(own, F.lit(False))).select("theorem", "members", "kinds").distinct().withColumn("extra", F.lit(1))
+    pairs = detour_pairs(flow, w).filter(F.array_position("members", F.col("at")) < F.array_position("members", F.col("to")))
+    around = pairs.select("theorem", "members").distinct().withColumn("around", F.lit(1))
+    out = w.join(extra, ["theorem", "members", "kinds"], "left").join(around, ["theorem", "members"], "left")
+    return out.select("theorem", "members", "heads", "kinds", F.when(F.col("extra") == 1, "missing_internal_edge").when(F.col("around") == 1, "intermediate_path_violation").otherwise("ok").alias("reason"))
+
+
+def collapsible_majority(judged: DataFrame, samples: int = 5, share: float = 0.5) -> DataFrame:
+    """``judged(heads, kinds, theorem, members, reason)`` -> patterns whose first ``samples`` witnesses (the variant looks at no more) are good in at least ``share`` of the cases."""
+    first = Window.partitionBy("heads", "kinds").orderBy("theorem", "members")
+    some = judged.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= samples)
+    out = some.groupBy("heads", "kinds").agg(F.count("*").alias("sampled"), F.count_if(F.col("reason") == "ok").alias("good"))
+    return out.withColumn("collapsible", F.col("good") >= share * F.col("sampled"))
+
+
+def bfs_tree_motifs(flow: DataFrame, size: int = 4, support: int = 2) -> DataFrame:
+    """Patterns of the paths of 2 to ``size`` steps in the breadth-first trees from each step: ``(heads, kinds, support, first)``; a theorem counts once for a pattern.
+
+    A step's parent is the first one that sees it: among those a level above it the one with the least path, and of edges of two kinds the first."""
+    step = materialize(flow.select("theorem", F.col("src").alias("at"), F.col("dst").alias("to"), "src_head", "dst_head", "kind"), "tree-edges")
+    least = lambda df: df.groupBy("theorem", "start", "to").agg(F.min(F.struct("path", "kinds", "heads")).alias("x")).select("theorem", "start", F.col("to").alias("at"), "x.*")
+    level = least(step.filter("at <> to").select("theorem", F.col("at").alias("start"), "to", F.array("at", "to").alias("path"), F.array("kind").alias("kinds"), F.array("src_head", "dst_head").alias("heads")))
+    level = materialize(level, "tree-level")
+    seen = found = level
+    for _ in range(size - 2):
+        grown = level.join(step, ["theorem", "at"]).filter("start <> to").join(seen.select("theorem", "start", F.col("at").alias("to")), ["theorem", "start", "to"], "left_anti")
+        level = materialize(least(grown.select("theorem", "start", "to", F.concat("path", F.array("to")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.concat("heads", F.array("dst_head")).alias("heads"))), "tree-level")
+        seen = found = seen.union(level)
+    named = found.select(F.array_join("heads", ">").alias("heads"), F.array_join("kinds", ",").alias("kinds"), "theorem").distinct()
+    return named.groupBy("heads", "kinds").agg(F.count("*").alias("support"), F.min("theorem").alias("first")).filter(F.col("support") >= support)
+
+
+def size_summary(ranked: DataFrame) -> DataFrame:
+    """``ranked(size, savings)`` -> per size of the motif: how many there are, median, 90th percentile and maximum of what they save."""
+    return ranked.groupBy("size").agg(F.count("*").alias("candidates"), F.median("savings").alias("median_savings"), F.round(F.percentile("savings", F.lit(0.9)), 6).alias("p90_savings"), F.max("savings").alias("max_savings"))
+
+
+def theorem_hits(accepted: DataFrame, candidates: DataFrame, k: int = 200) -> DataFrame:
+    """``accepted(pattern, theorem, members)`` with ``candidates(pattern, savings)``: the first k hits of each theorem by savings, then size, then pattern and members."""
+    rows = accepted.join(candidates.select("pattern", "savings"), "pattern")
+    order = Window.partitionBy("theorem").orderBy(F.desc("savings"), F.desc(F.size("members")), "pattern", "members")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def collapsible(flow: DataFrame, candidates: DataFrame, witnesses: DataFrame, strict: bool = False) -> DataFrame:

@@ -90,3 +90,14 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TACTICS = "v_tac as (select p_partkey as seq, concat(['rw', 'simp only', 'exact', 'apply', 'intro', 'cases', '· exact', 'rfl'][p_size % 8 + 1], ' [', replace(concat(p_brand, '.', replace(p_type, ' ', '_'), '.', replace(p_name, ' ', '_')), '#', ''), ', *] at h', p_size, ' using ', p_name) as tactic from part)"
 STATES = "v_st as (select p_partkey as seq, p_size, p_type, p_brand, p_name, concat('x y : ', p_type, chr(10), 'hk', p_size, ' : ', p_brand, ' = 1', chr(10), 'inst✝ : Mul ', p_brand, chr(10), '⊢ ', p_name, chr(10), '  more') as before, case when p_size % 5 = 0 then 'no goals' else concat('x z : ', p_type, chr(10), '⊢ ', p_name, chr(10), chr(10), 'case b', chr(10), '⊢ q') end as after from part)"
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(theorem, idx, tactic, before, after, premises): twenty parts in the order of their keys are a proof; a step starts from the state that the one before left, or from its own if that left none."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.array("p_brand").alias("premises"))
+    rows = states(spark, sf_dir).join(tactics(spark, sf_dir), "seq").join(parts, "seq").withColumn("theorem", F.floor(F.col("seq") / 20)).withColumn("idx", F.col("seq") % 20)
+    last = F.lag("after").over(Window.partitionBy("theorem").orderBy("idx"))
+    return rows.select("theorem", "idx", F.concat("tactic", F.lit(" x")).alias("tactic"), F.coalesce(F.when(last != "no goals", last), "before").alias("before"), "after", "premises")
+
+
+TRACES = "v_tr as materialized (select *, coalesce(lag(done) over w, true) as fresh, lag(idx) over w as last, lag(p_type) over w as last_type from (select p_partkey // 20 as theorem, p_partkey % 20 as idx, p_type, p_brand, p_name, p_size % 5 = 0 as done from part) window w as (partition by theorem order by idx))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import cycles, graph, loops, mining, models, proof, stats
+from .operators import cycles, graph, loops, mining, models, object_flow, proof, stats
 from .plans import views as v
 from .plans.durable import materialize
 from .queries import _DEG, _DEPTH, _FLOW, _NODES, register
@@ -175,3 +175,21 @@ def _(s, d):
     known = v.table(s, d, "part").filter("p_size < 25").select(F.concat_ws(".", "p_brand", "p_type").alias("premise"))
     c = v.premises(s, d).join(known, "premise", "left_anti").groupBy(F.col("premise").alias("name")).agg(F.count("*").alias("n"))
     return c.withColumn("percent", stats.rounded(100 * F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+_OBJECTS = "ob as (select *, sum(fresh::int) over (partition by theorem order by idx) as chain, not done and not fresh and p_type <> last_type as made from v_tr), ox as (select *, max(case when made then idx end) over (partition by theorem, chain order by idx rows between unbounded preceding and 1 preceding) as m, first_value(p_type) over (partition by theorem, chain order by idx) as first_type, first_value(idx) over (partition by theorem, chain order by idx) as first_idx from ob), oy as (select ox.*, coalesce(m, (select max(o.idx) from ob o where o.theorem = ox.theorem and o.made and o.idx < ox.first_idx and o.p_type = ox.first_type)) as x from ox)"
+
+
+@register("tdg_build", "select theorem::varchar as theorem, case when fresh then 'in' else concat('t', last) end as src, concat('t', idx) as dst, 'goal_to_goal' as edge_type, 'goal->goal' as label, 'goal' as object_kind, 0.99 as confidence from oy union all select theorem::varchar, case when x is null then 'in' else concat('t', x) end, concat('t', idx), 'hyp_to_goal', 'x->hyp', 'hypothesis', 0.90 from oy union all select theorem::varchar, 'in', concat('t', idx), 'premise_use', 'premise->arg', 'premise', 0.75 from oy union all select theorem::varchar, concat('t', idx), 'out', 'goal_to_goal', 'proof_complete', 'goal', 0.99 from oy where done", v.TRACES, _OBJECTS)
+def _(s, d):
+    return object_flow.object_flow(v.traces(s, d)).drop("object_id")
+
+
+@register("tdg_build_stats", "select theorem::varchar as theorem, count(*) as n_steps, count(*) filter (fresh and not done) as branching_steps, count(*) * 3 as inputs, sum(case when done then 0 when fresh then 3 when p_type = last_type then 1 else 3 end) as outputs, count(*) filter (fresh and last is not null) as resynced from v_tr group by 1", v.TRACES)
+def _(s, d):
+    return object_flow.object_stats(v.traces(s, d))
+
+
+@register("tdg_io", "select theorem, idx, case when done then '' else 'x' end as inputs, '' as outputs, p_brand as premise_refs, fresh or done as target_changed from v_tr", v.TRACES)
+def _(s, d):
+    return object_flow.step_io(v.traces(s, d))

@@ -7,7 +7,7 @@ import pytest
 
 from lemmaflow.functions import candidates
 from lemmaflow.functions import text as t
-from lemmaflow.operators import components, cycles, features, graph, loops, mining, models, proof, reports, resolve, stats
+from lemmaflow.operators import components, cycles, features, graph, loops, mining, models, motifs, object_flow, proof, reports, resolve, stats
 from lemmaflow.sources import tables
 
 
@@ -290,3 +290,37 @@ def test_annotate_premises(spark):
     spans = spark.createDataFrame([(1, 4, 12, "Nat.add_comm"), (1, 4, 7, "Nat.add"), (1, 6, 14, "x"), (1, 16, 17, "f")], "seq long, start int, stop int, full_name string")
     got = {r.seq: (r.annotated, r.names) for r in reports.annotate_premises(tactics, spans).collect()}
     assert got == {1: ("rw [<a>add_comm</a> b, <a>f</a>]", ["Nat.add_comm", "f"]), 2: ("rfl", [])}
+
+
+def test_object_flow(spark):
+    """Two goals of which one waits; a hypothesis that is inherited and one that is new; a goal that nobody left open."""
+    rows = [
+        ("a", 0, "constructor", "h : P\n⊢ p ∧ q", "case l\nh : P\n⊢ p\ncase r\nh : P\nk : Q\n⊢ q", ["And.intro"]),
+        ("a", 1, "exact h h", "case l\nh : P\n⊢ p\ncase r\nh : P\nk : Q\n⊢ q", "case r\nh : P\nk : Q\n⊢ q", None),
+        ("a", 2, "exact k h", "case r\nh : P\nk : Q\n⊢ q", "no goals", ["And.intro", "foo"]),
+        ("b", 0, "by\n  skip", "⊢ a", "⊢ b", []),
+        ("b", 1, "simp z", "z : Z\n⊢ other", None, []),
+        ("b", 2, None, "no goals", "no goals", ["foo"]),
+    ]
+    steps = spark.createDataFrame(rows, "theorem string, idx int, tactic string, before string, after string, premises array<string>")
+    got = {(e.theorem, e.src, e.dst, e.label, e.object_id) for e in object_flow.object_flow(steps).collect()}
+    goal, arg, end = "goal->goal", "premise->arg", "proof_complete"
+    assert got == {
+        ("a", "in", "t0", goal, "g0"), ("a", "in", "t0", arg, "p0"), ("a", "t0", "t1", goal, "g1"), ("a", "in", "t1", "h->hyp", "h0"), ("a", "t0", "t2", goal, "g2"), ("a", "t0", "t2", "k->hyp", "h1"),
+        ("a", "in", "t2", "h->hyp", "h0"), ("a", "in", "t2", arg, "p0"), ("a", "in", "t2", arg, "p1"), ("a", "t2", "out", end, "g2"),
+        ("b", "in", "t0", goal, "g0"), ("b", "t0", "t1", goal, "g2"), ("b", "t0", "t1", "z->hyp", "h0"), ("b", "t1", "out", end, "g2"), ("b", "in", "t2", arg, "p0"),
+    }
+    stats = {r.theorem: (r.n_steps, r.branching_steps, r.inputs, r.outputs, r.resynced) for r in object_flow.object_stats(steps).collect()}
+    assert stats == {"a": (3, 1, 9, 3, 0), "b": (3, 0, 4, 1, 1)}  # as many inputs as edges into the steps
+    assert object_flow.object_flow(steps.limit(0)).count() == 0
+
+
+def test_path_and_tree_motifs(spark):
+    """0 -> 1 -> 2 -> 3 with a second kind of edge 0 -> 2: its path 0 1 2 lacks an edge, 1 2 3 is good, 0 2 3 is good (the way over 1 leads to a member of an edge of its own)."""
+    flow = spark.createDataFrame([("a", 0, 1, "x", "y", "goal"), ("a", 1, 2, "y", "x", "goal"), ("a", 2, 3, "x", "z", "goal"), ("a", 0, 2, "x", "x", "hyp")], "theorem string, src int, dst int, src_head string, dst_head string, kind string")
+    judged = {tuple(r.members): r.reason for r in motifs.collapsible_paths(flow, motifs.paths(flow, 3)).collect()}
+    assert judged == {(0, 1, 2): "missing_internal_edge", (1, 2, 3): "ok", (0, 2, 3): "ok"}
+    around = spark.createDataFrame([("a", 0, 1, "x", "x", "goal"), ("a", 1, 3, "x", "x", "goal"), ("a", 0, 2, "x", "x", "hyp"), ("a", 2, 3, "x", "x", "hyp")], flow.schema)
+    assert {r.reason for r in motifs.collapsible_paths(around, motifs.paths(around, 3)).collect()} == {"intermediate_path_violation"}
+    trees = {(r.heads, r.kinds): r.support for r in motifs.bfs_tree_motifs(flow, 4, 1).collect()}
+    assert trees == {("x>y", "goal"): 1, ("y>x", "goal"): 1, ("x>z", "goal"): 1, ("x>x", "hyp"): 1, ("x>x>z", "hyp,goal"): 1, ("y>x>z", "goal,goal"): 1}
