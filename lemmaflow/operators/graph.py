@@ -1,10 +1,12 @@
 """Measures of a citation graph ``edges(src, dst)``, distinct and without loops (src is cited by dst).
 
-Hubs are heavy: joins of edges with edges go from counts where only counts are asked for, and rely on adaptive skew handling where they list."""
+Hubs are heavy: triangles are listed from their node of the smallest degree, and pairs of neighbours are counted where only counts are asked for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stats import rounded
@@ -53,18 +55,38 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 
 def transitivity(edges: DataFrame) -> DataFrame:
-    """Share of the nodes with grandparents that also cite one of them."""
-    up = edges.select(F.col("src").alias("grand"), F.col("dst").alias("mid"))
-    two = up.join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("grand", "dst").distinct()
-    also = two.join(edges.withColumnRenamed("src", "grand"), ["grand", "dst"], "left_semi").select("dst").distinct()
-    a = two.select(F.countDistinct("dst").alias("with_grandparents"))
-    return a.join(also.agg(F.count("*").alias("transitive"))).select("with_grandparents", "transitive", rounded(F.col("transitive") / F.greatest("with_grandparents", F.lit(1))).alias("transitivity"))  # a row each
+    """Share of the nodes with grandparents that also cite one of them. Semi joins say who has grandparents; who cites one is the last node of a feed-forward loop."""
+    below = edges.select(F.col("dst").alias("src")).distinct()
+    a = edges.join(below, "src", "left_semi").select(F.countDistinct("dst").alias("with_grandparents"))
+    also = feedforward_loops(edges).agg(F.countDistinct("w").alias("transitive"))
+    return a.join(also).select("with_grandparents", "transitive", rounded(F.col("transitive") / F.greatest("with_grandparents", F.lit(1))).alias("transitivity"))  # a row each
+
+
+def _from_smaller(edges: DataFrame) -> DataFrame:
+    """``(lo, hi, hd, kind)``: each edge from its end of the smaller (degree, id); hd is the degree of ``hi``, kind 1 if the edge leaves ``lo``, 2 if it enters it."""
+    d = degrees(edges).select("id", (F.col("in_degree") + F.col("out_degree")).alias("deg"))
+    ends = edges.join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst")
+    down = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
+    pick = lambda a, b: F.when(down, F.col(a)).otherwise(F.col(b))
+    return ends.select(pick("src", "dst").alias("lo"), pick("dst", "src").alias("hi"), pick("dd", "ds").alias("hd"), F.when(down, 1).otherwise(2).alias("kind"))
+
+
+def _triangles(pairs: DataFrame) -> DataFrame:
+    """``(x, y, z, xy, xz, yz)``: triangles of ``pairs(lo, hi, hd, kind)``, x < y < z by degree, with the kinds of their sides.
+
+    Wedges are listed at the node of the smallest degree alone, which has at most sqrt(2m) neighbours above it: m ** 1.5 wedges whatever the hubs."""
+    one, two = pairs.toDF("x", "y", "yd", "xy"), pairs.toDF("x", "z", "zd", "xz")
+    wedges = one.join(two, "x").filter((F.col("yd") < F.col("zd")) | ((F.col("yd") == F.col("zd")) & (F.col("y") < F.col("z"))))
+    return wedges.join(pairs.select(F.col("lo").alias("y"), F.col("hi").alias("z"), F.col("kind").alias("yz")), ["y", "z"]).select("x", "y", "z", "xy", "xz", "yz")
 
 
 def feedforward_loops(edges: DataFrame) -> DataFrame:
-    """``(u, v, w)``: u -> v -> w and u -> w. Wedges start at the end with the smaller degree only through the check join on (u, w)."""
-    a, b = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    return a.join(b, "v").join(edges.select(F.col("src").alias("u"), F.col("dst").alias("w")), ["u", "w"], "left_semi").select("u", "v", "w")
+    """``(u, v, w)``: u -> v -> w and u -> w. A triangle is one unless it is a cycle; u has two edges out, v one, w none."""
+    xy, xz, yz = (F.col(c) == 1 for c in ("xy", "xz", "yz"))
+    u = F.when(xy & xz, F.col("x")).when(~xy & yz, F.col("y")).when(~xz & ~yz, F.col("z"))
+    w = F.when(~xy & ~xz, F.col("x")).when(xy & ~yz, F.col("y")).when(xz & yz, F.col("z"))
+    v = F.when(xy != xz, F.col("x")).when(xy == yz, F.col("y")).otherwise(F.col("z"))
+    return _triangles(_from_smaller(edges)).select(u.alias("u"), v.alias("v"), w.alias("w")).filter("u is not null")
 
 
 def ffl_count(edges: DataFrame) -> DataFrame:
@@ -112,15 +134,24 @@ def ego_topology(edges: DataFrame) -> DataFrame:
 
 
 def motif3_census(edges: DataFrame) -> DataFrame:
-    """Connected triples by number of edges and sorted (in, out) degrees within the triple: ``(signature, n)``."""
-    und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = und.select(F.col("a").alias("m"), F.col("b").alias("x")).union(und.select("b", "a"))
-    triples = both.join(both.select("m", F.col("x").alias("y")), "m").filter("x < y").select(F.array_sort(F.array("m", "x", "y")).alias("t")).distinct()
-    pairs = triples.select("t", F.explode(F.array(*[F.struct(F.col("t")[i].alias("src"), F.col("t")[j].alias("dst"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(3) if i != j])).alias("e")).select("t", "e.*")
-    found = pairs.join(edges, ["src", "dst"])
-    n = lambda c, k: F.sum(F.when(F.col(c) == k, 1).otherwise(0))
-    deg = found.groupBy("t").agg(F.array_sort(F.array(*[n("j", k) * 10 + n("i", k) for k in range(3)])).alias("s"))
-    return deg.groupBy(F.array_join("s", "-").alias("signature")).agg(F.count("*").alias("n"))
+    """Connected triples by number of edges and sorted (in, out) degrees within the triple: ``(signature, n)``.
+
+    Closed triples are listed as triangles. Open ones are counted: the pairs of neighbours of each node by kind (1 out, 2 in, 3 both), less those that a triangle closes."""
+    pairs = _from_smaller(edges).groupBy("lo", "hi", "hd").agg(F.sum("kind").alias("kind"))
+    turned = lambda c: F.when(F.col(c) == 3, 3).otherwise(3 - F.col(c))
+    leaves = lambda k: (k % 2).cast("int")
+    enters = lambda k: (k >= 2).cast("int")
+    shut = _triangles(pairs).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))  # at most 27 rows
+    sides = [(F.col("xy"), F.col("xz")), (turned("xy"), F.col("yz")), (turned("xz"), turned("yz"))]
+    closed = shut.select(F.array_sort(F.array(*[(enters(a) + enters(b)) * 10 + leaves(a) + leaves(b) for a, b in sides])).alias("s"), "n")
+    lost = shut.select("n", F.explode(F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in sides])).alias("p")).select("p.*", (-F.col("n")).alias("n"))
+    around = pairs.select(F.col("lo").alias("m"), "kind").union(pairs.select("hi", turned("kind"))).groupBy("m").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in (1, 2, 3)])
+    c = lambda k: F.col(f"n{k}")
+    ways = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (c(a) * (c(a) - 1) / 2 if a == b else c(a) * c(b)).cast("long").alias("n")) for a in (1, 2, 3) for b in range(a, 4)]
+    open_ = around.select(F.explode(F.array(*ways)).alias("p")).select("p.*").union(lost).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
+    a, b = F.col("a"), F.col("b")
+    bent = open_.select(F.array_sort(F.array((enters(a) + enters(b)) * 10 + leaves(a) + leaves(b), leaves(a) * 10 + enters(a), leaves(b) * 10 + enters(b))).alias("s"), "n")
+    return closed.union(bent).groupBy(F.array_join(F.col("s").cast("array<string>"), "-").alias("signature")).agg(F.sum("n").alias("n"))
 
 
 def ego_network(edges: DataFrame, centre, distance: int = 2) -> DataFrame:
@@ -145,13 +176,14 @@ def ego_summary(edges: DataFrame, centre, distance: int = 2) -> DataFrame:
 
 
 def extreme_nodes(edges: DataFrame, k: int = 5) -> DataFrame:
+    """The k nodes of the highest and the lowest degree of each measure (in and out: zero alone is low). Each task keeps its own best k, no measure is sorted whole."""
     d = degrees(edges).withColumn("total_degree", F.col("in_degree") + F.col("out_degree"))
-    long = d.select("id", F.expr("stack(3, 'in', in_degree, 'out', out_degree, 'total', total_degree) as (measure, degree)"))
-    high = Window.partitionBy("measure").orderBy(F.desc("degree"), "id")
-    low = Window.partitionBy("measure").orderBy("degree", "id")
-    ranked = long.withColumn("h", F.row_number().over(high)).withColumn("l", F.row_number().over(low))
-    zero = (F.col("measure") == "total") | (F.col("degree") == 0)
-    return ranked.filter(F.col("h") <= k).select("measure", F.lit("high").alias("side"), "id", "degree").union(ranked.filter((F.col("l") <= k) & zero).select("measure", F.lit("low"), "id", "degree"))
+    parts = []
+    for measure in ("in", "out", "total"):
+        rows = d.select(F.lit(measure).alias("measure"), "id", F.col(f"{measure}_degree").alias("degree"))
+        low = rows if measure == "total" else rows.filter("degree = 0")
+        parts += [x.limit(k).select("measure", F.lit(side).alias("side"), "id", "degree") for side, x in (("high", rows.orderBy(F.desc("degree"), "id")), ("low", low.orderBy("degree", "id")))]
+    return reduce(DataFrame.union, parts)
 
 
 def adjacent_possible(edges: DataFrame, known: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.durable import drop_table, materialize, new_path
 from .components import connected_components
@@ -17,7 +18,7 @@ from .stats import rounded
 def kahn_rounds(edges: DataFrame) -> DataFrame:
     """``(id, depth)``: the round in which a node has no unmet parent, which is its longest depth. Nodes on or below cycles are missing.
 
-    Each round only touches the edges that leave the last layer and the counts of what they reach."""
+    Each round joins the edges with the last layer and rewrites the counts of the nodes that are still open."""
     edges = materialize(edges, "kahn-edges")
     need = materialize(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("missing")), "kahn-need")
     layer = materialize(nodes(edges).join(need, "id", "left_anti").select("id", F.lit(0).alias("depth")), "kahn-layer")
@@ -72,20 +73,29 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 def targets(edges: DataFrame) -> DataFrame:
     """``(id, y1, y2)``: number of downward paths (y1 = sum over children of 1 + y1(child)) and of children. Acyclic graphs only.
 
-    Rounds go by depth from the leaves, each node's paths being pushed to its parents once all are known."""
+    Rounds go by height from the leaves. Each node's paths are pushed to its parents, into the partition of the parent's height; a round reads its own partition of the sums and of
+    the edges, so all rounds together read each edge once."""
+    spark = edges.sparkSession
     edges = materialize(edges, "targets-edges")
-    depth = materialize(kahn_rounds(reverse(edges)), "targets-depth")
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    done = materialize(depth.filter("depth = 0").select("id", F.lit(0.0).alias("y1")), "targets")
-    parts = [done]
-    for d in range(1, deepest + 1):
-        layer = depth.filter(F.col("depth") == d).select(F.col("id").alias("src"))
-        have = reduce(DataFrame.union, parts).withColumnRenamed("id", "dst")
-        y = edges.join(layer, "src", "left_semi").join(have, "dst").groupBy(F.col("src").alias("id")).agg(F.sum(1 + F.col("y1")).alias("y1"))
-        parts.append(materialize(y, "targets"))
+    height = materialize(kahn_rounds(reverse(edges)), "targets-height")
+    deepest = height.agg(F.max("depth")).first()[0] or 0
+    links = edges.join(height.select(F.col("id").alias("src"), F.col("depth").alias("to")), "src").join(height.select(F.col("id").alias("dst"), F.col("depth").alias("at")), "dst")
+    by_height, sums = new_path(spark, "targets-links"), new_path(spark, "targets-sums")
+    links.write.partitionBy("at").parquet(by_height)
+    links = spark.read.schema(links.schema).parquet(by_height)
+    pushed = T.StructType([T.StructField("src", edges.schema["src"].dataType), T.StructField("y", T.DoubleType()), T.StructField("to", T.IntegerType())])
+    for h in range(max(1, deepest)):
+        layer = links.filter(F.col("at") == h)
+        if h:
+            known = spark.read.schema(pushed).parquet(sums).filter(F.col("to") == h).groupBy(F.col("src").alias("dst")).agg(F.sum("y").alias("y"))
+            layer = layer.join(known, "dst")
+        else:
+            layer = layer.withColumn("y", F.lit(0.0))
+        layer.groupBy("src", "to").agg(F.sum(1 + F.col("y")).alias("y")).select("src", "y", "to").write.mode("append").partitionBy("to").parquet(sums)
+    y1 = spark.read.schema(pushed).parquet(sums).groupBy(F.col("src").alias("id")).agg(F.sum("y").alias("y1"))
     y2 = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("y2"))
-    out = reduce(DataFrame.union, parts).join(y2, "id", "left")
-    return out.select("id", "y1", F.coalesce("y2", F.lit(0)).alias("y2"), rounded(F.log1p("y1")).alias("z1"), rounded(F.log1p(F.coalesce("y2", F.lit(0)))).alias("z2"))
+    out = height.select("id").join(y1, "id", "left").join(y2, "id", "left").select("id", F.coalesce("y1", F.lit(0.0)).alias("y1"), F.coalesce("y2", F.lit(0)).alias("y2"))
+    return out.select("id", "y1", "y2", rounded(F.log1p("y1")).alias("z1"), rounded(F.log1p("y2")).alias("z2"))
 
 
 def bfs_waves(edges: DataFrame) -> DataFrame:

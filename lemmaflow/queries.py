@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import components, graph, loops, mining, stats
 from .plans import views as v
+from .plans.durable import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,8 +58,6 @@ def _(s, d):
 
 @register("build_stats", "select event_type as method, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent, count(*) filter (value >= 60) as high, count(*) filter (value < 60) as low from events group by 1")
 def _(s, d):
-    from pyspark.sql import Window
-
     by = v.table(s, d, "events").groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 60).alias("high"), F.count_if(F.col("value") < 60).alias("low"))
     return by.withColumn("percent", stats.rounded(100 * F.col("n") / F.sum("n").over(Window.partitionBy())))
 
@@ -412,9 +411,13 @@ def _(s, d):
     return mining.frequent_triples(p, mining.frequent_pairs(p, 8), 3)
 
 
-@register("crystallization", "select concat(p1, ' + ', p2) as items, support, support - 2 as savings from pr where support > 2 order by savings desc, items limit 100", v.PREMISES, _PAIRS)
+@register("crystallization", "with tr as (select a.premise as p1, b.premise as p2, c.premise as p3, count(*) as support from v_prem a join v_prem b on a.theorem = b.theorem and a.premise < b.premise join v_prem c on a.theorem = c.theorem and b.premise < c.premise join pr x on x.p1 = a.premise and x.p2 = b.premise join pr y on y.p1 = a.premise and y.p2 = c.premise join pr z on z.p1 = b.premise and z.p2 = c.premise group by all having count(*) >= 3), x as (select 2 as size, concat(p1, ' + ', p2) as items, support, support - 2 as savings from pr union all select 3, concat(p1, ' + ', p2, ' + ', p3), support, support * 2 - 3 from tr) select * from (select *, row_number() over (partition by size order by savings desc, items) as place from x where savings > 0) where place <= 100", v.PREMISES, _PAIRS)
 def _(s, d):
-    return mining.crystallization(mining.frequent_pairs(v.premises(s, d), 8), 2, 100)
+    """The hundred best pairs and the hundred best triples."""
+    p = v.premises(s, d)
+    pairs = materialize(mining.frequent_pairs(p, 8), "pairs")
+    two, three = (mining.crystallization(sets, n, 100).select(F.lit(n).alias("size"), "*", F.row_number().over(Window.orderBy(F.desc("savings"), "items")).alias("place")) for n, sets in ((2, pairs), (3, mining.frequent_triples(p, pairs, 3))))  # a hundred rows each
+    return two.union(three)
 
 
 @register("candidate_examples", "with b as (select * from pr order by support desc, p1, p2 limit 10), h as (select b.*, x.theorem, row_number() over (partition by p1, p2 order by x.theorem) as k from b join v_prem x on x.premise = p1 join v_prem y on y.premise = p2 and y.theorem = x.theorem) select p1, p2, support, string_agg(theorem, ' ' order by theorem) as theorems from h where k <= 3 group by all", v.PREMISES, _PAIRS)
@@ -431,9 +434,15 @@ def _(s, d):
 _FLOW = "fl0 as (select theorem, idx, head, lead(idx) over (partition by theorem order by idx) as nx, lead(head) over (partition by theorem order by idx) as nh, lag(idx) over (partition by theorem, head order by idx) as la from v_steps), fl as materialized (select theorem, idx as src, nx as dst, head as src_head, nh as dst_head, 'goal' as kind from fl0 where nx is not null union all select theorem, la, idx, head, head, 'hyp' from fl0 where la < idx - 1)"
 
 
-@register("path_motifs", "with p as (select a.theorem, concat(a.src_head, '>', a.dst_head, '>', b.dst_head) as heads, concat(a.kind, ',', b.kind) as kinds from fl a join fl b on a.theorem = b.theorem and a.dst = b.src where b.dst <> a.src) select heads, kinds, count(distinct theorem) as support, count(*) as witnesses from p group by all having count(distinct theorem) >= 3", v.STEPS, _FLOW)
+_MORE_STEPS = "p{1} as (select p.theorem, list_append(m, dst) as m, concat(heads, '>', dst_head) as heads, concat(kinds, ',', kind) as kinds, dst as z from p{0} p join fl on fl.theorem = p.theorem and src = z where not list_contains(m, dst))"
+
+
+@register("path_motifs", "with p2 as (select theorem, [src, dst] as m, concat(src_head, '>', dst_head) as heads, kind as kinds, dst as z from fl), " + ", ".join(_MORE_STEPS.format(n, n + 1) for n in (2, 3)) + ", p as (select 2 as size, * from p2 union all select 3, * from p3 union all select 4, * from p4) select size, heads, kinds, count(distinct theorem) as support, count(*) as witnesses from p group by all having count(distinct theorem) >= 3", v.STEPS, _FLOW)
 def _(s, d):
-    return mining.path_motifs(mining.flow_edges(v.steps(s, d)), 3, 3)
+    """Paths of two to four steps."""
+    flow = mining.flow_edges(v.steps(s, d))
+    two, three, four = (mining.path_motifs(flow, n, 3).select(F.lit(n).alias("size"), "*") for n in (2, 3, 4))
+    return two.union(three).union(four)
 
 
 def _ranking(s, d):
