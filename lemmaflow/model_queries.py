@@ -77,19 +77,31 @@ def _(s, d):
     return models.y1_by_y2_bucket(_rows(s, d))
 
 
+def _modules(s, d):
+    """The priority of an order is its module."""
+    return v.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("module"))
+
+
 @register("feature_dataset")
 def _(s, d):
     e, depth, t = _targets(s, d)
-    return features.dataset(e, depth, t)
+    return features.dataset(e, depth, t, materialize(loops.closure(e), "reach"), _modules(s, d))
+
+
+#: What may be known of a node at its own depth; children (k1, k2) are not.
+_FEATURES = ["depth", "indeg_seen", "parent_count", "parent_outdeg_sum"]
+_FEATURES += [f"parent_{n}_{a}" for n in ("indeg", "outdeg", "depth", "beta") for a in ("mean", "max")]
+_FEATURES += ["parent_survival_mean", "grandparents", "upstream_nodes", "upstream_density", "rarity", "similarity_mean", "similarity_max", "cooccurrence_mean", "cooccurrence_max"]
+_FEATURES += ["mean_parent_reach", "max_parent_reach", "parent_diversity", "mean_lca_depth", "max_lca_depth", "n_module", "module_entropy"]
 
 
-_FEATURES = ["depth", "indeg_seen", "parent_count", "parent_outdeg_sum", "parent_indeg_mean", "parent_outdeg_mean", "parent_depth_mean", "parent_indeg_max", "parent_outdeg_max", "grandparents", "upstream_nodes", "upstream_density", "rarity"]
+def _dataset(s, d):
+    return materialize(QUERIES["feature_dataset"](s, d), "dataset")
 
 
 @register("two_stage_model")
 def _(s, d):
-    e, depth, t = _targets(s, d)
-    return models.two_stage(materialize(features.dataset(e, depth, t), "dataset"), _FEATURES, "id", "y1", log_target=True)
+    return models.two_stage(_dataset(s, d), _FEATURES, "id", "y1", log_target=True)
 
 
 #: Labels and scores of documents: quality is the truth, the length of the text the score.
@@ -140,8 +152,7 @@ def _(s, d):
 
 @register("cascaded_model")
 def _(s, d):
-    e, depth, t = _targets(s, d)
-    return models.cascaded(materialize(features.dataset(e, depth, t), "dataset"), _FEATURES, "id", "y2", "y1")
+    return models.cascaded(_dataset(s, d), _FEATURES, "id", "y2", "y1")
 
 
 _REACH = "reach as (select src as start, dst as id from v_edges union select start, dst from reach join v_edges on src = id)"
@@ -160,10 +171,23 @@ def _(s, d):
     return features.parent_pairs(e, materialize(loops.kahn_rounds(e), "depth"), materialize(loops.closure(e), "reach"))
 
 
-@register("feat_masked", "select nd.id, (select count(*) from reach where start = nd.id) as n_masked, (select count(*) from v_edges) - (select count(*) from reach join v_edges on dst = reach.id where start = nd.id) as n_seen_edges from nd", v.EDGES, _NODES, _REACH)
+_MASKED = "od as (select src, count(*) as k, count(*) filter (y.depth = x.depth + 1) as nx from v_edges join dp x on x.id = src join dp y on y.id = dst group by 1), rn as (select start, count(*) as n from reach group by 1), hi as (select e.dst as v, e.src as p, count(*) as h from v_edges e join v_edges c on c.src = e.src join reach r on r.start = e.dst and r.id = c.dst group by all), pv as (select e.dst as v, k - 1 - coalesce(h, 0) as o, nx - case when a.depth = b.depth + 1 then 1 else 0 end as b, rp.n - coalesce(rv.n, 0) - 1 as n from v_edges e join od on od.src = e.src join dp a on a.id = e.dst join dp b on b.id = e.src join rn rp on rp.start = e.src left join rn rv on rv.start = e.dst left join hi on hi.v = e.dst and hi.p = e.src), pm as (select v, sum(o) as os, max(o) as om, max(b) as bm, round(avg(n), 6) as na, max(n) as nm from pv group by 1), le as (select start, count(*) as l from reach join v_edges on dst = reach.id group by 1)"
+
+
+@register("feat_masked", "select nd.id, coalesce(n, 0) as n_masked, (select count(*) from v_edges) - coalesce(l, 0) as n_seen_edges, coalesce(os, 0) as masked_outdeg_sum, coalesce(om, 0) as masked_outdeg_max, coalesce(bm, 0) as masked_beta_max, coalesce(na, 0) as masked_reach_mean, coalesce(nm, 0) as masked_reach_max from nd left join rn on rn.start = nd.id left join le on le.start = nd.id left join pm on pm.v = nd.id", v.EDGES, _NODES, _DEPTH, _REACH, _MASKED)
 def _(s, d):
-    e = materialize(v.edges(s, d), "edges")
-    return features.masked(e, materialize(loops.closure(e), "reach"))
+    """What the mask changes; the other features of the masked set (depth, degrees and depths of parents, diversity, ancestors, two steps up, modules) lie above the node and stay as in feature_dataset."""
+    e, depth = _graph(s, d)
+    return features.masked(e, depth, materialize(loops.closure(e), "reach"))
+
+
+_LOW = "lo as (select src, dst from v_edges join dp on dp.id = dst where depth < 2), cb as (select src as a, dst as b from lo union select dst, src from lo), cc as (select a, b from cb union select cc.a, cb.b from cc join cb on cb.a = cc.b), cm as materialized (select a as id, least(a, min(b)) as c from cc group by 1)"
+
+
+@register("feat_parent_components", "with n as (select e.dst as id, coalesce(c, e.src) as c, count(*) as n from v_edges e join dp on dp.id = e.dst and depth = 2 left join cm on cm.id = e.src group by all), p as (select id, n / sum(n) over (partition by id) as p from n) select id, count(*) as n_component, round(abs(sum(-p * ln(p))), 6) as component_entropy from p group by 1", v.EDGES, _NODES, _DEPTH, _LOW)
+def _(s, d):
+    """Frontier at depth two."""
+    return features.parent_components(*_graph(s, d), 2)
 
 
 @register("feature_importance")
@@ -172,8 +196,6 @@ def _(s, d):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = materialize(QUERIES["feature_dataset"](s, d), "features")
-    names = [c for c, kind in rows.dtypes if kind in ("int", "bigint", "double") and c not in ("id", "y1", "y2", "z1", "z2", "k1", "k2", "child_count", "grandchild_count")]
-    data = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep").transform(rows.na.fill(0).withColumn("y", (F.col("y2") > 0).cast("double")))
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=20, maxDepth=5, seed=1).fit(data)
-    return s.createDataFrame([(n, float(w)) for n, w in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")  # a row for each feature
+    data = VectorAssembler(inputCols=_FEATURES, outputCol="x").transform(_dataset(s, d).withColumn("y", (F.col("y2") > 0).cast("double")))
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=100, maxDepth=5, seed=1).fit(data)
+    return s.createDataFrame([(n, float(w)) for n, w in zip(_FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double")  # a row for each feature

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import materialize
+from .components import connected_components
 from .graph import degrees, nodes
+from .reports import mixture
 from .stats import rounded
 
 
@@ -111,15 +114,6 @@ def cooccurrence(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return depth.select("id").join(out, "id", "left").na.fill(0)
 
 
-def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row per node: depth, the feature blocks, and the targets."""
-    ind = degrees(edges).select("id", F.col("in_degree").alias("indeg_seen"))
-    out = depth.select("id", "depth").join(ind, "id", "left")
-    for block in (parent_degrees(edges, depth), upstream(edges), parentset_rarity(edges, depth), peek(edges)):
-        out = out.join(block, "id", "left")
-    return out.na.fill(0).join(targets.select("id", "y1", "y2"), "id")
-
-
 def parent_reach(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
     """``reach(start, id)`` of all nodes -> ``(id, mean_parent_reach, max_parent_reach)``: descendants of the parents among the nodes of a lower depth than the node's own. Counted by depth, then summed up."""
     by_depth = reach.join(depth, "id").groupBy(F.col("start").alias("src"), F.col("depth").alias("at")).agg(F.count("*").alias("n"))
@@ -151,12 +145,44 @@ def parent_pairs(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFr
     return out.select("id", F.round(1 - F.col("j") / F.col("pairs"), 6).alias("parent_diversity"), F.round(F.col("d") / F.col("pairs"), 6).alias("mean_lca_depth"), F.col("m").alias("max_lca_depth"))
 
 
-def masked(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """``(id, n_masked, n_seen_edges)`` of the graph that a node sees with its descendants taken out: how many are, and how many edges stay."""
+def masked(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
+    """Per node v, of the graph without v's descendants: how many go, how many edges stay, and what is left of its parents' children (sum, maximum), of those one deeper than
+    the parent (maximum), and of their descendants (mean, maximum); v itself never counts.
+
+    A parent reaches all that v reaches, so descendants are a difference of counts; and a child one deeper than the parent is never below v, so that number is one too."""
     gone = reach.groupBy(F.col("start").alias("id")).agg(F.count("*").alias("n_masked"))
     # An edge goes if either end does; an edge out of a descendant ends in one, so those into descendants are all.
-    lost = reach.select(F.col("start").alias("id"), F.col("id").alias("dst")).join(edges, "dst").groupBy("id").agg(F.count("*").alias("lost"))
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    hit = reach.select(F.col("start").alias("id"), F.col("id").alias("dst")).join(edges, "dst")
+    lost = hit.groupBy("id").agg(F.count("*").alias("lost"))
+    ends = nodes(edges)
     total = edges.agg(F.count("*").alias("total"))  # one row
-    out = ends.join(gone, "id", "left").join(lost, "id", "left").na.fill(0, ["n_masked", "lost"]).crossJoin(F.broadcast(total))
-    return out.select("id", "n_masked", (F.col("total") - F.col("lost")).alias("n_seen_edges"))
+    hidden = hit.groupBy("id", "src").agg(F.count("*").alias("hidden"))
+    kids = edges.join(depth.select(F.col("id").alias("src"), F.col("depth").alias("dp")), "src").join(depth.select(F.col("id").alias("dst"), F.col("depth").alias("d")), "dst")
+    own = kids.groupBy("src").agg(F.count("*").alias("k"), F.count_if(F.col("d") == F.col("dp") + 1).alias("next"))
+    reached = gone.withColumnRenamed("n_masked", "reached").withColumnRenamed("id", "src")
+    rows = kids.withColumnRenamed("dst", "id").join(own, "src").join(reached, "src").join(gone, "id", "left").join(hidden, ["id", "src"], "left").na.fill(0, ["n_masked", "hidden"])
+    rows = rows.select("id", (F.col("k") - 1 - F.col("hidden")).alias("o"), (F.col("next") - (F.col("d") == F.col("dp") + 1).cast("int")).alias("b"), (F.col("reached") - F.col("n_masked") - 1).alias("n"))
+    seen = rows.groupBy("id").agg(F.sum("o").alias("masked_outdeg_sum"), F.max("o").alias("masked_outdeg_max"), F.max("b").alias("masked_beta_max"), rounded(F.avg("n")).alias("masked_reach_mean"), F.max("n").alias("masked_reach_max"))
+    out = ends.join(gone, "id", "left").join(lost, "id", "left").join(seen, "id", "left").na.fill(0).crossJoin(F.broadcast(total))
+    return out.select("id", "n_masked", (F.col("total") - F.col("lost")).alias("n_seen_edges"), *seen.columns[1:])
+
+
+def parent_components(edges: DataFrame, depth: DataFrame, d: int) -> DataFrame:
+    """``(id, n_component, component_entropy)`` of the nodes of depth ``d`` with parents: the weak components of the graph of smaller depths that hold the parents, and the entropy of their shares in nats."""
+    at = lambda c: depth.select(F.col("id").alias(c), F.col("depth").alias(f"{c}_depth"))
+    both = materialize(edges.join(at("src"), "src").join(at("dst"), "dst"), "by-depth")
+    parts = connected_components(both.filter(F.col("dst_depth") < d).select("src", "dst")).withColumnRenamed("id", "src")
+    parents = both.filter(F.col("dst_depth") == d).join(parts, "src", "left").select(F.col("dst").alias("id"), F.coalesce("component", "src").alias("component"))
+    return mixture(parents, "component")
+
+
+def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame, reach: DataFrame, modules: DataFrame) -> DataFrame:
+    """A row per node: depth, all feature blocks seen from its own depth, and the targets. ``reach(start, id)`` is the closure, ``modules(id, module)`` the module of each node."""
+    ind = degrees(edges).select("id", F.col("in_degree").alias("indeg_seen"))
+    out = depth.select("id", "depth").join(ind, "id", "left")
+    mixed = mixture(edges.join(modules.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "module"), "module")
+    blocks = [parent_degrees(edges, depth), survival_feature(edges, depth), upstream(edges), parentset_rarity(edges, depth), parentset_similarity(edges, depth), cooccurrence(edges, depth)]
+    blocks += [parent_reach(edges, depth, reach), parent_pairs(edges, depth, reach), mixed, peek(edges)]
+    for block in blocks:
+        out = out.join(materialize(block, "features"), "id", "left")  # a plan for each block instead of one of them all
+    return out.na.fill(1.0, ["parent_diversity"]).na.fill(0).join(targets.select("id", "y1", "y2"), "id")

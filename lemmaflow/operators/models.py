@@ -65,7 +65,7 @@ def split(rows: DataFrame, key: str, seed: int = 42, test_percent: int = 20) ->
     return rows.filter(bucket >= test_percent), rows.filter(bucket < test_percent)
 
 
-def two_stage(rows: DataFrame, features: list[str], key: str, target: str, log_target: bool, trees: int = 20, depth: int = 5) -> DataFrame:
+def two_stage(rows: DataFrame, features: list[str], key: str, target: str, log_target: bool, trees: int = 100, depth: int = 5) -> DataFrame:
     """``(id, y, p_positive, predicted)`` of the test rows: logistic regression for y > 0, then boosted trees on the rows with y > 0."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -135,7 +135,7 @@ def baselines(rows: DataFrame, truth: str, parent_max: str, depth: str) -> DataF
     return joined.agg(rounded(F.avg(F.abs(y))).alias("zero_mae"), error(parent_max).alias("parent_max_mae"), error(depth).alias("depth_mae"))
 
 
-def cascaded(rows: DataFrame, features: list[str], key: str, first: str, second: str, trees: int = 20, depth: int = 5) -> DataFrame:
+def cascaded(rows: DataFrame, features: list[str], key: str, first: str, second: str, trees: int = 100, depth: int = 5) -> DataFrame:
     """``first`` predicted from the features, then ``second`` from the features and that prediction (from the true value in training)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -146,3 +146,10 @@ def cascaded(rows: DataFrame, features: list[str], key: str, first: str, second:
     two = GBTRegressor(featuresCol="z_", labelCol="g_", maxIter=trees, maxDepth=depth, seed=42, predictionCol="p_").fit(b.transform(train.withColumn("f_", F.col(first).cast("double")).withColumn("g_", F.log1p(second))))
     out = two.transform(b.transform(one.transform(a.transform(test))))
     return out.select(key, F.col(first).alias("first_true"), F.greatest(F.round("f_"), F.lit(0.0)).alias("first_predicted"), F.col(second).alias("second_true"), F.expm1("p_").alias("second_predicted"))
+
+
+def cascade_by_class(cascade: DataFrame, least: int = 3) -> DataFrame:
+    """``cascaded`` -> ``(predicted_class, n, first_mae, second_mae)`` over all rows (class ``all``) and per predicted value of the first target with at least ``least`` rows."""
+    by = F.explode(F.array(F.lit("all"), F.col("first_predicted").cast("bigint").cast("string"))).alias("predicted_class")
+    error = lambda t: rounded(F.avg(F.abs(F.col(f"{t}_true") - F.col(f"{t}_predicted")))).alias(f"{t}_mae")
+    return cascade.select(by, "*").groupBy("predicted_class").agg(F.count("*").alias("n"), error("first"), error("second")).filter((F.col("n") >= least) | (F.col("predicted_class") == "all"))
