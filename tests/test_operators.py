@@ -1,5 +1,6 @@
 """Small fixtures with literal results for the odd semantics, and properties."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -324,3 +325,28 @@ def test_path_and_tree_motifs(spark):
     assert {r.reason for r in motifs.collapsible_paths(around, motifs.paths(around, 3)).collect()} == {"intermediate_path_violation"}
     trees = {(r.heads, r.kinds): r.support for r in motifs.bfs_tree_motifs(flow, 4, 1).collect()}
     assert trees == {("x>y", "goal"): 1, ("y>x", "goal"): 1, ("x>z", "goal"): 1, ("x>x", "hyp"): 1, ("x>x>z", "hyp,goal"): 1, ("y>x>z", "goal,goal"): 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_triples_of_graphs_with_cycles_and_a_hub(spark, seed):
+    """Both ways between two nodes, cycles and a node that meets all others."""
+    r = random.Random(seed)
+    pairs = {(a, b) for a, b in ((r.randrange(12), r.randrange(12)) for _ in range(40)) if a != b} | {(0, n) for n in range(1, 12)}
+    e = edges(spark, sorted(pairs))
+    loops_ = {(u, v, w) for u, v in pairs for x, w in pairs if x == v and (u, w) in pairs}
+    assert Counter(tuple(x) for x in graph.feedforward_loops(e).collect()) == Counter(loops_)
+    want = Counter()
+    for t in itertools.combinations(range(12), 3):
+        inner = [(a, b) for a, b in pairs if a in t and b in t]
+        if len({frozenset(x) for x in inner}) >= 2:
+            want["-".join(map(str, sorted(sum(10 for _, b in inner if b == n) + sum(1 for a, _ in inner if a == n) for n in t)))] += 1
+    assert {x.signature: x.n for x in graph.motif3_census(e).collect()} == want
+    below = {(u, w) for u, v in pairs for x, w in pairs if x == v}
+    got = graph.transitivity(e).first()
+    assert (got.with_grandparents, got.transitive) == (len({w for _, w in below}), len({w for u, w in below if (u, w) in pairs}))
+
+
+def test_path_counts_and_their_empty_graph(spark):
+    got = {x.id: (x.y1, x.y2) for x in loops.targets(edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (1, 4), (4, 5)])).collect()}
+    assert got == {1: (8, 3), 2: (2, 1), 3: (2, 1), 4: (1, 1), 5: (0, 0)}
+    assert loops.targets(edges(spark, [(1, 2)]).limit(0)).count() == 0
