@@ -155,6 +155,12 @@ def _(s, d):
     return models.cascaded(_dataset(s, d), _FEATURES, "id", "y2", "y1")
 
 
+@register("cascaded_by_class")
+def _(s, d):
+    """Errors of the cascade over all test rows and per predicted number of children."""
+    return models.cascade_by_class(materialize(models.cascaded(_dataset(s, d), _FEATURES, "id", "y2", "y1"), "cascade"))
+
+
 _REACH = "reach as (select src as start, dst as id from v_edges union select start, dst from reach join v_edges on src = id)"
 
 
