@@ -10,7 +10,7 @@ Documents are sets of word n-grams, kept as 64-bit hashes. Those whose sets have
    ``fragments`` at quantiles: each document has one segment per fragment. Pairs come from equal n-grams in the prefixes; for each pair, the
    overlaps of its segments are counted fragment by fragment, apart from each other, and summed.
 4. Small buckets list their pairs. A large bucket isn't expanded: its most central document is the pivot, compared with all others. Its members are then known by their differences from the pivot, and
-   two members that link must share most of these differences, so the prefix rule on the differences cuts the bucket into smaller ones (``_link_rounds`` has the bound). Rounds go on
+   two members that link must share most of these differences, so the prefix rule on the differences cuts the bucket into smaller ones (``link_rounds`` has the bound). Rounds go on
    until no bucket is large; documents found to be connected needn't be compared again. No link between different components is left out, so components are exact.
 
 Edge cases: a text that is null or has no words gives an empty set, linked with nothing; a text with fewer words than n is one n-gram. Rows with a null doc_id come
@@ -45,7 +45,7 @@ def _least(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def read_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     for b in batches:
         yield [(i, shingle_hashes(ascii_words(t.as_py()), k)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
     the prefix rule with EXTRA_PERCENT more asks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches, k):
+        for sets in read_sets(batches, k):
             for at in range(0, len(sets), 500):
                 some = sets[at : at + 500]
                 first = [s[: len(s) - _least(len(s), percent) + len(s) * EXTRA_PERCENT // 100 + 1] for _, s in some]
@@ -72,7 +72,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, n, gram)`` for all n-grams."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _sets(batches, k):
+        for sets in read_sets(batches, k):
             for at in range(0, len(sets), 500):
                 some = sets[at : at + 500]
                 lengths = [len(s) for _, s in some]
@@ -93,7 +93,7 @@ def _may_link(prints: DataFrame, percent: int) -> DataFrame:
     return hits.filter(F.col("hits") >= least).select("doc_id").distinct()
 
 
-def _ordered_sets(docs: DataFrame, k: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+def ordered_sets(docs: DataFrame, k: int, percent: int, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """``sets(doc_id, n, grams)``: those n-grams that other documents have too, as (o, gram) in the global order o, and ``segments(doc_id, fragment, grams)``: the
     same cut into fragments of the order, a row for each fragment of each document."""
     grams = materialize(_grams(docs, k), "grams")
@@ -138,17 +138,17 @@ def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heav
     return out.select("pivot", "doc_id", *cols, "overlap", F.concat(F.flatten("parts.more"), F.flatten("parts.less")).alias("elements"))
 
 
-def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """``(id, component)`` of all documents of ``sets`` that link.
+def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """``(id, component)`` of all documents that link, of those that meet in the buckets ``rows(key, doc_id, label, n, s, x, xs, pos)``.
 
     A document is seen as a set X of x elements, of which xs are shared with others: at first all its n-grams, later those that differ from a pivot. Two documents differ in as many
     elements as their X do, so they link if |X1 ^ X2| is at most (100 - p) / (100 + p) of n1 + n2. With f = (100 + p) x - (100 - p) n that means: X1 and X2
     share at least (f1 + f2) / (2 (100 + p)) elements. So the prefix rule holds for X too, and those with f1 + f2 <= 0 link in any case.
 
     Rows of a bucket may share an element at ``pos`` of theirs in a common order, and at most min(xs - pos) from there on."""
-    spark, p, q = sets.sparkSession, 100 + percent, 100 - percent
+    spark, p, q = rows.sparkSession, 100 + percent, 100 - percent
     f = F.col("x") * p - F.col("n") * q
-    rows, pairs, small = _buckets(sets, percent), [], SMALL_BUCKET
+    pairs, small, budget, stored = [], SMALL_BUCKET, None, None
     edges = spark.createDataFrame([], "id long, component long")
     while True:
         rows = rows.withColumn("f", f).withColumn("most", 2 * p * (F.col("xs") - F.col("pos")) - F.col("f"))
@@ -156,8 +156,15 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
         central = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s")).alias("pivot")
         keys = materialize(rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f"), "keys")
+        # Listing larger buckets saves rounds. It stays within the pairs of a first round whose buckets are all of SMALL_BUCKET; each round takes a pivot from each larger one anyway.
+        if budget is None:
+            budget = SMALL_BUCKET * (keys.agg(F.sum("m")).first()[0] or 0)
+        elif (keys.filter(F.col("m") <= 2 * small).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= budget:
+            small *= 2
         live = join_by_key(rows, keys.drop("lo", "hi"), "key", "doc_id", heavy_keys(keys, "key")).filter("f <= most_f and least_f <= most")
         live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "f", "most", "pivot"), "live")
+        if stored is not None:
+            drop_table(stored)
 
         side = lambda x: live.filter(F.col("m") <= small).select("key", *[F.col(c).alias(c[0] + x) for c in ("doc_id", "label", "n", "f", "most")])
         fits = (F.col("da") < F.col("db")) & (F.col("la") != F.col("lb")) & (F.col("fa") <= F.col("mb")) & (F.col("fb") <= F.col("ma"))
@@ -172,7 +179,7 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         if pivots.isEmpty():
             break
         d = _differences(groups, pivots, segments, heavy).withColumn("x", F.col("n") + F.col("ps") - 2 * F.col("overlap")).withColumn("f", f)
-        d = materialize(d, "differences")
+        d = differences = materialize(d, "differences")
         # Of all pairs with f1 + f2 <= 0 in a group, each document of one also has such a pair with the document of the least f.
         first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"))
         first = pivots.join(first, "pivot").withColumn("q", F.least("q", F.struct(((F.col("pn") - F.col("ps")) * p - F.col("pn") * q).alias("f"), F.col("pivot").alias("id"))))
@@ -196,38 +203,53 @@ def _link_rounds(sets: DataFrame, segments: DataFrame, percent: int) -> DataFram
         nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).withColumn("least", least).filter("least <= xs")
         prefix = F.slice("order", 1, (F.col("xs") - F.col("least") + 1).cast("int"))
         rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos")
-        done, rows = [keys, live, groups, pivots, links, counts], materialize(rows, "buckets")
-        for table in done:
+        rows = stored = materialize(rows, "buckets")
+        for table in (keys, live, groups, pivots, links, counts, differences):
             drop_table(table)
-        small *= 2
+    for table in (keys, live, groups, pivots):
+        drop_table(table)
     both = functools.reduce(DataFrame.union, pairs).distinct()
     overlaps = _overlaps(both, segments).filter(p * F.col("overlap") >= percent * (F.col("na") + F.col("nb")))
-    return connected_components(overlaps.select("a", "b").union(edges).toDF("src", "dst"))
+    out = connected_components(overlaps.select("a", "b").union(edges).toDF("src", "dst"))
+    for table in pairs:
+        drop_table(table)
+    return out
 
 
-def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
-    """``(doc_id, n_shingles, class_id, component_id)``: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(fingerprints(rows, k, percent), "prints")
-    named = prints.drop("first").filter("doc_id is not null and n_shingles > 0")
-    classes = materialize(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
-    speakers = classes.select(F.col("class_id").alias("doc_id")).distinct()
-
-    able = materialize(_may_link(prints, percent).join(speakers, "doc_id", "left_semi"), "able")
-    # An id with several texts would mix their n-grams: one of its texts, the one of the smallest hash, is compared.
-    texts = rows.join(able, "doc_id", "left_semi")
-    twice = named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
-    once = texts.join(twice, "doc_id", "left_anti").union(texts.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-    sets, segments = _ordered_sets(once, k, percent, fragments)
-    linked = _link_rounds(sets, segments, percent)
-
-    named_all = prints.drop("first").join(classes, ["fp1", "fp2"], "left")
+def classes(prints: DataFrame) -> DataFrame:
+    """``(fp1, fp2, class_id)``: the smallest doc_id of each set that isn't empty."""
+    return materialize(prints.filter("doc_id is not null and n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
+
+
+def one_text(rows: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of ``ids``. An id with several texts would mix their n-grams: the one of the smallest hash is taken."""
+    texts = rows.join(ids, "doc_id", "left_semi")
+    twice = prints.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    return texts.join(twice, "doc_id", "left_anti").union(texts.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+
+
+def labelled(prints: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, class_id, component_id)`` of all rows, from the components ``linked(id, component)`` of the classes."""
+    named_all = prints.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
     out = named_all.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     own = F.when(linkable, F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("class_id"), F.coalesce(F.when(linkable, F.col("component")), own).alias("component_id"))
 
 
+def components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
+    """``(doc_id, n_shingles, class_id, component_id)``: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialize(fingerprints(rows, k, percent), "prints")
+    speak = classes(prints)
+    able = materialize(_may_link(prints, percent).join(speak.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "able")
+    sets, segments = ordered_sets(one_text(rows, prints, able), k, percent, fragments)
+    linked = link_rounds(_buckets(sets, percent), segments, percent)
+    for table in (able, sets, segments):
+        drop_table(table)
+    return labelled(prints, speak, linked)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
     found = components(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
-from . import binary_records, decontaminate, jaccard, license_scan, line_dedup, packing, quality, token_counts, url_filter, warc
+from . import binary_records, conversations, decontaminate, importance, jaccard, license_scan, line_dedup, minmax, packing, quality, sql, token_counts, url_filter, warc
 from .ship import ship_package
 
 #: Rules of the URL filter query.
@@ -79,11 +79,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_warc_derivatives, op6_url_filter, op7_token_counts, op8_line_dedup, op9_quality_rules, op10_binary_records)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    report, _ = conversations.repair(conversations.damage(chats), chats)
+    return report
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.components(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_warc_derivatives, op6_url_filter, op7_token_counts, op8_line_dedup, op9_quality_rules, op10_binary_records, op11_conversation_repair, op12_importance_resampling, op13_minmax_near_dedup)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op2_ngram_jaccard_join": sql.jaccard_components(4, 85),
+    "op13_minmax_near_dedup": sql.jaccard_components(2, 80, kept=True),
+    "op11_conversation_repair": sql.CONVERSATIONS,
+    "op12_importance_resampling": sql.IMPORTANCE,
     "op6_url_filter": f"""
 with r(rh, rp, verdict) as (values {_RULES_SQL}),
 u as (select row_number() over () as k, page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
