@@ -78,6 +78,7 @@ def test_sliced_sum_is_exact():
 def test_draw_prefers_the_target(spark):
     """Half of the documents share the target's words; they are drawn more often."""
     rng = random.Random(2)
-    docs = [(i, text(rng, 60) if i % 2 else " ".join(rng.choice("sun moon star sky".split()) for _ in range(60))) for i in range(400)]
-    got = importance.resample(frame(spark, [(i, t, None, None, 0) for i, t in docs]), spark.createDataFrame([("sun moon star sky moon sun",)] * 2000, "text string")).filter("rank is not null").collect()
+    sky = lambda: " ".join(rng.choice("sun moon star sky".split()) for _ in range(60))
+    docs = [(i, text(rng, 60) if i % 2 else sky(), None, None, 0) for i in range(400)]
+    got = importance.resample(frame(spark, docs), spark.createDataFrame([(sky(),) for _ in range(400)], "text string")).filter("rank is not null").collect()
     assert len(got) == 100 and sum(r.doc_id % 2 == 0 for r in got) > 90
