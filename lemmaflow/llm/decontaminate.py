@@ -11,7 +11,7 @@ can't reach the threshold the range is skipped; the others go through block-max
 
 Verification. A retrieved item counts as leaked if the document holds at least ``min_question`` of the distinct word ``gram``-grams of its question and
 ``min_answer`` of those of its answer (shorter texts count as one gram). One edited word takes up to ``gram`` grams, which are all that a short side has.
-So an item also counts as leaked if, around a retrieved passage, three quarters of its words stand in their order (shifted against each other by at most a quarter of
+So an item also counts as leaked if, around a retrieved passage, three quarters of its words stand in their order (shifted against each other by at most three eighths of
 the item's length), among them ``min_question`` of the question's and ``min_answer`` of the answer's; one word of either may always lack. Items of
 three words or fewer must be whole. Overlaps are shares of grams where these suffice, else of words in order.
 
@@ -162,41 +162,37 @@ def wand(x: Index, query: list[int], threshold: float, first: int = 0, end: int
 
 
 def in_order(item: list[str], n_question: int, region: list[str], min_question: float, min_answer: float) -> tuple[float, float] | None:
-    """Shares of the question's and the answer's words that stand in order in ``region``, if they and the whole are enough."""
+    """Shares of the question's and the answer's words that stand in order in one stretch of ``region``, if they and the whole are enough.
+
+    Longest common subsequences by bit vectors: bit i of ``v`` is 0 where one more word of the item up to i can be placed. The stretches are bands of shifts (place in the region minus
+    place in the item), ``lack + step`` wide, one every ``step``, so the work is the region's length times a constant, for any vocabulary."""
     n, n_answer = len(item), len(item) - n_question
-    lack = n // 4
+    lack, step = n // 4, max(1, n // 8)
     need, need_q = n - lack, min(n_question - 1, math.ceil(min_question * n_question))
     need_a = max(0, min(n_answer - 1, math.ceil(min_answer * n_answer)))
-    words_there = set(region)
-    if sum(w in words_there for w in item) < need:
+    if need_q < 0:
         return None
-    at = defaultdict(list)
+    at: dict[str, int] = defaultdict(int)
     for i, w in enumerate(item):
-        at[w].append(i)
-    matches = [(i, j) for j, w in enumerate(region) for i in at.get(w, ())]
-    shifts = Counter(j - i for i, j in matches)
-    for low in sorted(shifts):
-        if sum(shifts.get(low + k, 0) for k in range(lack + 1)) < need:
-            continue
-        # Longest chain of matches that rises in both: ends[k] is the least end of a chain of k + 1.
-        ends: list[int] = []
-        last: list[tuple] = []
-        for i, j in sorted((m for m in matches if low <= m[1] - m[0] <= low + lack), key=lambda m: (m[0], -m[1])):
-            k = bisect_left(ends, j)
-            before = last[k - 1] if k else None
-            if k == len(ends):
-                ends.append(j)
-                last.append((i, before))
-            else:
-                ends[k], last[k] = j, (i, before)
-        if len(ends) < need:
+        at[w] |= 1 << i
+    rows = [(j, at[w]) for j, w in enumerate(region) if w in at]
+    places = [j for j, _ in rows]
+    width = lack + step - 1
+    band, whole, question = (1 << (width + 1)) - 1, (1 << n) - 1, (1 << n_question) - 1
+    for low in range(-(width // step) * step, len(region) - need + 1, step):
+        inside = rows[bisect_left(places, low) : bisect_left(places, low + width + n)]
+        if len(inside) < need:
             continue
-        link, q = last[-1], 0
-        while link:
-            q += link[0] < n_question
-            link = link[1]
-        a = len(ends) - q
-        if q >= need_q and a >= need_a:
+        v, alone = whole, whole ^ question  # of the whole item, of the answer alone
+        for j, m in inside:
+            shift = j - low - width
+            m &= band << shift if shift >= 0 else band >> -shift
+            u = v & m
+            v = (v + u | v - u) & whole
+            u = alone & m
+            alone = (alone + u | alone - u) & whole
+        q, a = n_question - (v & question).bit_count(), n_answer - (alone & ~question).bit_count()
+        if n - v.bit_count() >= need and q >= need_q and a >= need_a:
             return q / n_question, a / n_answer if n_answer else 1.0
     return None
 
@@ -241,8 +237,14 @@ def search(x: Index, text: str, stride: int, threshold: float, min_question: flo
         q, a = share(x.questions[item]), share(x.answers[item])
         if q < min_question or a < min_answer:
             item_words, n_question = x.texts[item]
-            around = (ws[max(0, p * stride - len(item_words)) : (p + 2) * stride + len(item_words)] for p in places[item])
-            q, a = next(filter(None, (in_order(item_words, n_question, region, min_question, min_answer) for region in around)), (-1.0, -1.0))
+            around: list[list[int]] = []  # regions that overlap are one
+            for p in sorted(set(places[item])):
+                first, end = max(0, p * stride - len(item_words)), (p + 2) * stride + len(item_words)
+                if around and first <= around[-1][1]:
+                    around[-1][1] = end
+                else:
+                    around.append([first, end])
+            q, a = next(filter(None, (in_order(item_words, n_question, ws[first:end], min_question, min_answer) for first, end in around)), (-1.0, -1.0))
         if q >= 0:
             out.append((x.items[item], round(score, 6), round(q, 6), round(a, 6)))
     return out

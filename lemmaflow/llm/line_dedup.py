@@ -9,7 +9,7 @@ of all pages costs one row a task. Kept texts are rebuilt on the row of the docu
 
 Edge cases: a null host is a host of its own; a null text stays null and counts as a page without lines; an
 empty text or line without any character but white space never goes (it is layout). Repeated rows are pages of their own; rows
-of one id and host share the decision, which depends on host and line alone. Extra columns pass through, but for input columns named n_lines or n_dropped, which give way to the counts.
+of one id and host share the decision, which depends on host and line alone. Extra columns pass through, but for input columns named like the ``counts``, which give way to these.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     return counts.join(totals, F.col("host").eqNullSafe(F.col("host_"))).filter(F.col("pages") > ratio * F.col("host_pages")).drop("host_")
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``docs`` with boilerplate lines removed from the text, and ``n_lines``, ``n_dropped``.
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines removed from the text, and the two ``counts``, of its lines and of those dropped.
 
     The lines to drop of a host are gathered in one array: no more than (its lines per page / ratio) hashes,
     whatever the number of its pages. The arrays are written and measured: up to ``MAX_BROADCAST`` hashes they are
@@ -60,5 +60,5 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
     n, left = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("kept"), F.size("lines"), F.lit(0))
     n, left = F.greatest(n, F.lit(0)), F.greatest(left, F.lit(0))
     text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(*own, text.alias(text_col), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, *counts)]
+    return joined.select(*own, text.alias(text_col), n.cast("long").alias(counts[0]), (n - left).cast("long").alias(counts[1]))

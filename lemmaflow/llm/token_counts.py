@@ -48,36 +48,42 @@ class Counter:
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         names = {p for p, _ in vocabulary}
         self.unk_piece = vocabulary[unk_id][0]
-        self.names = names
+        self.names, self.longest = names, max(map(len, names))
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
         self.words: dict[str, int] = {}
 
     def word(self, text: str) -> int:
-        """Number of pieces of a text that has no U+2581 but in front."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.trie.iter(text):
-            ends[end + 1].append(match)
-        score, count, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # run: where the unknown run that ends here starts
+        """Number of pieces of a text that has no U+2581 but in front.
+
+        Only the last ``longest`` places are kept; an unknown run carries its start, the count before it and its bytes, so the work is linear in the text."""
+        n, size = len(text), self.longest + 1
+        score, count, run = [0.0] * size, [0] * size, [None] * size  # run: (start, count before, bytes) of the unknown run that ends here
+        matches = self.trie.iter(text)
+        next_end, match = next(matches, (n, None))
         for end in range(1, n + 1):
+            here = []
+            while next_end == end - 1:
+                here.append(match)
+                next_end, match = next(matches, (n, None))
             best, at, unknown, single = None, 0, False, False
-            for length, s in sorted(ends[end], reverse=True):  # from the left
-                x = s + score[end - length]
+            for length, s in sorted(here, reverse=True):  # from the left
+                x = s + score[(end - length) % size]
                 single = single or length == 1
                 if best is None or x > best:
                     best, at, unknown = x, end - length, text[end - length : end] == self.unk_piece
             if not single:
-                x = self.unknown + score[end - 1]
+                x = self.unknown + score[(end - 1) % size]
                 if best is None or x > best:
                     best, at, unknown = x, end - 1, True
-            score[end] = best
+            here, before = end % size, at % size
             if not unknown:
-                count[end] = count[at] + 1
+                score[here], count[here], run[here] = best, count[before] + 1, None
                 continue
-            run[end] = first = run[at] if run[at] >= 0 else at
-            known = not self.bytes or text[first:end] in self.names
-            count[end] = count[first] + (1 if known else len(text[first:end].encode("utf-8", "surrogatepass")))
-        return count[n]
+            first, base, octets = run[before] or (at, count[before], 0)
+            octets += len(text[at:end].encode("utf-8", "surrogatepass"))
+            known = not self.bytes or end - first <= self.longest and text[first:end] in self.names
+            score[here], count[here], run[here] = best, base + (1 if known else octets), (first, base, octets)
+        return count[n % size]
 
     def text(self, text: str | None) -> int | None:
         if text is None:
