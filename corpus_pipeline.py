@@ -20,7 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source (a null one is a source too) go; n_chars follows the text. No row goes: null texts stay null, a text of boilerplate alone becomes empty.
     Repeated rows are pages of their own."""
-    out = line_dedup.drop_boilerplate(docs).drop("n_lines", "n_dropped")
+    taken = {c.lower() for c in docs.columns}
+    counts = tuple(next(f"{c}{k}" for k in range(len(taken) + 1) if f"{c}{k}" not in taken) for c in ("n_lines", "n_dropped"))
+    out = line_dedup.drop_boilerplate(docs, counts=counts)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -49,7 +51,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: Hashed scores and packings aren't SQL; the tests hold each stage against a brute-force version.
+#: Hashed scores and packings aren't SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
