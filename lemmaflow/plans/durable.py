@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_TASK = 10_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as a URI or path that Spark's readers and writers understand."""
@@ -26,11 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", about_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
-    Later reads survive the loss of any executor and don't run the plan again."""
+    Later reads survive the loss of any executor and don't run the plan again. With ``about_rows``, a table of few rows is
+    written by few tasks, however many partitions its shuffle has."""
     spark = df.sparkSession
+    if about_rows is not None:
+        df = df.coalesce(1 + about_rows // ROWS_A_TASK)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
