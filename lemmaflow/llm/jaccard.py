@@ -35,7 +35,7 @@ from ..plans.durable import drop_table, materialize
 from .skew import heavy_keys, join_by_key
 from .text import ascii_words, shingle_hashes
 
-FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT = 4, 32, 5
+FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT, MAX_BROADCAST = 4, 32, 5, 2_000_000
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("first", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
@@ -121,8 +121,8 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def _buckets(sets: DataFrame, percent: int) -> DataFrame:
     """A row for each n-gram of each prefix."""
     prefix = F.slice("grams", 1, F.size("grams") - F.expr(f"(n * {percent} + 99) div 100").cast("int") + 1)
-    own = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs")]
-    return sets.select("doc_id", *own, F.posexplode(prefix).alias("pos", "g")).select(F.col("g.gram").alias("key"), "doc_id", "label", "n", "s", "x", "xs", "pos")
+    cols = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs"), (F.col("n") - F.size("grams")).cast("long").alias("own")]
+    return sets.select("doc_id", *cols, F.posexplode(prefix).alias("pos", "g")).select(F.col("g.gram").alias("key"), "doc_id", "label", "n", "s", "x", "xs", "pos", "own")
 
 
 def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heav
 
 
 def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """``(id, component)`` of all documents that link, of those that meet in the buckets ``rows(key, doc_id, label, n, s, x, xs, pos)``.
+    """``(id, component)`` of all documents that link, of those that meet in the buckets ``rows(key, doc_id, label, n, s, x, xs, pos, own)``.
 
     A document is seen as a set X of x elements, of which xs are shared with others: at first all its n-grams, later those that differ from a pivot. Two documents differ in as many
     elements as their X do, so they link if |X1 ^ X2| is at most (100 - p) / (100 + p) of n1 + n2. With f = (100 + p) x - (100 - p) n that means: X1 and X2
@@ -153,8 +153,8 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
     while True:
         rows = rows.withColumn("f", f).withColumn("most", 2 * p * (F.col("xs") - F.col("pos")) - F.col("f"))
         span = [F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("f").alias("least_f"), F.max("most").alias("most_f")]
-        # Pivots are the documents with the fewest n-grams of their own: originals rather than their edited copies.
-        central = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc_id", "n", "s")).alias("pivot")
+        # Pivots are the documents of the least ``own`` (n-grams of their own): originals rather than their edited copies.
+        central = F.min(F.struct("own", "doc_id", "n", "s")).alias("pivot")
         keys = materialize(rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f"), "keys")
         # Listing larger buckets saves rounds. It stays within the pairs of a first round whose buckets are all of SMALL_BUCKET; each round takes a pivot from each larger one anyway.
         if budget is None:
@@ -162,7 +162,7 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
         elif (keys.filter(F.col("m") <= 2 * small).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= budget:
             small *= 2
         live = join_by_key(rows, keys.drop("lo", "hi"), "key", "doc_id", heavy_keys(keys, "key")).filter("f <= most_f and least_f <= most")
-        live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "f", "most", "pivot"), "live")
+        live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "own", "f", "most", "pivot"), "live")
         if stored is not None:
             drop_table(stored)
 
@@ -172,7 +172,7 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
         pairs.append(materialize(near, "pairs"))
 
         large = live.filter(F.col("m") > small)
-        groups = large.filter("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.s").alias("ps"), "doc_id", "label", "n", "s").distinct()
+        groups = large.filter("doc_id <> pivot.doc_id").select(F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.s").alias("ps"), "doc_id", "label", "n", "s", "own").distinct()
         groups = materialize(groups, "groups")
         pivots = materialize(groups.groupBy("pivot").agg(F.count("*").alias("m"), F.first("pn").alias("pn"), F.first("ps").alias("ps")), "pivots")
         heavy = heavy_keys(pivots, "pivot")
@@ -202,7 +202,7 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
         least = F.greatest(F.lit(1), F.col("x") - widest, F.ceil((F.col("f") + F.col("q.f")) / (2 * p))).cast("int")
         nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).withColumn("least", least).filter("least <= xs")
         prefix = F.slice("order", 1, (F.col("xs") - F.col("least") + 1).cast("int"))
-        rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos")
+        rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs", "own").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own")
         rows = stored = materialize(rows, "buckets")
         for table in (keys, live, groups, pivots, links, counts, differences):
             drop_table(table)
@@ -223,7 +223,10 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def one_text(rows: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of ``ids``. An id with several texts would mix their n-grams: the one of the smallest hash is taken."""
-    texts = rows.join(ids, "doc_id", "left_semi")
+    ids = materialize(ids, "ids")
+    # 16 MB of ids at most go to every task, so that texts needn't be shuffled; more ids than that meet the texts in a shuffle.
+    few = ids.count() <= MAX_BROADCAST
+    texts = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     twice = prints.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     return texts.join(twice, "doc_id", "left_anti").union(texts.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 

@@ -89,13 +89,13 @@ def fingerprints(docs: DataFrame, k: int, n: int, width: int) -> DataFrame:
 
 
 def buckets(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(key, doc_id)`` of the buckets that hold more than one class's speaker; of those with the same documents one."""
+    """``(key, m, doc_id)`` of the buckets that hold more than one class's speaker; of those with the same documents one."""
     speakers = classes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2")
     rows = prints.join(speakers, ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
     counts = counts.filter("lo < hi").groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "m")
     counts = materialize(counts, "bands")
-    out = materialize(join_by_key(rows, counts, "key", "doc_id", heavy_keys(counts, "key")).select("key", "doc_id").distinct(), "band-rows")
+    out = materialize(join_by_key(rows, counts, "key", "doc_id", heavy_keys(counts, "key")).select("key", "m", "doc_id").distinct(), "band-rows")
     drop_table(counts)
     return out
 
@@ -108,8 +108,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     met = buckets(prints, classes)
     once = jaccard.one_text(rows, prints, met.select("doc_id").distinct())
     sets, segments = jaccard.ordered_sets(once, k, percent)
-    own = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs"), F.lit(0).alias("pos")]
-    linked = jaccard.link_rounds(met.join(sets.select("doc_id", *own), "doc_id").select("key", "doc_id", "label", "n", "s", "x", "xs", "pos"), segments, percent)
+    # An original meets more documents than its edited copies do; the one that meets the most is a bucket's pivot.
+    own = met.groupBy("doc_id").agg((-F.sum("m")).alias("own"))
+    whole = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs"), F.lit(0).alias("pos"), "own"]
+    linked = jaccard.link_rounds(met.select("key", "doc_id").join(sets.join(own, "doc_id").select("doc_id", *whole), "doc_id").select("key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own"), segments, percent)
     for table in (met, sets, segments):
         drop_table(table)
     out = jaccard.labelled(prints, classes, linked)
