@@ -31,13 +31,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("src is not null and src <> dst").distinct()
 
 
-def part_edges(spark: SparkSession, sf_dir: str, least_quantity: int | None = None, cyclic: bool = False) -> DataFrame:
+def part_edges(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> DataFrame:
     """(src, dst), distinct, no loops: parts that follow each other in an order; acyclic ones go from the smaller to the larger key."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    some = table(spark, sf_dir, "lineitem")
-    if least_quantity is not None:
-        some = some.filter(F.col("l_quantity") >= least_quantity)
-    pairs = some.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b")).filter("b is not null and a <> b")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b")).filter("b is not null and a <> b")
     ends = (F.col("a"), F.col("b")) if cyclic else (F.least("a", "b"), F.greatest("a", "b"))
     return pairs.select(ends[0].alias("src"), ends[1].alias("dst")).distinct()
 
@@ -48,7 +45,8 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_edges(spark, sf_dir, 45, cyclic=True)
+    """``part_edges`` of all lines from each part to the one that follows it: nearly all parts lie on cycles."""
+    return part_edges(spark, sf_dir, cyclic=True)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEPS = "v_steps as (select concat(cast(user_id as varchar), '/', cast(cast(date_trunc('week', ts) as date) as varchar)) as theorem, row_number() over (partition by user_id, date_trunc('week', ts) order by ts, event_id) - 1 as idx, event_type as head from events)"
 PREMISES = "v_prem as (select distinct l_orderkey as theorem, concat(p_brand, '.', p_type) as premise from lineitem join part on l_partkey = p_partkey)"
 EDGES = "v_edges as materialized (select distinct src, dst from (select lag(l_orderkey) over (partition by l_partkey, l_quantity order by l_orderkey, l_linenumber) as src, l_orderkey as dst from lineitem) p where src is not null and src <> dst)"
-CYCLIC = "v_cyc as materialized (select distinct a as src, b as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as b from lineitem where l_quantity >= 45) p where b is not null and a <> b)"
+CYCLIC = "v_cyc as materialized (select distinct a as src, b as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as b from lineitem) p where b is not null and a <> b)"
 CORPUS = "v_corpus as (select p_partkey as seq, concat(p_brand, '.', p_type, '.', replace(p_name, ' ', '_')) as full_name from part)"
 LINES = "v_lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)"
 

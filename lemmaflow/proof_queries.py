@@ -91,7 +91,10 @@ def _(s, d):
     return cycles.strong_components(v.cyclic_edges(s, d))
 
 
-@register("feedback_arc_set")
+_SCC = "c as (select id, least(id, coalesce((select min(x.b) from rc x join rc y on y.a = x.b and y.b = x.a where x.a = id), id)) as component from (select src as id from v_cyc union select dst from v_cyc))"
+
+
+@register("feedback_arc_set", "with i as (select src, dst from v_cyc join c a on src = a.id join c b on dst = b.id where a.component = b.component), w as (select id, sum(n) as w from (select src as id, -1 as n from i union all select dst, 1 from i) group by id) select src, dst from i join w a on src = a.id join w b on dst = b.id where a.w > b.w or a.w = b.w and src >= dst", v.CYCLIC, _REACH, _SCC)
 def _(s, d):
     return cycles.feedback_arc_set(v.cyclic_edges(s, d))
 
