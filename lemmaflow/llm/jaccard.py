@@ -161,7 +161,8 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
             budget = SMALL_BUCKET * (keys.agg(F.sum("m")).first()[0] or 0)
         elif (keys.filter(F.col("m") <= 2 * small).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= budget:
             small *= 2
-        live = join_by_key(rows, keys.drop("lo", "hi"), "key", "doc_id", heavy_keys(keys, "key")).filter("f <= most_f and least_f <= most")
+        live = rows.join(keys.drop("lo", "hi"), "key").filter("f <= most_f and least_f <= most")
+        # A key has one row on the right, so Spark's own splitting of skewed partitions deals out the rows of a hot one.
         live = materialize(live.select("key", "m", "doc_id", "label", "n", "s", "xs", "pos", "own", "f", "most", "pivot"), "live")
         if stored is not None:
             drop_table(stored)

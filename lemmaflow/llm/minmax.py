@@ -5,10 +5,10 @@ Documents are sets of word n-grams, kept as 64-bit hashes. Those whose sets have
 1. Equal sets fall together by a 128-bit fingerprint; the smallest doc_id of such a class speaks for it.
 2. ``PERMUTATIONS`` permutations of the 64-bit numbers are applied to each set, and both the least and the largest value under each are kept: two values of a signature for one hash
    evaluation. Each equals that of another set with the probability of their similarity.
-3. A band is the least, or the largest, values of ``WIDTH`` permutations; two documents that agree in a band meet in its bucket. With 80 permutations and bands of 4 there are 40 bands:
-   a pair of similarity 0.8 meets nowhere with probability (1 - 0.8^4)^40 = 7e-10, one of 0.85 with 6e-13.
-4. Of buckets with the same documents one stands for all. What meets is compared on its full sets, as in ``jaccard``: small buckets by their pairs; in a large one all are compared
-   with one document, the pivot, and by their differences from it, whose prefix rule loses no link between different components.
+3. A band is the least, or the largest, values of ``WIDTH`` permutations; two documents that agree in a band meet in its bucket. With 64 permutations and bands of 4 there are 32 bands:
+   a pair of similarity 0.8 meets nowhere with probability (1 - 0.8^4)^32 = 5e-8, one of 0.85 with 1e-10.
+4. Of buckets with the same documents one stands for all. Links are confirmed on full sets: small buckets are compared by their pairs; in a large one all are compared with one document,
+   the pivot, and by their differences from it, whose prefix rule loses no link between different components (``jaccard.link_rounds``).
 
 Edge cases: a text that is null or has no words gives an empty set, linked with nothing; a text with fewer words than n is one n-gram. Rows with a null doc_id come
 back with a null component, link nothing and are kept. Repeated rows are one class. An id that comes with several texts is one document whose rows keep
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import drop_table, materialize
 from . import jaccard
-from .skew import heavy_keys, join_by_key
 from .text import mix
 
-PERMUTATIONS, WIDTH, BLOCK = 80, 4, 16_384
+PERMUTATIONS, WIDTH, BLOCK = 64, 4, 16_384
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,30 +89,42 @@ def fingerprints(docs: DataFrame, k: int, n: int, width: int) -> DataFrame:
 
 
 def buckets(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(key, m, doc_id)`` of the buckets that hold more than one class's speaker; of those with the same documents one."""
+    """``(key, m, doc_id)`` of the buckets of m > 1 documents that speak for different classes; of buckets with the same documents one."""
     speakers = classes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2")
     rows = prints.join(speakers, ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
-    counts = counts.filter("lo < hi").groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "m")
-    counts = materialize(counts, "bands")
-    out = materialize(join_by_key(rows, counts, "key", "doc_id", heavy_keys(counts, "key")).select("key", "m", "doc_id").distinct(), "band-rows")
-    drop_table(counts)
+    kinds = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).filter("lo < hi")
+    kept = materialize(kinds.groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "m"), "bands")
+    out = materialize(rows.join(kept, "key").distinct(), "band-rows")  # a row for each key on one side: Spark splits skewed partitions of the other
+    drop_table(kept)
     return out
 
 
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, n, grams)``, grams in the order of the hashes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in jaccard.read_sets(batches, k):
+            for at in range(0, len(rows), 200):
+                some = rows[at : at + 200]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(([i for i, _ in some], [len(s) for _, s in some], [s for _, s in some]), _SETS, strict=True)], schema=_SETS)
+
+    return docs.mapInArrow(task, "doc_id long, n long, grams array<long>")
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", n_permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id, kept)``: class_id is the smallest doc_id with the same set, component_id the smallest reachable by links; kept is true for that one."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(rows, k, n_permutations, width), "prints")
     classes = jaccard.classes(prints)
     met = buckets(prints, classes)
-    once = jaccard.one_text(rows, prints, met.select("doc_id").distinct())
-    sets, segments = jaccard.ordered_sets(once, k, percent)
     # An original meets more documents than its edited copies do; the one that meets the most is a bucket's pivot.
-    own = met.groupBy("doc_id").agg((-F.sum("m")).alias("own"))
-    whole = [F.col("doc_id").alias("label"), "n", F.size("grams").alias("s"), F.col("n").alias("x"), F.size("grams").alias("xs"), F.lit(0).alias("pos"), "own"]
-    linked = jaccard.link_rounds(met.select("key", "doc_id").join(sets.join(own, "doc_id").select("doc_id", *whole), "doc_id").select("key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own"), segments, percent)
-    for table in (met, sets, segments):
+    hits = materialize(met.groupBy("doc_id").agg(F.sum("m").alias("hits")), "hits")
+    sets = materialize(full_sets(jaccard.one_text(rows, prints, hits.select("doc_id")), k), "sets")
+    whole = ["doc_id", F.col("doc_id").alias("label"), "n", F.col("n").alias("s"), F.col("n").alias("x"), F.col("n").alias("xs"), F.lit(0).alias("pos"), (-F.col("hits")).alias("own")]
+    known = sets.select("doc_id", "n").join(hits, "doc_id").select(*whole)
+    first = materialize(met.select("key", "doc_id").join(known, "doc_id").select("key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own"), "buckets")
+    linked = jaccard.link_rounds(first, sets.select("doc_id", F.lit(0).alias("fragment"), "grams"), percent)
+    for table in (met, hits, sets, first):
         drop_table(table)
     out = jaccard.labelled(prints, classes, linked)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from lemmaflow.llm import minmax
 from lemmaflow.llm.text import ascii_words, shingle_hashes
@@ -29,35 +28,28 @@ def test_matches_all_pairs(spark):
             rows.append((i, " ".join(w)))
         else:
             rows.append((i, text(rng, rng.randint(1, 90))))
+    w = text(rng, 100).split()  # a chain of copies: neighbours link, the ends don't
+    for i in range(300, 350):
+        rows.append((i, " ".join(w)))
+        for j in rng.sample(range(100), 3):
+            w[j] = f"c{i}_{j}"
     rng.shuffle(rows)
     assert found(spark, rows, k=2, percent=80) == brute_components(rows, 2, 80)
 
 
-@pytest.mark.parametrize("edits", [(0, 9), (5, 5), (6, 9)])
-def test_many_edited_copies(spark, edits):
+def test_many_edited_copies(spark):
     """Copies of one text of which many, few or all pairs link, and copies of one of its copies; all meet in the same buckets."""
     rng = random.Random(22)
     base, rows = text(rng, 150).split(), []
     sub = [f"s{i}" if i % 12 == 0 else w for i, w in enumerate(base)]
     for i in range(700):
         w = list(base if i % 3 else sub)
-        for j in rng.sample(range(150), rng.randint(*edits)):
+        for j in rng.sample(range(150), rng.randint(5, 9)):
             w[j] = f"y{rng.randint(0, 30)}"
         rows.append((i, " ".join(w)))
     assert found(spark, rows, k=2, percent=80) == brute_components(rows, 2, 80)
 
 
-def test_chain_of_copies(spark):
-    """Each copy differs from the last one: neighbours link, the ends don't."""
-    rng = random.Random(4)
-    w, rows = text(rng, 100).split(), []
-    for i in range(60):
-        rows.append((i, " ".join(w)))
-        for j in rng.sample(range(100), 3):
-            w[j] = f"c{i}_{j}"
-    assert found(spark, rows, k=2, percent=80) == brute_components(rows, 2, 80)
-
-
 def test_odd_rows(spark):
     docs = odd_docs()
     rows = minmax.components(frame(spark, docs), k=2, percent=80).collect()
@@ -93,7 +85,7 @@ def test_both_ends_of_a_permutation_estimate_the_similarity():
         w = [f"w{rng.randint(0, 10**9)}" for _ in range(180)]
         a, b = shingle_hashes(ascii_words(" ".join(w[:160])), 1), shingle_hashes(ascii_words(" ".join(w[20:])), 1)
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        least, most = minmax.signatures([a, b], 80)
+        least, most = minmax.signatures([a, b], 64)
         hits.append([(least[0] == least[1]).mean() - j, (most[0] == most[1]).mean() - j])
         keys = minmax.band_keys(least, most)
         met += bool((keys[0] == keys[1]).any())
