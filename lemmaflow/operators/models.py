@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import new_path
+from .ranking import add_running_sum
 from .stats import rounded
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``(n, spearman)``. Ranks come from counts of the distinct values, so no rows but those are sorted in one place."""
+    """One row ``(n, spearman)``. Ranks come from running counts of the distinct values."""
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(c, (upto - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        upto = add_running_sum(counts, "n", [F.col(c)], "upto")
+        return upto.select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
     joined = rows.select(a, b).join(ranks(a), a).join(ranks(b), b)
     return joined.agg(F.count("*").alias("n"), rounded(F.corr(f"rank_{a}", f"rank_{b}")).alias("spearman"))
@@ -30,8 +31,8 @@ def regression_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame
 def classification_metrics(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """Average precision (by steps) and ROC-AUC from counts by distinct score; ties in score stand together."""
     by = rows.groupBy(score).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = by.select("p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("all"))
+    order = [F.desc(score)]
+    cum = add_running_sum(add_running_sum(by, "p", order, "tp"), "n", order, "all").select("p", "n", "tp", "all")
     total = F.sum("p")
     neg = F.sum(F.col("n") - F.col("p"))
     # Positives above each group of negatives, half of those within it.

@@ -76,6 +76,13 @@ def unresolved_examples(refs: DataFrame, k: int = 10) -> DataFrame:
     return refs.filter("confidence = 0").groupBy("name").agg(F.min("theorem").alias("theorem")).orderBy("name").limit(k)
 
 
+def unresolved_names(refs: DataFrame) -> DataFrame:
+    """``refs(theorem, name, confidence)`` -> ``(name, n, min_confidence, percent)`` of the names whose least confidence is 0; percent is their share of all distinct names, the same on each row."""
+    names = refs.groupBy("name").agg(F.count("*").alias("n"), F.min("confidence").alias("min_confidence"))
+    share = names.agg(rounded(100 * F.count_if(F.col("min_confidence") == 0) / F.count("*")).alias("percent"))  # one row
+    return names.filter("min_confidence = 0").crossJoin(F.broadcast(share))
+
+
 def unresolved_share_histogram(refs: DataFrame, bins: int = 50) -> DataFrame:
     """``(bin, n)``: theorems by the percentage of their references of confidence 0, in ``bins`` bins of 0 to 100, the last one closed."""
     share = refs.groupBy("theorem").agg((F.count_if(F.col("confidence") == 0) * bins / F.count("*")).alias("x"))

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import add_rank
+
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
@@ -86,8 +88,8 @@ def ngram_patterns(steps: DataFrame, lengths: tuple[int, int] = (3, 7), theorems
 
 
 def rank_frequency(rows: DataFrame, key: str) -> DataFrame:
-    """``(rank, key, n)``. The order is over distinct names only."""
-    return counts(rows, key).select(F.row_number().over(Window.orderBy(F.desc("n"), key)).alias("rank"), key, "n")
+    """``(rank, key, n)``."""
+    return add_rank(counts(rows, key), [F.desc("n"), F.col(key)]).select("rank", key, "n")
 
 
 def length_distribution(steps: DataFrame) -> DataFrame:
@@ -143,9 +145,9 @@ def longest(steps: DataFrame, k: int) -> DataFrame:
 def pick_spread(steps: DataFrame, low: int, high: int, k: int) -> DataFrame:
     """About k theorems of ``low`` to ``high`` steps, evenly spread over the order of length."""
     fit = counts(steps, "theorem").filter(F.col("n").between(low, high))
-    ranked = fit.select("theorem", F.col("n").alias("n_steps"), (F.row_number().over(Window.orderBy("n", "theorem")) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("total"))
-    step = F.greatest(F.lit(1), F.expr(f"cast(total div {k} as int)"))
-    return ranked.filter((F.col("r") % step == 0) & (F.expr(f"r div {1}") / step < k)).select("theorem", "n_steps")
+    ranked = add_rank(fit.select("theorem", F.col("n").alias("n_steps")), [F.col("n_steps"), F.col("theorem")], "r").withColumn("r", F.col("r") - 1)
+    step = max(1, ranked.count() // k)
+    return ranked.filter((F.col("r") % step == 0) & (F.col("r") < step * k)).select("theorem", "n_steps")
 
 
 def repeated_steps(steps: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,9 +171,10 @@ def order_by_length(steps: DataFrame, column: str) -> DataFrame:
 def extreme_theorems(steps: DataFrame, k: int = 5) -> DataFrame:
     """The k highest, middle and lowest theorems by potential, with their most common head (of equals the first by name)."""
     heads = steps.groupBy("theorem", "head").agg(F.count("*").alias("n")).groupBy("theorem").agg(F.min(F.struct((-F.col("n")).alias("m"), "head"))["head"].alias("top_head"))
-    ranked = theorem_entropy(steps).filter("n_distinct > 1").select("theorem", "potential", F.row_number().over(Window.orderBy(F.desc("potential"), "theorem")).alias("r"), F.count("*").over(Window.partitionBy()).alias("total"))
-    middle = F.expr("cast(total div 2 as int)") - k // 2
-    side = F.when(F.col("r") <= k, "high").when(F.col("r") > F.col("total") - k, "low").when((F.col("r") > middle) & (F.col("r") <= middle + k), "middle")
+    ranked = add_rank(theorem_entropy(steps).filter("n_distinct > 1").select("theorem", "potential"), [F.desc("potential"), F.col("theorem")], "r")
+    total = ranked.count()
+    middle = total // 2 - k // 2
+    side = F.when(F.col("r") <= k, "high").when(F.col("r") > total - k, "low").when((F.col("r") > middle) & (F.col("r") <= middle + k), "middle")
     return ranked.withColumn("side", side).filter("side is not null").join(heads, "theorem").select("side", "theorem", "potential", "top_head")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import cycles, graph, loops, mining, models, object_flow, proof, stats
+from .operators import cycles, graph, loops, mining, models, object_flow, proof, reports, stats
+from .operators.ranking import add_rank
 from .plans import views as v
 from .plans.durable import materialize
 from .queries import _DEG, _DEPTH, _FLOW, _NODES, register
@@ -56,8 +57,9 @@ def _(s, d):
 @register("ranking_compare", "with p as (select concat(src_head, '>', dst_head) as heads, kind as kinds, count(*) as hits, count(distinct theorem) as support from fl group by all) select *, row_number() over (order by hits desc, heads, kinds) as by_hits, row_number() over (order by support desc, heads, kinds) as by_support from p", v.STEPS, _FLOW)
 def _(s, d):
     p = mining.path_witnesses(mining.flow_edges(v.steps(s, d))).groupBy("heads", "kinds").agg(F.count("*").alias("hits"), F.countDistinct("theorem").alias("support"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "heads", "kinds"))
-    return p.select("*", place("hits").alias("by_hits"), place("support").alias("by_support"))
+    for c in ("hits", "support"):
+        p = add_rank(p, [F.desc(c), F.col("heads"), F.col("kinds")], f"by_{c}")
+    return p
 
 
 @register("candidate_witness_sample", "with w as (select concat(src_head, '>', dst_head) as heads, kind as kinds, theorem, src as first, dst as last from fl), c as (select heads, kinds, count(*) as n from w group by all order by n desc, heads, kinds limit 10), r as (select w.*, row_number() over (partition by w.heads, w.kinds order by theorem, first, last) as k from w join c on c.heads = w.heads and c.kinds = w.kinds) select heads, kinds, theorem, first, last, k from r where k <= 3", v.STEPS, _FLOW)
@@ -131,14 +133,15 @@ def _(s, d):
 
 @register("import_closure_order", "select id, row_number() over (order by depth desc, id) as place from dp", v.EDGES, _NODES, _DEPTH)
 def _(s, d):
-    return loops.kahn_rounds(v.edges(s, d)).select("id", F.row_number().over(Window.orderBy(F.desc("depth"), "id")).alias("place"))
+    return add_rank(loops.kahn_rounds(v.edges(s, d)), [F.desc("depth"), F.col("id")], "place").select("id", "place")
 
 
 @register("navigation_list", "with o as (select id, out_degree, row_number() over (order by (out_degree = 0), id) as place, count(*) over () as total from dg) select id, place, coalesce(lead(id) over (order by place), first_value(id) over (order by place)) as next_id, coalesce(lag(id) over (order by place), last_value(id) over (order by place rows between unbounded preceding and unbounded following)) as prev_id from o", v.EDGES, _NODES, _DEG)
 def _(s, d):
-    order = Window.orderBy(F.col("out_degree") == 0, "id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return graph.degrees(v.edges(s, d)).select("id", F.row_number().over(order).alias("place"), F.coalesce(F.lead("id").over(order), F.first("id").over(whole)).alias("next_id"), F.coalesce(F.lag("id").over(order), F.last("id").over(whole)).alias("prev_id"))
+    rows = add_rank(graph.degrees(v.edges(s, d)), [(F.col("out_degree") == 0).asc(), F.col("id").asc()], "place").select("id", "place")
+    total = rows.count()
+    beside = lambda step, name: rows.select(F.col("id").alias(name), ((F.col("place") - 1 + step + total) % max(1, total) + 1).alias("place"))
+    return rows.join(beside(-1, "next_id"), "place").join(beside(1, "prev_id"), "place")
 
 
 @register("topk_retrieval", "with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")
@@ -173,11 +176,12 @@ def _(s, d):
     return r.groupBy("category").agg(F.count("*").alias("n_unique"), F.sum("n").alias("total"), top.alias("top"))
 
 
-@register("unresolved_names", "select premise as name, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from v_prem where premise not in (select concat(p_brand, '.', p_type) from part where p_size < 25) group by 1", v.PREMISES)
+@register("unresolved_names", "with k as (select distinct concat(p_brand, '.', p_type) as premise from part where p_size < 25), a as (select p.premise as name, count(*) as n, min(case when k.premise is null then 0.0 else 1.0 end)::double as min_confidence from v_prem p left join k on p.premise = k.premise group by 1) select name, n, min_confidence, round(100.0 * count(*) over () / (select count(*) from a), 6) as percent from a where min_confidence = 0", v.PREMISES)
 def _(s, d):
-    known = v.table(s, d, "part").filter("p_size < 25").select(F.concat_ws(".", "p_brand", "p_type").alias("premise"))
-    c = v.premises(s, d).join(known, "premise", "left_anti").groupBy(F.col("premise").alias("name")).agg(F.count("*").alias("n"))
-    return c.withColumn("percent", stats.rounded(100 * F.col("n") / F.sum("n").over(Window.partitionBy())))
+    """percent: unresolved names among all distinct names."""
+    known = v.table(s, d, "part").filter("p_size < 25").select(F.concat_ws(".", "p_brand", "p_type").alias("premise")).distinct().withColumn("known", F.lit(1.0))
+    refs = v.premises(s, d).join(known, "premise", "left").select(F.col("premise").alias("name"), F.coalesce("known", F.lit(0.0)).alias("confidence"))
+    return reports.unresolved_names(refs)
 
 
 _OBJECTS = "ob as (select *, sum(fresh::int) over (partition by theorem order by idx) as chain, not done and not fresh and p_type <> last_type as made from v_tr), ox as (select *, max(case when made then idx end) over (partition by theorem, chain order by idx rows between unbounded preceding and 1 preceding) as m, first_value(p_type) over (partition by theorem, chain order by idx) as first_type, first_value(idx) over (partition by theorem, chain order by idx) as first_idx from ob), oy as (select ox.*, coalesce(m, (select max(o.idx) from ob o where o.theorem = ox.theorem and o.made and o.idx < ox.first_idx and o.p_type = ox.first_type)) as x from ox)"
