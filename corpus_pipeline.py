@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: Hashed scores and packings aren't SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+#: Hashed scores and packings aren't SQL. tests/llm/test_pipeline.py holds line deduplication, near duplicates and packing against plain versions; the other stages are tested by planted cases.
 ORACLE_SQL = None
 
 
