@@ -1,6 +1,6 @@
 """Measures of a citation graph ``edges(src, dst)``, distinct and without loops (src is cited by dst).
 
-Hubs are heavy: triangles are listed from their node of the smallest degree, and pairs of neighbours are counted where only counts are asked for."""
+Hubs are heavy: triangles are listed from their node of the smallest degree, four-cycles are counted at their node of the greatest."""
 
 from __future__ import annotations
 
@@ -93,17 +93,65 @@ def ffl_count(edges: DataFrame) -> DataFrame:
     return feedforward_loops(edges).agg(F.count("*").alias("feedforward_loops"))
 
 
-def _wedge_counts(edges: DataFrame, end: str, pivot: str, name: str) -> DataFrame:
-    """Number of common ``pivot`` ends of each pair v < w of ``end`` ends."""
-    a, b = edges.select(F.col(pivot).alias("p"), F.col(end).alias("v")), edges.select(F.col(pivot).alias("p"), F.col(end).alias("w"))
-    return a.join(b, "p").filter("v < w").groupBy("v", "w").agg(F.count("*").alias(name))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """``_from_smaller`` with one row for each pair of neighbours: kind 3 if edges go both ways."""
+    return _from_smaller(edges).groupBy("lo", "hi", "hd").agg(F.sum("kind").alias("kind"))
+
+
+def _has(kind: str, bit: int):
+    """Whether an edge leaves (1) or enters (2) the first node of a pair of this kind."""
+    return F.col(kind).bitwiseAND(bit) != 0
+
+
+def _wedges(pairs: DataFrame) -> DataFrame:
+    """``(h, o, m, down, up, parent, child)``: paths h - m - o in which h comes last of the three in the order by degree, with flags for h -> m -> o, o -> m -> h, m a parent of both, m a child of both.
+
+    For each pair of neighbours, the lower one's other neighbours below h: the sum of the smaller degrees over all edges, m ** 1.5 at most, whatever the hubs. A hub is no middle but for a larger one."""
+    first = pairs.toDF("m", "h", "hd", "a")
+    above = pairs.toDF("m", "o", "od", "b")
+    turned = F.when(F.col("kind") == 3, 3).otherwise(3 - F.col("kind"))
+    below = pairs.select(F.col("hi").alias("m"), F.col("lo").alias("o"), turned.alias("b"))
+    lower = (F.col("od") < F.col("hd")) | ((F.col("od") == F.col("hd")) & (F.col("o") < F.col("h")))
+    both = first.join(above, "m").filter(lower).select("h", "o", "m", "a", "b").union(first.join(below, "m").select("h", "o", "m", "a", "b"))
+    out, into = (lambda k: _has(k, 1)), (lambda k: _has(k, 2))  # from m, into m
+    flags = {"down": into("a") & out("b"), "up": into("b") & out("a"), "parent": out("a") & out("b"), "child": into("a") & into("b")}
+    return both.select("h", "o", "m", *[c.cast("long").alias(n) for n, c in flags.items()])
+
+
+def _wedge_ends(wedges: DataFrame) -> DataFrame:
+    """Per pair of ends ``(h, o)`` the numbers of middles of each kind, and ``turned``: of those that are parent and child."""
+    sums = [F.sum(c).alias(c) for c in ("down", "up", "parent", "child")]
+    return wedges.groupBy("h", "o").agg(*sums, F.sum(F.col("parent") * F.col("child")).alias("turned"))
+
+
+def _adjacent_diamonds(pairs: DataFrame) -> DataFrame:
+    """``(v, w, c)``: shared parents times shared children of adjacent v and w, from the triangles."""
+    t = _triangles(pairs)
+    side = lambda v, w, p, c: F.struct(F.col(v).alias("v"), F.col(w).alias("w"), p.cast("long").alias("p"), c.cast("long").alias("c"))
+    leaves, enters = (lambda k: _has(k, 1)), (lambda k: _has(k, 2))
+    sides = [side("x", "y", enters("xz") & enters("yz"), leaves("xz") & leaves("yz")), side("x", "z", enters("xy") & leaves("yz"), leaves("xy") & enters("yz")), side("y", "z", leaves("xy") & leaves("xz"), enters("xy") & enters("xz"))]
+    return t.select(F.explode(F.array(*sides)).alias("s")).select("s.*").groupBy("v", "w").agg((F.sum("p") * F.sum("c")).alias("c")).filter("c > 0")
+
+
+def _turned_pairs(pairs: DataFrame) -> DataFrame:
+    """``(u, v, k)``: edges both ways from u to v, and from u to k others. Each such pair of neighbours of u has u as parent and as child."""
+    both = pairs.filter("kind = 3").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    both = both.union(both.select("v", "u"))
+    return both.join(both.groupBy("u").agg((F.count("*") - 1).alias("k")), "u")
 
 
 def diamond_count(edges: DataFrame) -> DataFrame:
-    """u -> v, u -> w, v -> x, w -> x with v and w not adjacent: products of counts of shared parents and shared children, nothing listed."""
-    up, down = _wedge_counts(edges, "dst", "src", "parents"), _wedge_counts(edges, "src", "dst", "children")
-    near = edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w")).distinct()
-    return up.join(down, ["v", "w"]).join(near, ["v", "w"], "left_anti").agg(F.coalesce(F.sum(F.col("parents") * F.col("children")), F.lit(0)).alias("diamonds"))
+    """u -> v, u -> w, v -> x, w -> x with v and w not adjacent.
+
+    Four-cycles are counted at their last node in the order by degree, as the end of a wedge, so a hub's neighbours are never paired: the opposite node is its fellow (v and w, with parents and
+    children as middles) or its other end (u and x, with pairs of middles that go the same way). Those with v and w adjacent are counted from the triangles and taken off. On a graph with edges
+    both ways, u and x may be the same node."""
+    pairs = _both_ways(edges)
+    two = lambda c: F.expr(f"({c} * ({c} - 1)) div 2")
+    ends = _wedge_ends(_wedges(pairs)).select((two("down") + two("up") + F.col("parent") * F.col("child") - F.col("turned")).alias("n"))
+    same = _turned_pairs(pairs).agg(F.expr("coalesce(sum(k), 0) div 2").alias("n"))
+    near = _adjacent_diamonds(pairs).select((-F.col("c")).alias("n"))
+    return ends.union(same).union(near).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("diamonds"))
 
 
 def ego_feedforward(edges: DataFrame) -> DataFrame:
@@ -113,11 +161,16 @@ def ego_feedforward(edges: DataFrame) -> DataFrame:
 
 
 def ego_diamonds(edges: DataFrame) -> DataFrame:
-    """Per node x: over other nodes w not adjacent to x, shared parents times shared children."""
-    up, down = _wedge_counts(edges, "dst", "src", "a"), _wedge_counts(edges, "src", "dst", "b")
-    near = edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w")).distinct()
-    both = up.join(down, ["v", "w"]).join(near, ["v", "w"], "left_anti").select("v", "w", (F.col("a") * F.col("b")).alias("c"))
-    sums = both.select(F.col("v").alias("id"), "c").union(both.select("w", "c")).groupBy("id").agg(F.sum("c").alias("diamonds"))
+    """Per node x: over other nodes w not adjacent to x, shared parents times shared children. Counted as ``diamond_count`` does: the ends of wedges for themselves, then their middles."""
+    pairs = _both_ways(edges)
+    wedges = _wedges(pairs)
+    ends = _wedge_ends(wedges)
+    fellows = ends.select("h", "o", (F.col("parent") * F.col("child") - F.col("turned")).alias("n")).filter("n > 0")
+    ways = ends.filter("down > 1 or up > 1").select("h", "o", F.col("down").alias("all_down"), F.col("up").alias("all_up"))
+    middles = wedges.filter("down + up > 0").join(ways, ["h", "o"]).groupBy(F.col("m").alias("id")).agg(F.sum(F.col("down") * (F.col("all_down") - 1) + F.col("up") * (F.col("all_up") - 1)).alias("n"))
+    near = _adjacent_diamonds(pairs).select("v", "w", (-F.col("c")).alias("n"))
+    parts = [fellows.select(F.col("h").alias("id"), "n"), fellows.select("o", "n"), middles, near.select("v", "n"), near.select("w", "n"), _turned_pairs(pairs).select("v", "k")]
+    sums = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("n").alias("diamonds"))
     return nodes(edges).join(sums, "id", "left").select("id", F.coalesce("diamonds", F.lit(0)).alias("diamonds"))
 
 
@@ -137,7 +190,7 @@ def motif3_census(edges: DataFrame) -> DataFrame:
     """Connected triples by number of edges and sorted (in, out) degrees within the triple: ``(signature, n)``.
 
     Closed triples are listed as triangles. Open ones are counted: the pairs of neighbours of each node by kind (1 out, 2 in, 3 both), less those that a triangle closes."""
-    pairs = _from_smaller(edges).groupBy("lo", "hi", "hd").agg(F.sum("kind").alias("kind"))
+    pairs = _both_ways(edges)
     turned = lambda c: F.when(F.col(c) == 3, 3).otherwise(3 - F.col(c))
     leaves = lambda k: (k % 2).cast("int")
     enters = lambda k: (k >= 2).cast("int")

@@ -130,6 +130,34 @@ def test_triangles_and_diamonds(spark):
     assert {r.id: r.diamonds for r in graph.ego_diamonds(without).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def brute_diamonds(pairs):
+    ns = sorted({x for p in pairs for x in p})
+    up, down = {n: {a for a, b in pairs if b == n} for n in ns}, {n: {b for a, b in pairs if a == n} for n in ns}
+    c = {(v, w): len(up[v] & up[w]) * len(down[v] & down[w]) for v, w in itertools.combinations(ns, 2) if (v, w) not in pairs and (w, v) not in pairs}
+    return sum(c.values()), {n: sum(k for p, k in c.items() if n in p) for n in ns}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_diamonds_of_any_graph(spark, seed):
+    """Cycles, edges both ways and a hub, against all pairs of nodes."""
+    r = random.Random(seed)
+    pairs = {(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(60)) if a != b}
+    pairs |= {(0, n) for n in range(1, 14)} | {(n, 0) for n in range(1, 14, seed)}
+    total, each = brute_diamonds(pairs)
+    e = edges(spark, sorted(pairs))
+    assert graph.diamond_count(e).first()[0] == total > 0
+    assert {x.id: x.diamonds for x in graph.ego_diamonds(e).collect()} == each
+    assert graph.diamond_count(e.limit(0)).first()[0] == 0 and graph.ego_diamonds(e.limit(0)).count() == 0
+
+
+def test_diamonds_of_a_star(spark):
+    """A hub of 100,000 leaves, some of which have a child in common: the hub's neighbours aren't paired (that were five billion pairs)."""
+    star = spark.range(1, 100_001).selectExpr("0L as src", "id as dst")
+    e = star.union(spark.range(1, 100_001, 1000).selectExpr("id as src", "1000000 + id div 10000 as dst"))
+    assert graph.diamond_count(e).first()[0] == 10 * 45
+    assert graph.ego_diamonds(e).filter("diamonds > 0").count() == 100
+
+
 def test_cycles(spark):
     e = edges(spark, [(1, 2), (2, 1), (3, 4), (4, 5), (5, 3), (6, 6), (2, 3), (5, 7), (8, 1)])
     assert {tuple(r) for r in cycles.strong_components(e).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 8)}
