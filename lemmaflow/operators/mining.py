@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import drop_table, materialize
 from .stats import rounded
 
 
@@ -25,6 +28,28 @@ def frequent_triples(premises: DataFrame, pairs: DataFrame, support: int) -> Dat
     return triples.groupBy("p1", "p2", "p3").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
 
 
+def frequent_sets(premises: DataFrame, support: int, max_size: int = 5) -> DataFrame:
+    """``(size, items, support)``: all sets of one to ``max_size`` premises that ``support`` theorems or more have together; items in order. ``premises(theorem, premise)``, distinct.
+
+    Level by level: a theorem's occurrences of frequent sets are kept by prefix (all items but the last), and two of one prefix join to a longer set. Only occurrences of frequent sets go on, so no
+    set grows from one below the support, and a theorem with many premises is a key for each of its prefixes from the second level on. The levels are stored tables; rounds stop where a level is empty."""
+    occurs = premises.select("theorem", F.array().cast("array<string>").alias("prefix"), F.col("premise").cast("string").alias("last"))
+    levels, stored = [], []
+    for size in range(1, max_size + 1):
+        if size > 1:
+            a, b = occurs.select("theorem", "prefix", F.col("last").alias("one")), occurs
+            occurs = a.join(b, ["theorem", "prefix"]).filter("one < last").select("theorem", F.concat("prefix", F.array("one")).alias("prefix"), "last")
+        often = materialize(occurs.groupBy("prefix", "last").agg(F.count("*").alias("support")).filter(F.col("support") >= support), "sets")
+        levels.append(often.select(F.lit(size).alias("size"), F.concat("prefix", F.array("last")).alias("items"), "support"))
+        if size == max_size or often.isEmpty():
+            break
+        occurs = materialize(occurs.join(often.select("prefix", "last"), ["prefix", "last"], "left_semi"), "occurrences")
+        stored.append(occurs)
+    for table in stored:
+        drop_table(table)
+    return reduce(DataFrame.union, levels)
+
+
 def crystallization(sets: DataFrame, size: int, k: int) -> DataFrame:
     """Ranked positive savings = support * (size - 1) - size."""
     saved = F.col("support") * (size - 1) - size

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize
+from ..plans.durable import drop_table, materialize
 from .stats import rounded
 
 
@@ -55,12 +55,60 @@ def levels(edges: DataFrame) -> DataFrame:
     return level
 
 
-def tree_metrics(edges: DataFrame) -> DataFrame:
-    """Per proof: nodes, depth, greatest width of a level, mean out-degree and share of leaves."""
-    lv = materialize(levels(edges), "proof-levels")
-    width = lv.groupBy("theorem", "level").agg(F.count("*").alias("w")).groupBy("theorem").agg(F.sum("w").alias("n_nodes"), F.max("level").alias("depth"), F.max("w").alias("max_width"))
-    out = edges.groupBy("theorem").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("inner"))
-    return width.join(out, "theorem").select("theorem", "n_nodes", "depth", "max_width", rounded(F.col("n_edges") / F.col("n_nodes")).alias("mean_out"), rounded(1 - F.col("inner") / F.col("n_nodes")).alias("leaf_share"))
+SMALL_PROOF = 256
+
+
+def level_widths(edges: DataFrame, small: int = SMALL_PROOF) -> DataFrame:
+    """``(theorem, widths)``: how many nodes lie at each distance from the proof's first root (the smallest node without an edge into it; the smallest of all if there is none).
+
+    A proof of up to ``small`` edges is searched within its row, by an ``aggregate`` over its edges for each level: one shuffle for all of them, however deep. Larger ones are searched together in
+    rounds, a join for each level."""
+    ends = edges.select("theorem", F.col("src").alias("node"), F.lit(0).alias("entered"), F.lit(1).alias("e")).union(edges.select("theorem", "dst", F.lit(1), F.lit(0)))
+    per = ends.groupBy("theorem", "node").agg(F.max("entered").alias("entered"), F.sum("e").alias("e"))
+    root = F.coalesce(F.min(F.when(F.col("entered") == 0, F.col("node"))), F.min("node")).cast("long").alias("root")
+    heads = materialize(per.groupBy("theorem").agg(root, F.count("*").alias("n"), F.sum("e").alias("e")), "proofs")
+    pairs = edges.select("theorem", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    rows = pairs.join(heads.filter(F.col("e") <= small), "theorem").groupBy("theorem", "root", "n").agg(F.collect_set(F.struct("src", "dst")).alias("es"))
+
+    def wider(a, _):
+        below = F.filter("es", lambda e: F.array_contains(a["front"], e["src"]))
+        front = F.array_except(F.transform(below, lambda e: e["dst"]), a["seen"])
+        return F.struct(front.alias("front"), F.concat(a["seen"], front).alias("seen"), F.when(F.size(front) > 0, F.concat(a["widths"], F.array(F.size(front).cast("long")))).otherwise(a["widths"]).alias("widths"))
+
+    start = F.struct(F.array("root").alias("front"), F.array("root").alias("seen"), F.array(F.lit(1).cast("long")).alias("widths"))
+    done = rows.select("theorem", F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("n").cast("int"))), start, wider)["widths"].alias("widths"))
+    large = heads.filter(F.col("e") > small)
+    if large.isEmpty():
+        return done
+    big = materialize(pairs.join(large.select("theorem"), "theorem", "left_semi"), "proof-edges")
+    seen = materialize(large.select("theorem", F.col("root").alias("node"), F.lit(0).alias("level")), "proof-levels")
+    for k in count():
+        front = big.join(seen.filter(F.col("level") == k).withColumnRenamed("node", "src"), ["theorem", "src"]).select("theorem", F.col("dst").alias("node")).distinct()
+        new = materialize(seen.union(front.join(seen, ["theorem", "node"], "left_anti").withColumn("level", F.lit(k + 1))), "proof-levels")
+        drop_table(seen)
+        seen = new
+        if seen.filter(F.col("level") == k + 1).isEmpty():
+            break
+    drop_table(big)
+    widths = seen.groupBy("theorem", "level").agg(F.count("*").alias("w")).groupBy("theorem").agg(F.sort_array(F.collect_list(F.struct("level", "w")))["w"].alias("widths"))
+    return done.union(widths)
+
+
+def tree_metrics(edges: DataFrame, small: int = SMALL_PROOF) -> DataFrame:
+    """Per proof, of ``edges(theorem, src, dst)``: nodes; depth, upper median depth, greatest width and width at half depth of the breadth-first levels from the first root; mean out-degree, share
+    of leaves, nodes on the longest of these levels' paths over all nodes (spine), and variance of the out-degrees (imbalance). A proof without edges has no row."""
+    out = edges.groupBy("theorem", F.col("src").alias("node")).agg(F.count("*").alias("o")).union(edges.select("theorem", "dst", F.lit(0)).distinct())
+    per = out.groupBy("theorem", "node").agg(F.sum("o").alias("o"))
+    n, o = F.count("*"), F.sum("o")
+    sums = per.groupBy("theorem").agg(n.alias("n_nodes"), rounded(o / n).alias("mean_out"), rounded(F.count_if(F.col("o") == 0) / n).alias("leaf_share"), rounded((F.sum(F.col("o") * F.col("o")) * n - o * o) / (n * n)).alias("imbalance"))
+    w = level_widths(edges, small).withColumn("depth", F.size("widths") - 1)
+    zero = F.lit(0).cast("long")
+    half = F.floor(F.aggregate("widths", zero, lambda a, x: a + x) / 2)
+    # The upper median is the level where the running total of the widths first exceeds half of all nodes.
+    start = F.struct(zero.alias("total"), zero.alias("below"))
+    median = F.aggregate("widths", start, lambda a, x: F.struct((a["total"] + x).alias("total"), (a["below"] + F.when(a["total"] + x <= half, 1).otherwise(0)).alias("below")))["below"]
+    shape = w.select("theorem", "depth", median.cast("int").alias("median_depth"), F.array_max("widths").alias("max_width"), F.element_at("widths", (F.floor(F.col("depth") / 2) + 1).cast("int")).alias("width_at_half_depth"))
+    return sums.join(shape, "theorem").select("theorem", "n_nodes", "depth", "median_depth", "max_width", "width_at_half_depth", "mean_out", "leaf_share", rounded((F.col("depth") + 1) / F.col("n_nodes")).alias("spine_score"), "imbalance")
 
 
 def head_signatures(steps: DataFrame, size: int = 6) -> DataFrame:

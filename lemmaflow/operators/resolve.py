@@ -111,6 +111,29 @@ def probe(names: DataFrame, probes: list[str], k: int = 10) -> DataFrame:
     return hits.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("probe", "kind", "full_name")
 
 
+def _grams(c: str, n):
+    """All runs of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n)))
+
+
+def probe_all(names: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
+    """``names(full_name)``, ``probes(probe)`` -> for each probe and kind the first k names that equal, end in (after a dot) or contain it. For any number of probes.
+
+    Names are posted under their runs of three characters; a probe looks up the rarest of its own (one of one or two characters looks up itself), and what it finds is verified. So every join is
+    on equal keys, and a probe with a run that no name has meets nothing. Nulls and empty probes find nothing."""
+    asked = probes.select("probe").filter("probe <> ''").distinct()
+    runs = asked.select("probe", F.explode(_grams("probe", F.least(F.lit(3), F.length("probe")))).alias("gram"))
+    known = names.select("full_name").filter("full_name <> ''").distinct()
+    every = F.flatten(F.array(*[F.when(F.length("full_name") >= n, _grams("full_name", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    posted = known.select("full_name", F.explode(every).alias("gram")).join(runs.select("gram").distinct(), "gram", "left_semi")
+    counts = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = runs.join(counts, "gram", "left").groupBy("probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    hits = posted.join(rarest.select("probe", F.col("r.gram").alias("gram")), "gram").filter(F.col("full_name").contains(F.col("probe")))
+    kind = F.when(F.col("full_name") == F.col("probe"), "exact").when(F.col("full_name").endswith(F.concat(F.lit("."), "probe")), "suffix").otherwise("contains")
+    order = Window.partitionBy("probe", "kind").orderBy("full_name")
+    return hits.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("probe", "kind", "full_name")
+
+
 def first_definition(refs: DataFrame, files: DataFrame) -> DataFrame:
     """``refs(name)``, ``files(name, file, seq)``: whether a name is defined in the files, and in which first."""
     first = files.groupBy("name").agg(F.min(F.struct("seq", "file"))["file"].alias("file"))

@@ -34,7 +34,10 @@ def _(s, d):
     return proof.levels(proof.forward_edges(_trans(s, d)))
 
 
-@register("tree_metrics", "with w as (select theorem, level, count(*) as w from lv group by all), a as (select theorem, sum(w) as n_nodes, max(level) as depth, max(w) as max_width from w group by 1), b as (select theorem, count(*) as n_edges, count(distinct src) as i from fe group by 1) select theorem, n_nodes, depth, max_width, round(n_edges / n_nodes, 6) as mean_out, round(1 - i / n_nodes, 6) as leaf_share from a join b using (theorem)", v.STEPS, _TRANS, _LEVELS)
+_BREADTH = "rt as (select theorem, min(src) as root from fe where not exists (select 1 from fe f where f.theorem = fe.theorem and f.dst = fe.src) group by 1), bf0 as (select theorem, root as node, 0 as level from rt union select bf0.theorem, dst, level + 1 from bf0 join fe on fe.theorem = bf0.theorem and src = node), bf as materialized (select theorem, node, min(level) as level from bf0 group by all)"
+
+
+@register("tree_metrics", "with w as (select theorem, level, count(*) as w from bf group by all), m as (select theorem, level, row_number() over (partition by theorem order by level) - 1 as place, count(*) over (partition by theorem) as n from bf), a as (select theorem, max(level) as depth, max(w) as max_width from w group by 1), nd as (select theorem, src as node from fe union select theorem, dst from fe), od as (select nd.theorem, nd.node, count(fe.src) as o from nd left join fe on fe.theorem = nd.theorem and fe.src = nd.node group by all), s as (select theorem, count(*) as n_nodes, round(avg(o), 6) as mean_out, round(count(*) filter (o = 0) / count(*), 6) as leaf_share, round(var_pop(o), 6) as imbalance from od group by 1) select s.theorem, n_nodes, depth, m.level as median_depth, max_width, w.w as width_at_half_depth, mean_out, leaf_share, round((depth + 1) / n_nodes, 6) as spine_score, imbalance from s join a using (theorem) join m on m.theorem = s.theorem and m.place = m.n // 2 join w on w.theorem = s.theorem and w.level = depth // 2", v.STEPS, _TRANS, _BREADTH)
 def _(s, d):
     return proof.tree_metrics(proof.forward_edges(_trans(s, d)))
 

@@ -240,6 +240,14 @@ def _(s, d):
     return resolve.probe(resolve.name_set(v.corpus(s, d)), ["STEEL", "red", "Brand#11"])
 
 
+@register("name_contains_all", "with p as (select distinct unnest(string_split(p_name, ' ')) as probe from part union select p_type from part union select concat(p_brand, '.', p_type, '.', replace(p_name, ' ', '_')) from part union select replace(p_name, ' ', '_') from part), h as (select probe, full_name, case when full_name = probe then 'exact' when ends_with(full_name, '.' || probe) then 'suffix' else 'contains' end as kind from (select distinct full_name from v_corpus) join p on contains(full_name, probe)), r as (select *, row_number() over (partition by probe, kind order by full_name) as k from h where probe <> '') select probe, kind, full_name from r where k <= 10", v.CORPUS)
+def _(s, d):
+    """Probes are all words, types, last parts and full names of the parts."""
+    part, names = v.table(s, d, "part"), resolve.name_set(v.corpus(s, d))
+    words = part.select(F.explode(F.split("p_name", " ")).alias("probe")).union(part.select("p_type")).union(names).union(part.select(F.replace("p_name", F.lit(" "), F.lit("_"))))
+    return resolve.probe_all(names, words)
+
+
 @register("defined_locally", "with f as (select full_name as name, arg_min(p_brand, seq) as file from v_corpus join part on p_partkey = seq where p_size < 25 group by 1) select n.name, f.file, f.file is not null as defined_locally from v_nm n left join f using (name)", v.CORPUS, _REFS, _NAMES)
 def _(s, d):
     files = v.corpus(s, d).join(v.table(s, d, "part").filter("p_size < 25"), F.col("seq") == F.col("p_partkey")).select(F.col("full_name").alias("name"), F.col("p_brand").alias("file"), "seq")
