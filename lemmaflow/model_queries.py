@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import report_queries  # noqa: F401  (feat_mixture is a block of the dataset)
 from .operators import features, loops, models
 from .plans import views as v
 from .plans.durable import materialize
-from .queries import _DEG, _DEPTH, _NODES, QUERIES, register
+from .queries import _DEG, _DEPTH, _NODES, ORACLES, QUERIES, register
 
 _PAR = "par as materialized (select e.dst as v, a.depth as d, e.src as p, b.depth as dp from v_edges e join dp a on a.id = e.dst join dp b on b.id = e.src)"
 _SEEN = "sn as materialized (select v, d, p, dp, (select count(*) from par y where y.p = x.p and y.d < x.d) as out_seen, (select count(*) from par y where y.p = x.p and y.d < x.d and y.d = x.dp + 1) as beta from par x)"
@@ -136,13 +137,10 @@ def _(s, d):
     return models.baselines(t.join(depth, "id").join(best, "id", "left").na.fill(0, ["pm"]), "y2", "pm", "depth")
 
 
-@register("feature_correlations", "with r as (select t.id, depth, y1, y2, in_degree from tg t join dg using (id)), l as (select depth, 'in_degree' as feature, 'y1' as target, in_degree::double as x, y1::double as y from r union all select depth, 'in_degree', 'y2', in_degree::double, y2::double from r), k as (select *, rank() over (partition by depth, target order by x) + (count(*) over (partition by depth, target, x) - 1) / 2 as rx, rank() over (partition by depth, target order by y) + (count(*) over (partition by depth, target, y) - 1) / 2 as ry from l) select depth, feature, target, count(*) as n, round(corr(rx, ry), 6) as spearman from k group by all having min(x) < max(x) and min(y) < max(y)", v.EDGES, _NODES, _DEPTH, _DEG, _TARGETS)
+@register("feature_correlations")
 def _(s, d):
-    from .operators import graph
-
-    e, depth, t = _targets(s, d)
-    rows = t.join(depth, "id").join(graph.degrees(e).select("id", "in_degree"), "id")
-    return models.feature_correlations(rows, ["in_degree"], ["y1", "y2"], "depth")
+    """All features of the dataset with both targets, depth by depth."""
+    return models.feature_correlations(_dataset(s, d), _FEATURES, ["y1", "y2"], "depth")
 
 
 @register("split_stability", "with m as (select doc_id, n_chars, seed, ('0x' || substr(md5(concat(doc_id, '#', seed)), 1, 8))::bigint % 100 as h from documents, range(1, 11) t(seed)), a as (select seed, avg(n_chars) as m from m where h < 20 group by 1) select count(*) as splits, round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std, round(min(m), 6) as least, round(max(m), 6) as most from a")
@@ -205,3 +203,11 @@ def _(s, d):
     data = VectorAssembler(inputCols=_FEATURES, outputCol="x").transform(_dataset(s, d).withColumn("y", (F.col("y2") > 0).cast("double")))
     model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=100, maxDepth=5, seed=1).fit(data)
     return s.createDataFrame([(n, float(w)) for n, w in zip(_FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double")  # a row for each feature
+
+
+#: The dataset is the join of its blocks' own SQL.
+_BLOCKS = ["feat_parent_degrees", "feat_survival_rate", "feat_upstream", "feat_parentset_rarity", "feat_parentset_similarity", "feat_cooccurrence", "feat_parent_reach", "feat_parent_diversity", "feat_mixture", "feat_peek"]
+_COLUMNS = ", ".join(f"coalesce({c}, {int(c == 'parent_diversity')}) as {c}" for c in [*_FEATURES[2:], "k1", "k2"])
+_JOINS = " ".join(f"left join ({ORACLES[b]}) b{i} using (id)" for i, b in enumerate(_BLOCKS))
+ORACLES["feature_dataset"] = f"with recursive {v.EDGES}, {_NODES}, {_DEPTH}, {_DEG}, {_TARGETS} select id, depth, in_degree as indeg_seen, {_COLUMNS}, y1, y2 from dp join dg using (id) {_JOINS} join (select id, y1, y2 from tg) t using (id)"
+ORACLES["feature_correlations"] = f"with f as materialized ({ORACLES['feature_dataset']}), l as (unpivot (select depth, {', '.join(f'{c}::double as {c}' for c in _FEATURES[1:])}, y1 as t1, y2::double as t2 from f) on {', '.join(_FEATURES[1:])} into name feature value x), m as (select depth, feature, x, unnest(['y1', 'y2']) as target, unnest([t1, t2]) as y from l), k as (select *, rank() over (partition by depth, feature, target order by x) + (count(*) over (partition by depth, feature, target, x) - 1) / 2 as rx, rank() over (partition by depth, feature, target order by y) + (count(*) over (partition by depth, feature, target, y) - 1) / 2 as ry from m) select depth, feature, target, count(*) as n, round(corr(rx, ry), 6) + 0 as spearman from k group by all having min(x) < max(x) and min(y) < max(y)"

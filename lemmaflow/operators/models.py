@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import new_path
+from ..plans.durable import materialize, new_path
 from .ranking import add_running_sum
 from .stats import rounded
 
@@ -105,19 +105,33 @@ def top_k_retrieval_blocks(vectors: DataFrame, queries: DataFrame, key: str, vec
     return spark.read.schema(schema).parquet(path)
 
 
+def _ranks_within(counts: DataFrame, group: list[str], c: str) -> DataFrame:
+    """``counts(*group, c, n)`` with ``r``, the mean rank (from 1) of the rows with this value in their group, and ``size`` of the group. A running sum in ranges, less what is before the group."""
+    upto = add_running_sum(counts, "n", [*map(F.col, group), F.col(c)], "upto")
+    starts = upto.groupBy(*group).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("size"))
+    return upto.join(starts, group).withColumn("r", F.col("upto") - F.col("start") - (F.col("n") - 1) / 2).drop("upto", "start")
+
+
 def feature_correlations(rows: DataFrame, features: list[str], targets: list[str], by: str) -> DataFrame:
-    """Spearman of each feature with each target within each value of ``by``; constant ones are dropped."""
-    pairs = ", ".join(f"'{f}', '{t}', cast({f} as double), cast({t} as double)" for f in features for t in targets)
-    long = rows.select(by, F.expr(f"stack({len(features) * len(targets)}, {pairs}) as (feature, target, x, y)"))
-    group = [by, "feature", "target"]
-
-    def rank(c: str):
-        tied = F.count("*").over(Window.partitionBy(*group, c))
-        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (tied - 1) / 2
-
-    ranked = long.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1_"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
-    return out.filter("x0 < x1 and y0 < y1_").select(*group, "n", rounded("r").alias("spearman"))
+    """``(<by>, feature, target, n, spearman)``: Spearman of each feature with each target within each value of ``by``; constant ones are dropped. Nulls in ``by``, features or targets aren't expected.
+
+    Rows are counted by (feature, value) with sums of the targets' ranks before anything is ranked, so neither a large group nor a value that most rows have comes to one task."""
+    unpivot = lambda names, key, value: F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, cast({n} as double)' for n in names)}) as ({key}, {value})")
+    of_targets = rows.select(by, unpivot(targets, "target", "y")).groupBy(by, "target", "y").agg(F.count("*").alias("n"))
+    ry = materialize(_ranks_within(of_targets, [by, "target"], "y"), "target-ranks")
+    sums = ry.groupBy(by, "target").agg(F.sum(F.col("n") * F.col("r") * F.col("r")).alias("yy"))
+    ranked = rows
+    for t in targets:
+        mine = ry.filter(F.col("target") == t).select(by, F.col("y").alias(f"{t}_value"), F.col("r").alias(f"{t}_rank"))
+        ranked = ranked.withColumn(f"{t}_value", F.col(t).cast("double")).join(mine, [by, f"{t}_value"])
+    long = ranked.select(by, *[f"{t}_rank" for t in targets], unpivot(features, "feature", "x"))
+    values = long.groupBy(by, "feature", "x").agg(F.count("*").alias("n"), *[F.sum(f"{t}_rank").alias(f"{t}_rank") for t in targets])
+    each = _ranks_within(values, [by, "feature"], "x")
+    totals = each.groupBy(by, "feature", F.col("size").alias("n")).agg(F.sum(F.col("n") * F.col("r") * F.col("r")).alias("xx"), *[F.sum(F.col("r") * F.col(f"{t}_rank")).alias(t) for t in targets])
+    out = totals.select(by, "feature", "n", "xx", F.expr(f"stack({len(targets)}, {', '.join(f'{chr(39)}{t}{chr(39)}, {t}' for t in targets)}) as (target, xy)")).join(F.broadcast(sums), [by, "target"])  # a row for each group and target
+    centre = F.col("n") * ((F.col("n") + 1) / 2) * ((F.col("n") + 1) / 2)
+    vx, vy = F.col("xx") - centre, F.col("yy") - centre
+    return out.filter((vx > 0) & (vy > 0)).select(by, "feature", "target", "n", (rounded((F.col("xy") - centre) / F.sqrt(vx) / F.sqrt(vy)) + 0.0).alias("spearman"))
 
 
 def split_stability(rows: DataFrame, key: str, value: str, seeds: int = 10, test_percent: int = 20) -> DataFrame:
