@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import short_name
+from ..plans.durable import materialize
+
 
 def last_part(c):
     return F.substring_index(c, ".", -1)
@@ -85,6 +88,29 @@ def resolve_first(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("ref_id", full.alias("full_name"), how.alias("resolved_by"))
 
 
+def suffix_match(refs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``refs(ref_id, surface)`` -> ``(ref_id, full_name)`` of the first name of the corpus that equals the surface or ends in it after a dot; refs without one have no row. An equi-join on the
+    suffixes, of each of which only the first name is kept."""
+    parts = F.split("full_name", "[.]")
+    tails = first_seen(corpus).select("full_name", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("surface"))
+    firsts = tails.groupBy("surface").agg(F.min(F.struct("seq", "full_name"))["full_name"].alias("full_name"))
+    return refs.select("ref_id", "surface").join(firsts, "surface").select("ref_id", "full_name")
+
+
+def match_rate(statements: DataFrame, corpus: DataFrame, n: int = 1000, seed: int = 42, k: int = 10) -> DataFrame:
+    """``statements(id, statement)`` -> ``(measure, name, n, percent)``: of a seeded sample of ``n`` statements, those whose declared name is found in the corpus and those where it isn't, and the ``k``
+    names that fail most often (ties by name). A statement that is null or declares no name fails, with an empty name. The order of the sample is by a hash of the id."""
+    sample = statements.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{seed}"))), "id").limit(n)
+    named = sample.select(F.monotonically_increasing_id().alias("ref_id"), F.coalesce(short_name(F.col("statement")), F.lit("")).alias("surface"))
+    named = materialize(named, "sample", n)
+    hits = suffix_match(named.filter("surface <> ''"), corpus).select("ref_id", F.lit(True).alias("hit"))
+    judged = named.join(hits, "ref_id", "left").withColumn("measure", F.when(F.col("hit"), "matched").otherwise("failed"))
+    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4)  # over two rows, then over the names of the sample
+    rates = judged.groupBy("measure").agg(F.count("*").alias("n")).select("measure", F.lit(None).cast("string").alias("name"), "n", share.alias("percent"))
+    failed = judged.filter("measure = 'failed'").groupBy(F.col("surface").alias("name")).agg(F.count("*").alias("n")).select(F.lit("failed_name").alias("measure"), "name", "n", share.alias("percent"))
+    return rates.union(failed.orderBy(F.desc("n"), "name").limit(k))
+
+
 def match_kinds(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """``names(name, n)`` -> exact, suffix, qualified suffix or none."""
     known = name_set(corpus)

@@ -90,6 +90,25 @@ TACTICS = "v_tac as (select p_partkey as seq, concat(['rw', 'simp only', 'exact'
 STATES = "v_st as (select p_partkey as seq, p_size, p_type, p_brand, p_name, concat('x y : ', p_type, chr(10), 'hk', p_size, ' : ', p_brand, ' = 1', chr(10), 'inst✝ : Mul ', p_brand, chr(10), '⊢ ', p_name, chr(10), '  more') as before, case when p_size % 5 = 0 then 'no goals' else concat('x z : ', p_type, chr(10), '⊢ ', p_name, chr(10), chr(10), 'case b', chr(10), '⊢ q') end as after from part)"
 
 
+#: How the statements that are made from the parts begin.
+OPENINGS = ["theorem ", "lemma ", "private def ", "@[simp] protected theorem ", "@[simp, norm_cast] @[to_additive] noncomputable instance ", "abbrev  "]
+#: What follows a name in them.
+BINDERS = [" (x : Nat) : x = x", "{a b : Nat} : a = b", "[Mul G] : True", " : 1 = 1", ":= by simp"]
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, statement): declarations of the part's full name, of a suffix of it, of a name that has its words the other way round, or of none."""
+    size, last, pick = F.col("p_size"), F.replace("p_name", F.lit(" "), F.lit("_")), lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    turned = F.concat_ws("_", F.reverse(F.split("p_name", " ")))
+    name = F.when(size % 5 == 0, F.concat_ws(".", "p_brand", "p_type", last)).when(size % 5 == 1, last).when(size % 5 == 2, F.concat_ws(".", "p_type", last)).when(size % 5 == 3, turned).otherwise(F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("Missing."), last)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(pick(OPENINGS, F.col("p_partkey")), name, pick(BINDERS, F.col("p_partkey") + size)).alias("statement"))
+
+
+STATEMENTS = "v_stmt as (select p_partkey as seq, concat({}[p_partkey % 6 + 1], case p_size % 5 when 0 then concat(p_brand, '.', p_type, '.', replace(p_name, ' ', '_')) when 1 then replace(p_name, ' ', '_') when 2 then concat(p_type, '.', replace(p_name, ' ', '_')) when 3 then array_to_string(list_reverse(string_split(p_name, ' ')), '_') else case when p_partkey % 3 = 0 then '' else concat('Missing.', replace(p_name, ' ', '_')) end end, {}[(p_partkey + p_size) % 5 + 1]) as statement from part)".format(OPENINGS, BINDERS)
+#: The name of a declaration, read from its text.
+SHORT_NAME = r"regexp_extract(statement, '(?:theorem|lemma|def|instance|abbrev)\s+([^\s(\[:{]*)', 1)"
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(theorem, idx, tactic, before, after, premises): twenty parts in the order of their keys are a proof; a step starts from the state that the one before left, or from its own if that left none."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.array("p_brand").alias("premises"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import candidates as c
 from .functions import text as t
-from .operators import graph, loops, reports
+from .operators import graph, loops, reports, resolve
 from .plans import views as v
-from .queries import _DEG, _DEPTH, _EGO, _MDL, _NODES, _hub, _mdl, register
+from .queries import _DEG, _DEPTH, _EGO, _MDL, _NODES, ORACLES, _hub, _mdl, register
 from .sources import tables
 
 _NAMES = r"unnest(regexp_extract_all(tactic, '\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\b', 1))"
@@ -74,13 +74,6 @@ def _(s, d):
     return reports.nomatch_classes(_names(s, d).groupBy("name").agg(F.count("*").alias("n")), v.corpus(s, d))
 
 
-@register("v1_v2_candidate_diff", "with a as (select distinct seq as theorem, unnest(regexp_extract_all(tactic, '[A-Za-z_][A-Za-z0-9_'']*')) as name from v_tac), b as (select distinct seq as theorem, unnest(regexp_extract_all(tactic, '[A-Za-z_][A-Za-z0-9_.]*')) as name from v_tac) select theorem, name, 'first' as only_in from (select * from a except select * from b) union all select theorem, name, 'second' from (select * from b except select * from a)", v.TACTICS)
-def _(s, d):
-    """Undotted identifiers as the first version of candidates, dotted ones as the second."""
-    got = lambda p: v.tactics(s, d).select(F.col("seq").alias("theorem"), F.explode(F.regexp_extract_all("tactic", F.lit(p), F.lit(0))).alias("name"))
-    return reports.candidate_diff(got("[A-Za-z_][A-Za-z0-9_']*"), got("[A-Za-z_][A-Za-z0-9_.]*"))
-
-
 @register("unresolved_examples", "select name, min(theorem) as theorem from v_conf where confidence = 0 group by 1 order by name limit 10", v.PREMISES, _CONF)
 def _(s, d):
     return reports.unresolved_examples(_confidences(s, d))
@@ -131,10 +124,9 @@ def _(s, d):
     return rows.select("theorem", t.quality_flags(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("c")).alias("q")).select("theorem", "q.*")
 
 
-@register("match_rate_sample", "with s as (select p_partkey, p_size from part order by md5(concat(p_partkey, '#7')), p_partkey limit 100) select count(*) as n, round(100.0 * count(*) filter (p_size < 25) / count(*), 4) as percent from s")
+@register("match_rate_sample", f"with sm as materialized (select {v.SHORT_NAME} as name from v_stmt order by md5(concat(seq, '#42')), seq limit 1000), k as materialized (select distinct full_name from v_corpus), j as (select name, name <> '' and exists (select 1 from k where full_name = name or ends_with(full_name, '.' || name)) as hit from sm), f as (select name, count(*) as n from j where not hit group by 1) select case when hit then 'matched' else 'failed' end as measure, null as name, count(*) as n, round(100.0 * count(*) / (select count(*) from j), 4) as percent from j group by hit union all (select 'failed_name', name, n, round(100.0 * n / (select sum(n) from f), 4) from f order by n desc, name limit 10)", v.STATEMENTS, v.CORPUS)
 def _(s, d):
-    rows = v.table(s, d, "part").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("#7"))), "p_partkey").limit(100)
-    return rows.agg(F.count("*").alias("n"), F.round(100 * F.count_if(F.col("p_size") < 25) / F.count("*"), 4).alias("percent"))
+    return resolve.match_rate(v.statements(s, d).withColumnRenamed("seq", "id"), v.corpus(s, d))
 
 
 @register("mismatch_annotated", "select seq, tactic from v_tac where tactic <> replace(tactic, 'rw [', 'rw [<a>')", v.TACTICS)
@@ -201,6 +193,23 @@ def _(s, d):
     return reports.proof_candidates(_blocks(s, d), known)
 
 
+#: Heads and projections of a second line that cites the part's full name.
+_ENDS = [["exact ", "apply ", "refine "], [".symm h", ".mp", " h", ".trans x", ".missing y"]]
+_LONGER = v.TACTICS.replace("' using ', p_name)", "' using ', p_name, chr(10), {}[p_partkey % 3 + 1], replace(concat(p_brand, '.', replace(p_type, ' ', '_'), '.', replace(p_name, ' ', '_')), '#', ''), {}[p_size % 5 + 1])".format(*_ENDS))
+_DIFF = [ORACLES[n].replace(v.TACTICS, _LONGER) for n in ("proof_candidates", "proof_candidates_peeled")]
+
+
+@register("v1_v2_candidate_diff", f"with a as (select distinct proof as theorem, candidate as name from ({_DIFF[0]})), b as (select distinct proof as theorem, candidate as name from ({_DIFF[1]})) select theorem, name, 'first' as only_in from (select * from a except select * from b) union all select theorem, name, 'second' from (select * from b except select * from a)")
+def _(s, d):
+    """Candidates as they stand in the blocks beside those peeled to known names, of tactics with a second line that cites a projection of a name."""
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    last = v.corpus(s, d).join(v.table(s, d, "part"), F.col("seq") == F.col("p_partkey")).select(F.col("seq").alias("block"), F.concat(pick(_ENDS[0], F.col("seq")), F.translate("full_name", " #", "_"), pick(_ENDS[1], F.col("p_size"))).alias("last"))
+    blocks = _blocks(s, d).join(last, "block").withColumn("text", F.concat_ws("\n", "text", "last")).drop("last")
+    known = v.corpus(s, d).withColumn("full_name", F.translate("full_name", " #", "_"))
+    first, second = (reports.proof_candidates(blocks, c).select(F.col("proof").alias("theorem"), F.col("candidate").alias("name")) for c in (None, known))
+    return reports.candidate_diff(first, second)
+
+
 _CLASSES = "v_id as (select distinct seq, name from (select seq, unnest(" + _found("apply cases exact have induction obtain rcases refine rw simp simp_rw simpa suffices use", ", regexp_extract_all(x, '\\b([A-Za-z_][A-Za-z0-9_'']*)\\b', 1)") + ") as name from (select seq, tactic as x from v_tac)) where not regexp_matches(name, '^[0-9._'']*$'))"
 _CLASS = "case when name in ('{}') then 'keywords_modifiers' when regexp_matches(name, '^[A-Z]$') then 'type_variables' when name in ('{}') then 'namespaces' when contains(name, '.') and (split_part(name, '.', 1) in ('assoc', 'comm', 'fst', 'inl', 'inr', 'refl', 'snd', 'symm', 'this', 'trans') or regexp_matches(split_part(name, '.', 1), '^([A-Za-z]|[a-z][0-9]+|h[a-z]+[0-9]*)$')) then 'local_var_access' when regexp_matches(name, '^([a-z][0-9]*|h[a-z]+[0-9]*|h[A-Z][a-z]*)$') or name = 'this' then 'local_hypotheses' when name in ('{}') then 'type_class_annotations' when (contains(name, '.') and regexp_matches(name, '^[A-Z]')) or (contains(name, '_') and name[1] <> '_') then 'global_lemmas' else 'other' end".format("', '".join(x.replace("'", "''") for x in c.KEYWORDS + c.PROJECTIONS + c.CONSTRUCTORS), "', '".join(c.NAMESPACES), "', '".join(c.TYPE_CLASSES))
 

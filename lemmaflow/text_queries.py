@@ -104,9 +104,9 @@ def _(s, d):
     return v.corpus(s, d).select("seq", t.slug(F.col("full_name")).alias("slug"))
 
 
-@register("theorem_short_name", "select seq, split_part(full_name, ' ', 1) as short_name from v_corpus", v.CORPUS)
+@register("theorem_short_name", f"select seq, {v.SHORT_NAME} as short_name from v_stmt", v.STATEMENTS)
 def _(s, d):
-    return v.corpus(s, d).select("seq", t.short_name(F.concat(F.lit("@[simp] protected theorem "), "full_name", F.lit(" (x : Nat) : x = x"))).alias("short_name"))
+    return v.statements(s, d).select("seq", t.short_name(F.col("statement")).alias("short_name"))
 
 
 @register("strip_comments", r"select doc_id, md5(regexp_replace(regexp_replace(concat('/- head', chr(10), '-/', text, '-- tail'), '(?s)/-.*?-/', '', 'g'), '--[^\n]*', '', 'g')) as code_md5 from documents where text is not null")
@@ -256,10 +256,7 @@ def _(s, d):
 
 @register("suffix_theorem_match", "select ref_id, arg_min(full_name, seq) as full_name from v_ref join nm on full_name = surface or ends_with(full_name, '.' || surface) group by 1", v.CORPUS, _REFS)
 def _(s, d):
-    names = resolve.first_seen(v.corpus(s, d))
-    parts = F.split("full_name", "[.]")
-    tails = names.select("full_name", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 100), "."))).alias("surface"))
-    return _refs(s, d).join(tails, "surface").groupBy("ref_id").agg(F.min(F.struct("seq", "full_name"))["full_name"].alias("full_name"))
+    return resolve.suffix_match(_refs(s, d), v.corpus(s, d))
 
 
 

@@ -71,3 +71,15 @@ def test_tree_metrics(spark, small):
     got = {x.theorem: tuple(x[c] for c in names) for x in proof.tree_metrics(e, small).collect()}
     assert got == {t: shape(p) for t, p in proofs.items()}
     assert proof.tree_metrics(e.limit(0), small).count() == 0
+
+
+def test_match_rate(spark):
+    corpus = spark.createDataFrame([(0, "A.b.c"), (1, "c"), (2, "D.c"), (3, "e")], "seq int, full_name string")
+    texts = ["theorem c : P", "lemma b.c (x) : P", "private theorem A.b.c{x}", "def x : P", "def x(y)", "@[simp] lemma y := z", " : P", "", None, "theorem A.b : P"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, statement string")
+    got = {(r.measure, r.name): (r.n, r.percent) for r in resolve.match_rate(rows, corpus, k=2).collect()}
+    assert got == {("matched", None): (3, 30.0), ("failed", None): (7, 70.0), ("failed_name", ""): (3, 42.8571), ("failed_name", "x"): (2, 28.5714)}
+    assert sum(r.n for r in resolve.match_rate(rows, corpus, n=4).collect() if r.name is None) == 4
+    assert resolve.match_rate(rows.limit(0), corpus).count() == 0
+    refs = spark.createDataFrame([(1, "c"), (2, "b.c"), (3, "b"), (4, "A.b.c")], "ref_id int, surface string")
+    assert {tuple(r) for r in resolve.suffix_match(refs, corpus).collect()} == {(1, "A.b.c"), (2, "A.b.c"), (4, "A.b.c")}
