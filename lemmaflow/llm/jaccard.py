@@ -138,8 +138,9 @@ def _differences(groups: DataFrame, pivots: DataFrame, segments: DataFrame, heav
     return out.select("pivot", "doc_id", *cols, "overlap", F.concat(F.flatten("parts.more"), F.flatten("parts.less")).alias("elements"))
 
 
-def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def link_rounds(rows: DataFrame, segments: DataFrame, percent: int, near: DataFrame | None = None) -> DataFrame:
     """``(id, component)`` of all documents that link, of those that meet in the buckets ``rows(key, doc_id, label, n, s, x, xs, pos, own)``.
+    ``near(key, pivot)``, if given, names the pivots of the first round, which needn't be in their buckets.
 
     A document is seen as a set X of x elements, of which xs are shared with others: at first all its n-grams, later those that differ from a pivot. Two documents differ in as many
     elements as their X do, so they link if |X1 ^ X2| is at most (100 - p) / (100 + p) of n1 + n2. With f = (100 + p) x - (100 - p) n that means: X1 and X2
@@ -155,7 +156,10 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int) -> DataFrame
         span = [F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("f").alias("least_f"), F.max("most").alias("most_f")]
         # Pivots are the documents of the least ``own`` (n-grams of their own): originals rather than their edited copies.
         central = F.min(F.struct("own", "doc_id", "n", "s")).alias("pivot")
-        keys = materialize(rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f"), "keys")
+        keys = rows.groupBy("key").agg(*span, central).filter("lo < hi and least_f <= most_f")
+        if near is not None and stored is None:
+            keys = keys.drop("pivot").join(near, "key")
+        keys = materialize(keys, "keys")
         # Listing larger buckets saves rounds. It stays within the pairs of a first round whose buckets are all of SMALL_BUCKET; each round takes a pivot from each larger one anyway.
         if budget is None:
             budget = SMALL_BUCKET * (keys.agg(F.sum("m")).first()[0] or 0)

@@ -8,7 +8,8 @@ Documents are sets of word n-grams, kept as 64-bit hashes. Those whose sets have
 3. A band is the least, or the largest, values of ``WIDTH`` permutations; two documents that agree in a band meet in its bucket. With 64 permutations and bands of 4 there are 32 bands:
    a pair of similarity 0.8 meets nowhere with probability (1 - 0.8^4)^32 = 5e-8, one of 0.85 with 1e-10.
 4. Of buckets with the same documents one stands for all. Links are confirmed on full sets: small buckets are compared by their pairs; in a large one all are compared with one document,
-   the pivot, and by their differences from it, whose prefix rule loses no link between different components (``jaccard.link_rounds``).
+   the pivot, and by their differences from it, whose prefix rule loses no link between different components (``jaccard.link_rounds``). A pivot needn't be in the bucket: edited
+   copies also meet in bands that their original isn't in, and all buckets of such a group take the original, so each copy is compared with it once (``near_pivots``).
 
 Edge cases: a text that is null or has no words gives an empty set, linked with nothing; a text with fewer words than n is one n-gram. Rows with a null doc_id come
 back with a null component, link nothing and are kept. Repeated rows are one class. An id that comes with several texts is one document whose rows keep
@@ -99,6 +100,18 @@ def buckets(prints: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
+def near_pivots(rows: DataFrame) -> DataFrame:
+    """``(key, pivot)``: of the documents that meet a member of the bucket anywhere, the one that meets the most.
+
+    ``rows(key, doc_id, n, s, own)``; two aggregations with partial sums on either side of one join on the key, so neither a hot bucket nor a document in many is one task's rows."""
+    central = materialize(rows.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n", "s")).alias("pivot")), "central")
+    best = materialize(rows.select("key", "doc_id").join(central, "key").groupBy("doc_id").agg(F.min("pivot").alias("pivot")), "best")
+    out = materialize(rows.select("key", "doc_id").join(best, "doc_id").groupBy("key").agg(F.min("pivot").alias("pivot")), "near-pivots")
+    for table in (central, best):
+        drop_table(table)
+    return out
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, n, grams)``, grams in the order of the hashes."""
 
@@ -123,8 +136,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     whole = ["doc_id", F.col("doc_id").alias("label"), "n", F.col("n").alias("s"), F.col("n").alias("x"), F.col("n").alias("xs"), F.lit(0).alias("pos"), (-F.col("hits")).alias("own")]
     known = sets.select("doc_id", "n").join(hits, "doc_id").select(*whole)
     first = materialize(met.select("key", "doc_id").join(known, "doc_id").select("key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own"), "buckets")
-    linked = jaccard.link_rounds(first, sets.select("doc_id", F.lit(0).alias("fragment"), "grams"), percent)
-    for table in (met, hits, sets, first):
+    near = near_pivots(first)
+    linked = jaccard.link_rounds(first, sets.select("doc_id", F.lit(0).alias("fragment"), "grams"), percent, near)
+    for table in (met, hits, sets, first, near):
         drop_table(table)
     out = jaccard.labelled(prints, classes, linked)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
