@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import report_queries  # noqa: F401  (feat_mixture is a block of the dataset)
-from .operators import features, loops, models
+from .operators import features, loops, models, reach
 from .plans import views as v
 from .plans.durable import materialize
 from .queries import _DEG, _DEPTH, _NODES, ORACLES, QUERIES, register
@@ -86,7 +86,7 @@ def _modules(s, d):
 @register("feature_dataset")
 def _(s, d):
     e, depth, t = _targets(s, d)
-    return features.dataset(e, depth, t, materialize(loops.closure(e), "reach"), _modules(s, d))
+    return features.dataset(e, depth, t, _modules(s, d))
 
 
 #: What may be known of a node at its own depth; children (k1, k2) are not.
@@ -164,15 +164,16 @@ _REACH = "reach as (select src as start, dst as id from v_edges union select sta
 
 @register("feat_parent_reach", "with n as (select e.dst, e.src, count(*) filter (b.depth < a.depth) as n from v_edges e join dp a on a.id = e.dst left join reach r on r.start = e.src left join dp b on b.id = r.id group by all) select dst as id, round(avg(n), 6) as mean_parent_reach, max(n) as max_parent_reach from n group by 1", v.EDGES, _NODES, _DEPTH, _REACH)
 def _(s, d):
-    e = materialize(v.edges(s, d), "edges")
-    return features.parent_reach(e, materialize(loops.kahn_rounds(e), "depth"), loops.closure(e))
+    e, depth = _graph(s, d)
+    return features.parent_reach(e, depth, reach.descendants(e, reach.places(depth)))
 
 
 @register("feat_parent_diversity", "with up as (select start as x, id as p, 0 as own from reach union all select distinct src, src, 1 from v_edges), l as (select e.dst as id, e.src as p, x, own from v_edges e join up on up.p = e.src), sz as (select id as p, count(*) as n from reach group by 1), pr as (select a.dst as id, a.src as p, b.src as q, coalesce(x.n, 0) as np, coalesce(y.n, 0) as nq from v_edges a join v_edges b on a.dst = b.dst and a.src < b.src left join sz x on x.p = a.src left join sz y on y.p = b.src), sh as (select a.id, a.p, b.p as q, count(*) filter (a.own = 0 and b.own = 0) as c, max(depth) as deep from l a join l b on a.id = b.id and a.x = b.x and a.p < b.p join dp on dp.id = a.x group by all), t as (select pr.id, case when np + nq - coalesce(c, 0) > 0 then coalesce(c, 0) / (np + nq - coalesce(c, 0)) else 0 end as j, coalesce(deep, 0) as deep from pr left join sh using (id, p, q)), g as (select id, avg(j) as j, avg(deep) as d, max(deep) as m from t group by 1) select distinct dst as id, round(1 - coalesce(j, 0), 6) as parent_diversity, round(coalesce(d, 0), 6) as mean_lca_depth, coalesce(m, 0) as max_lca_depth from v_edges left join g on g.id = dst", v.EDGES, _NODES, _DEPTH, _REACH)
 def _(s, d):
     """Diversity of the parents and depth of their last common ancestors, which come from the same pairs."""
-    e = materialize(v.edges(s, d), "edges")
-    return features.parent_pairs(e, materialize(loops.kahn_rounds(e), "depth"), materialize(loops.closure(e), "reach"))
+    e, depth = _graph(s, d)
+    place = materialize(reach.places(depth), "places")
+    return features.parent_pairs(e, reach.ancestors(e, depth, place), place)
 
 
 _MASKED = "od as (select src, count(*) as k, count(*) filter (y.depth = x.depth + 1) as nx from v_edges join dp x on x.id = src join dp y on y.id = dst group by 1), rn as (select start, count(*) as n from reach group by 1), hi as (select e.dst as v, e.src as p, count(*) as h from v_edges e join v_edges c on c.src = e.src join reach r on r.start = e.dst and r.id = c.dst group by all), pv as (select e.dst as v, k - 1 - coalesce(h, 0) as o, nx - case when a.depth = b.depth + 1 then 1 else 0 end as b, rp.n - coalesce(rv.n, 0) - 1 as n from v_edges e join od on od.src = e.src join dp a on a.id = e.dst join dp b on b.id = e.src join rn rp on rp.start = e.src left join rn rv on rv.start = e.dst left join hi on hi.v = e.dst and hi.p = e.src), pm as (select v, sum(o) as os, max(o) as om, max(b) as bm, round(avg(n), 6) as na, max(n) as nm from pv group by 1), le as (select start, count(*) as l from reach join v_edges on dst = reach.id group by 1)"
@@ -182,7 +183,8 @@ _MASKED = "od as (select src, count(*) as k, count(*) filter (y.depth = x.depth
 def _(s, d):
     """What the mask changes; the other features of the masked set (depth, degrees and depths of parents, diversity, ancestors, two steps up, modules) lie above the node and stay as in feature_dataset."""
     e, depth = _graph(s, d)
-    return features.masked(e, depth, materialize(loops.closure(e), "reach"))
+    place = materialize(reach.places(depth), "places")
+    return features.masked(e, depth, reach.descendants(e, place), place)
 
 
 _LOW = "lo as (select src, dst from v_edges join dp on dp.id = dst where depth < 2), cb as (select src as a, dst as b from lo union select dst, src from lo), cc as (select a, b from cb union select cc.a, cb.b from cc join cb on cb.a = cc.b), cm as materialized (select a as id, least(a, min(b)) as c from cc group by 1)"

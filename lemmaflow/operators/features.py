@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import materialize
 from .components import connected_components
 from .graph import degrees, nodes
+from .reach import ancestors, bit_planes, descendants, places, sizes
 from .reports import mixture
 from .stats import rounded
 
@@ -114,56 +115,61 @@ def cooccurrence(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return depth.select("id").join(out, "id", "left").na.fill(0)
 
 
-def parent_reach(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
-    """``reach(start, id)`` of all nodes -> ``(id, mean_parent_reach, max_parent_reach)``: descendants of the parents among the nodes of a lower depth than the node's own. Counted by depth, then summed up."""
-    by_depth = reach.join(depth, "id").groupBy(F.col("start").alias("src"), F.col("depth").alias("at")).agg(F.count("*").alias("n"))
+def parent_reach(edges: DataFrame, depth: DataFrame, below: DataFrame) -> DataFrame:
+    """``below``, the bits of all descendants (``reach.descendants``) -> ``(id, mean_parent_reach, max_parent_reach)``: descendants of the parents among the nodes of a lower depth than the node's own. Counted by depth, then summed up."""
+    by_depth = below.groupBy(F.col("id").alias("src"), "at").agg(F.sum(F.bit_count("bits")).alias("n"))
     pairs = edges.join(depth.select(F.col("id").alias("dst"), "depth"), "dst")
     own = pairs.join(by_depth, "src", "left").groupBy("dst", "src").agg(F.coalesce(F.sum(F.when(F.col("at") < F.col("depth"), F.col("n"))), F.lit(0)).alias("n"))
     return own.groupBy(F.col("dst").alias("id")).agg(F.round(F.avg("n"), 6).alias("mean_parent_reach"), F.max("n").alias("max_parent_reach"))
 
 
-def _shared_ancestors(edges: DataFrame, reach: DataFrame, depth: DataFrame) -> DataFrame:
-    """``(id, p, q, both, deepest)`` of each pair of parents with common ancestors (a parent counts as its own in ``deepest`` alone)."""
-    up = reach.select(F.col("start").alias("x"), F.col("id").alias("src")).withColumn("own", F.lit(0))
-    up = up.union(edges.select("src").distinct().select(F.col("src").alias("x"), "src", F.lit(1)))
-    lines = edges.join(up, "src").select("dst", "src", "x", "own")
-    a, b = lines.toDF("id", "p", "x", "oa"), lines.toDF("id", "q", "x", "ob")
-    pairs = a.join(b, ["id", "x"]).filter("p < q").join(depth.select(F.col("id").alias("x"), "depth"), "x")
-    return pairs.groupBy("id", "p", "q").agg(F.count_if((F.col("oa") == 0) & (F.col("ob") == 0)).alias("both"), F.max("depth").alias("deepest"))
+def _shared_ancestors(pairs: DataFrame, above: DataFrame, place: DataFrame) -> DataFrame:
+    """``pairs(p, q)`` -> ``(p, q, both, deepest)`` of those with common ancestors (a node counts as its own in ``deepest`` alone). Words of two sets meet, not their members."""
+    # A node's own bit is in no word of its ancestors, which are of lower depths.
+    words = above.select("id", "at", "word", "bits", F.lit(0).cast("long").alias("own")).union(place.select("id", "at", "word", F.lit(0).cast("long"), "bit"))
+    side = lambda x: words.select(F.col("id").alias(x), "at", "word", F.col("bits").alias(f"{x}_bits"), F.col("own").alias(f"{x}_own"))
+    met = pairs.join(side("p"), "p").join(side("q"), ["q", "at", "word"])
+    both = F.bit_count(F.col("p_bits").bitwiseAND(F.col("q_bits")))
+    near = F.col("p_bits").bitwiseOR(F.col("p_own")).bitwiseAND(F.col("q_bits").bitwiseOR(F.col("q_own"))) != 0
+    return met.groupBy("p", "q").agg(F.sum(both).alias("both"), F.max(F.when(near, F.col("at"))).alias("deepest"))
 
 
-def parent_pairs(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
+def parent_pairs(edges: DataFrame, above: DataFrame, place: DataFrame) -> DataFrame:
     """``(id, parent_diversity, mean_lca_depth, max_lca_depth)``: 1 - mean Jaccard of the ancestors of two parents (1 with fewer than two), and the depth of the deepest
-    ancestor two parents share (themselves included; 0 without one)."""
+    ancestor two parents share (themselves included; 0 without one). ``above`` are the bits of all ancestors; a pair of parents is compared once, however many nodes have both."""
     n = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
-    ancestors = reach.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"))
-    size = lambda x: ancestors.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"))
-    pairs = _shared_ancestors(edges, reach, depth).join(size("p"), "p", "left").join(size("q"), "q", "left").na.fill(0, ["np", "nq"])
+    size = lambda x: sizes(above, f"n{x}").withColumnRenamed("id", x)
+    parents = edges.select(F.col("dst").alias("id"), F.col("src").alias("p"))
+    two = materialize(parents.join(parents.withColumnRenamed("p", "q"), "id").filter("p < q"), "parent-pairs")
+    met = _shared_ancestors(two.select("p", "q").distinct(), above, place)
+    pairs = two.join(met, ["p", "q"]).join(size("p"), "p", "left").join(size("q"), "q", "left").na.fill(0, ["np", "nq"])
     union = F.col("np") + F.col("nq") - F.col("both")
     sums = pairs.groupBy("id").agg(F.sum(F.when(union > 0, F.col("both") / union).otherwise(0.0)).alias("j"), F.sum("deepest").alias("d"), F.max("deepest").alias("m"))
     out = n.join(sums, "id", "left").na.fill(0, ["j", "d", "m"]).withColumn("pairs", F.greatest(F.col("k") * (F.col("k") - 1) / 2, F.lit(1)))
     return out.select("id", F.round(1 - F.col("j") / F.col("pairs"), 6).alias("parent_diversity"), F.round(F.col("d") / F.col("pairs"), 6).alias("mean_lca_depth"), F.col("m").alias("max_lca_depth"))
 
 
-def masked(edges: DataFrame, depth: DataFrame, reach: DataFrame) -> DataFrame:
+def masked(edges: DataFrame, depth: DataFrame, below: DataFrame, place: DataFrame) -> DataFrame:
     """Per node v, of the graph without v's descendants: how many go, how many edges stay, and what is left of its parents' children (sum, maximum), of those one deeper than
-    the parent (maximum), and of their descendants (mean, maximum); v itself never counts.
+    the parent (maximum), and of their descendants (mean, maximum); v itself never counts. ``below`` are the bits of all descendants.
 
     A parent reaches all that v reaches, so descendants are a difference of counts; and a child one deeper than the parent is never below v, so that number is one too."""
-    gone = reach.groupBy(F.col("start").alias("id")).agg(F.count("*").alias("n_masked"))
-    # An edge goes if either end does; an edge out of a descendant ends in one, so those into descendants are all.
-    hit = reach.select(F.col("start").alias("id"), F.col("id").alias("dst")).join(edges, "dst")
-    lost = hit.groupBy("id").agg(F.count("*").alias("lost"))
-    ends = nodes(edges)
+    gone = materialize(sizes(below, "n_masked"), "masked")
+    # An edge goes if either end does; an edge out of a descendant ends in one, so those into descendants are all: the sum of their in-degrees, by bit planes.
+    planes = bit_planes(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), place)
+    lost = below.join(planes, ["at", "word"]).groupBy("id").agg(F.sum(F.expr("shiftleft(cast(bit_count(bits & mask) as bigint), plane)")).alias("lost"))
     total = edges.agg(F.count("*").alias("total"))  # one row
-    hidden = hit.groupBy("id", "src").agg(F.count("*").alias("hidden"))
     kids = edges.join(depth.select(F.col("id").alias("src"), F.col("depth").alias("dp")), "src").join(depth.select(F.col("id").alias("dst"), F.col("depth").alias("d")), "dst")
     own = kids.groupBy("src").agg(F.count("*").alias("k"), F.count_if(F.col("d") == F.col("dp") + 1).alias("next"))
+    # Children of a parent of v that lie below v: words of the children's bits meet those of v's descendants.
+    children = edges.join(place.withColumnRenamed("id", "dst"), "dst").groupBy("src", "at", "word").agg(F.bit_or("bit").alias("mask"))
+    met = edges.select("src", F.col("dst").alias("id")).join(children, "src").join(below, ["id", "at", "word"])
+    hidden = met.groupBy("id", "src").agg(F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("bits")))).alias("hidden"))
     reached = gone.withColumnRenamed("n_masked", "reached").withColumnRenamed("id", "src")
     rows = kids.withColumnRenamed("dst", "id").join(own, "src").join(reached, "src").join(gone, "id", "left").join(hidden, ["id", "src"], "left").na.fill(0, ["n_masked", "hidden"])
     rows = rows.select("id", (F.col("k") - 1 - F.col("hidden")).alias("o"), (F.col("next") - (F.col("d") == F.col("dp") + 1).cast("int")).alias("b"), (F.col("reached") - F.col("n_masked") - 1).alias("n"))
     seen = rows.groupBy("id").agg(F.sum("o").alias("masked_outdeg_sum"), F.max("o").alias("masked_outdeg_max"), F.max("b").alias("masked_beta_max"), rounded(F.avg("n")).alias("masked_reach_mean"), F.max("n").alias("masked_reach_max"))
-    out = ends.join(gone, "id", "left").join(lost, "id", "left").join(seen, "id", "left").na.fill(0).crossJoin(F.broadcast(total))
+    out = nodes(edges).join(gone, "id", "left").join(lost, "id", "left").join(seen, "id", "left").na.fill(0).crossJoin(F.broadcast(total))
     return out.select("id", "n_masked", (F.col("total") - F.col("lost")).alias("n_seen_edges"), *seen.columns[1:])
 
 
@@ -176,13 +182,14 @@ def parent_components(edges: DataFrame, depth: DataFrame, d: int) -> DataFrame:
     return mixture(parents, "component")
 
 
-def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame, reach: DataFrame, modules: DataFrame) -> DataFrame:
-    """A row per node: depth, all feature blocks seen from its own depth, and the targets. ``reach(start, id)`` is the closure, ``modules(id, module)`` the module of each node."""
+def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame, modules: DataFrame) -> DataFrame:
+    """A row per node: depth, all feature blocks seen from its own depth, and the targets. ``modules(id, module)`` is the module of each node. What nodes reach is kept as bits."""
+    place = materialize(places(depth), "places")
     ind = degrees(edges).select("id", F.col("in_degree").alias("indeg_seen"))
     out = depth.select("id", "depth").join(ind, "id", "left")
     mixed = mixture(edges.join(modules.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "module"), "module")
     blocks = [parent_degrees(edges, depth), survival_feature(edges, depth), upstream(edges), parentset_rarity(edges, depth), parentset_similarity(edges, depth), cooccurrence(edges, depth)]
-    blocks += [parent_reach(edges, depth, reach), parent_pairs(edges, depth, reach), mixed, peek(edges)]
+    blocks += [parent_reach(edges, depth, descendants(edges, place)), parent_pairs(edges, ancestors(edges, depth, place), place), mixed, peek(edges)]
     for block in blocks:
         out = out.join(materialize(block, "features"), "id", "left")  # a plan for each block instead of one of them all
     return out.na.fill(1.0, ["parent_diversity"]).na.fill(0).join(targets.select("id", "y1", "y2"), "id")

@@ -209,7 +209,7 @@ def test_loops_end_where_the_graph_does(spark):
 
 
 def test_features_of_ancestors(spark):
-    from lemmaflow.operators import features
+    from lemmaflow.operators import features, reach
 
     rng = random.Random(5)
     pairs = sorted({(a, b) for _ in range(60) for a, b in [sorted(rng.sample(range(25), 2))]})
@@ -220,8 +220,9 @@ def test_features_of_ancestors(spark):
         up[x] = set(ps).union(*(up[p] for p in ps)) if ps else set()
     depth = {r.id: r.depth for r in loops.kahn_rounds(e).collect()}
     d = spark.createDataFrame(list(depth.items()), "id long, depth long")
-    got = {r.id: r for r in features.parent_pairs(e, d, loops.closure(e)).collect()}
-    reach = {r.id: r for r in features.parent_reach(e, d, loops.closure(e)).collect()}
+    place = reach.places(loops.kahn_rounds(e))
+    got = {r.id: r for r in features.parent_pairs(e, reach.ancestors(e, loops.kahn_rounds(e), place), place).collect()}
+    reached = {r.id: r for r in features.parent_reach(e, d, reach.descendants(e, place)).collect()}
     for x in {b for _, b in pairs}:
         ps = [a for a, b in pairs if b == x]
         two = [(p, q) for p in ps for q in ps if p < q]
@@ -231,7 +232,7 @@ def test_features_of_ancestors(spark):
         assert abs(r.parent_diversity - (1 - sum(jaccard) / len(two) if two else 1)) < 1e-5
         assert abs(r.mean_lca_depth - (sum(deepest) / len(two) if two else 0)) < 1e-5 and r.max_lca_depth == max(deepest, default=0)
         below = [sum(p in up[y] and depth[y] < depth[x] for y in depth) for p in ps]
-        assert abs(reach[x].mean_parent_reach - sum(below) / len(below)) < 1e-5 and reach[x].max_parent_reach == max(below)
+        assert abs(reached[x].mean_parent_reach - sum(below) / len(below)) < 1e-5 and reached[x].max_parent_reach == max(below)
 
 
 def test_null_model_swaps_enough(spark):
