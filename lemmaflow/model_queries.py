@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import report_queries  # noqa: F401  (feat_mixture is a block of the dataset)
-from .operators import features, loops, models, reach
+from .operators import features, grid, loops, models, reach
 from .plans import views as v
 from .plans.durable import materialize
 from .queries import _DEG, _DEPTH, _NODES, ORACLES, QUERIES, register
@@ -207,6 +207,30 @@ def _(s, d):
     return s.createDataFrame([(n, float(w)) for n, w in zip(_FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double")  # a row for each feature
 
 
+#: What is known at a node's own depth, then its children, then its grandchildren too.
+_R0 = [f for f in _FEATURES if f != "depth"]
+_SETS = {"r0": _R0, "r1": [*_R0, "k1"], "r2": [*_R0, "k1", "k2"]}
+
+
+def _grids(s, d):
+    rows = _dataset(s, d)
+    return {t: grid.linear_grid(rows, _SETS, t, "depth", "id", log_target=t == "y1") for t in ("y1", "y2")}
+
+
+@register("model_grid")
+def _(s, d):
+    """Errors of a straight-line fit for each target, depth, feature set and seeded split."""
+    one, two = (g.select(F.lit(t).alias("target"), "*") for t, g in _grids(s, d).items())
+    return one.union(two)
+
+
+@register("split_stability_models")
+def _(s, d):
+    """The same over its ten splits."""
+    one, two = (grid.stability(g, "depth").select(F.lit(t).alias("target"), "*") for t, g in _grids(s, d).items())
+    return one.union(two)
+
+
 #: The dataset is the join of its blocks' own SQL.
 _BLOCKS = ["feat_parent_degrees", "feat_survival_rate", "feat_upstream", "feat_parentset_rarity", "feat_parentset_similarity", "feat_cooccurrence", "feat_parent_reach", "feat_parent_diversity", "feat_mixture", "feat_peek"]
 _COLUMNS = ", ".join(f"coalesce({c}, {int(c == 'parent_diversity')}) as {c}" for c in [*_FEATURES[2:], "k1", "k2"])
