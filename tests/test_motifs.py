@@ -49,6 +49,8 @@ def test_motifs_equal_plain_ones_without_a_table_a_round(spark, tmp_path):
     good = {r.pattern: (r.witnesses, r.good, r.collapsible) for r in motifs.collapsible(flow, c, w).collect()}
     assert good == {p: (n, g, n == g) for p in support for n in [support[p][1]] for g in [sum(q == p and x not in bad for x, q in found.items())]}
 
+    assert good == {r.pattern: (r.witnesses, r.good, r.collapsible) for r in motifs.collapsible_motifs(flow, named, 3, 1).collect()}
+
     def reason(t, m):
         if any(m.index(b) != m.index(a) + 1 for a, b in has[t] if a in m and b in m):
             return "missing_internal_edge"
