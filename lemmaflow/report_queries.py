@@ -15,8 +15,8 @@ _NAMES = r"unnest(regexp_extract_all(tactic, '\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Z
 _CONF = "v_conf as (select theorem, premise as name, case when premise in (select concat(p_brand, '.', p_type) from part where p_size < 25) then 1 else 0 end as confidence from v_prem)"
 
 
-def _names(s, d):
-    return v.tactics(s, d).select(F.col("seq").alias("theorem"), F.explode(F.regexp_extract_all("tactic", F.lit(t.IDENTIFIER), F.lit(1))).alias("name"))
+def _names(s, d, tactics=None):
+    return (v.tactics(s, d) if tactics is None else tactics).select(F.col("seq").alias("theorem"), F.explode(F.regexp_extract_all("tactic", F.lit(t.IDENTIFIER), F.lit(1))).alias("name"))
 
 
 def _confidences(s, d):
@@ -58,7 +58,8 @@ _DROP = "'{}'".format("', '".join(t.TACTIC_OR_HYPOTHESIS))
 
 @register("clean_rewrite", f"select theorem, count(*) filter (not gone) as n_refs, count(distinct name) filter (not gone) as n_names, count(*) filter (gone) as n_dropped from (select theorem, name, lower(split_part(name, '.', -1)) in ({_DROP}) as gone from (select seq as theorem, {_NAMES} as name from v_tac)) group by 1", v.TACTICS)
 def _(s, d):
-    return reports.clean_rewrite(_names(s, d))
+    # Tactics are shuffled before their names are listed: the grouping keeps that partitioning, and no task lists the names of a whole input file.
+    return reports.clean_rewrite(_names(s, d, v.tactics(s, d).repartition("seq")))
 
 
 @register("proof_lookup", "select p_partkey as name, case when p_partkey % 2 = 0 then p_type when p_partkey % 3 > 0 then p_brand end as statement, case when p_partkey % 2 = 0 then p_name end as proof, case when p_partkey % 2 = 0 then 'traced' when p_partkey % 3 > 0 then 'corpus' else 'none' end as source from part")
