@@ -178,8 +178,11 @@ def proof_candidates(blocks: DataFrame, corpus: DataFrame | None = None) -> Data
 
 
 def block_names(blocks: DataFrame) -> DataFrame:
-    """``blocks(proof, block, text)`` -> per proof and distinct trimmed text the sorted names of each class; blocks of the same text become one."""
-    rows = blocks.select("proof", t.strip(F.col("text")).alias("text"), F.explode(identifiers(F.col("text"))).alias("name")).distinct()
+    """``blocks(proof, block, text)`` -> per proof and distinct trimmed text the sorted names of each class; blocks of the same text become one.
+
+    Blocks are shuffled before their names are listed, so no task lists the names of a whole input file; both groupings keep that partitioning."""
+    placed = blocks.select("proof", t.strip(F.col("text")).alias("trimmed"), "text").repartition("proof", "trimmed")
+    rows = placed.select("proof", F.col("trimmed").alias("text"), F.explode(identifiers(F.col("text"))).alias("name")).distinct()
     return rows.groupBy("proof", "text", identifier_category(F.col("name")).alias("category")).agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("names"))
 
 
