@@ -193,6 +193,25 @@ def test_retrieval_goes_through_all_queries(spark):
     assert {(r.query_id, r.rank, r.id) for r in got} == want and len(got) == len(want) == 36
 
 
+def test_retrieval_keeps_ties_in_order(spark):
+    """Copies have equal scores to the last bit, so the smaller id comes first; candidates come from a matrix product in any case."""
+    rng = random.Random(9)
+    some = [[rng.uniform(-1, 1) for _ in range(33)] for _ in range(40)]
+    rows = [(i, some[i * 7 % 40]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    plan = models.top_k_retrieval(frame, frame.filter("vec_id % 100 = 0"), "vec_id", "embedding", 30)
+
+    def score(a, b):
+        out = 0.0
+        for x, y in zip(a, b, strict=True):
+            out += x * y
+        return out
+
+    want = {(q, r + 1, i) for q, x in rows if q % 100 == 0 for r, (_, i) in enumerate(sorted((-score(x, y), i) for i, y in rows if i != q)[:30])}
+    assert {(r.query_id, r.rank, r.id) for r in plan.collect()} == want
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+
+
 def test_all_edges_come_from_all_lines(spark, tmp_path):
     from lemmaflow.plans import views
 
