@@ -15,9 +15,13 @@ from .stats import rounded
 
 
 def _standard(rows: DataFrame, features: list[str]) -> DataFrame:
-    """``x``: the features as doubles less their mean over their deviation; nulls, NaN and constant features are 0."""
+    """``x``: the features as doubles less their mean over their deviation, for distinct rows with the number ``n`` of each; nulls, NaN and constant features are 0."""
     clean = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.col(c).cast("double")) for c in features]
-    scale = rows.agg(F.array(*map(F.avg, clean)).alias("mean"), F.array(*map(F.stddev_pop, clean)).alias("std"))  # one row
+    mean = rows.agg(F.array(*(F.sum(F.col("n") * c) / F.sum("n") for c in clean)).alias("mean"))  # one row
+    off = lambda i, c: c - F.element_at("mean", i + 1)
+    # A constant feature may be off its mean by rounding.
+    std = [F.when(F.min(c) < F.max(c), F.sqrt(F.sum(F.col("n") * off(i, c) * off(i, c)) / F.sum("n"))).otherwise(0.0) for i, c in enumerate(clean)]
+    scale = rows.crossJoin(F.broadcast(mean)).groupBy("mean").agg(F.array(*std).alias("std"))  # one row
     x = F.zip_with(F.zip_with(F.array(*clean), "mean", lambda a, m: a - m), "std", lambda a, s: F.when(s > 0, a / s).otherwise(0.0))
     return rows.crossJoin(F.broadcast(scale)).withColumn("x", x).drop("mean", "std")
 
@@ -29,26 +33,27 @@ def linear_grid(rows: DataFrame, sets: dict[str, list[str]], target: str, by: st
     predicted as a whole number of at least 0), and are measured on the test rows with a positive one. Rows belong to a split by a hash of ``key`` and the seed. Features that depend on each
     other share their weight (the solution of the least norm). Groups without training or test rows have no row; r2 and spearman are null where the truth is constant.
 
-    Products of columns are summed for each (by, seed), whatever the number of rows; what is broadcast has a row for each fit."""
+    Rows alike in group, features and target are taken once, with the number of them and of those in each split's test, as they have the same predictions. Products of columns are summed for each
+    (by, seed), whatever the number of rows; what is broadcast has a row for each fit."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     features = list(dict.fromkeys(f for names in sets.values() for f in names))
     width = len(features) + 2
     y = F.log1p(F.col(target).cast("double")) if log_target else F.col(target).cast("double")
-    tests = F.array(*(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < test_percent for seed in range(1, seeds + 1)))
+    tests = [F.count_if(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < test_percent).alias(f"test_{seed}") for seed in range(1, seeds + 1)]
     data = rows.filter(F.col(target) > 0).select(F.col(by).cast("long").alias(by), key, F.col(target).cast("double").alias("truth"), y.alias("y"), *features)
-    data = materialize(_standard(data, features).select(by, "truth", "y", "x", tests.alias("tests")), "grid")
+    data = materialize(data.groupBy(by, "truth", "y", *features).agg(F.count("*").alias("n"), *tests), "alike")
+    data = materialize(_standard(data, features).select(by, "truth", "y", "x", "n", F.array(*(f"test_{seed}" for seed in range(1, seeds + 1))).alias("tests")), "grid")
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for value, g in b.groupby(by):
                 z = np.column_stack([np.ones(len(g)), np.vstack(g["x"]), g["y"]])
-                in_test = np.vstack(g["tests"]).astype(bool)
-                parts = [z[~in_test[:, s]] for s in range(seeds)]
-                yield pd.DataFrame({by: value, "seed": range(1, seeds + 1), "sums": [(p.T @ p).ravel() for p in parts]})
+                in_train = g["n"].to_numpy()[:, None] - np.vstack(g["tests"])
+                yield pd.DataFrame({by: value, "seed": range(1, seeds + 1), "sums": [(z.T @ (z * in_train[:, [s]])).ravel() for s in range(seeds)]})
 
-    sums = data.select(by, "y", "x", "tests").mapInPandas(products, f"{by} long, seed int, sums array<double>")
+    sums = data.select(by, "y", "x", "n", "tests").mapInPandas(products, f"{by} long, seed int, sums array<double>")
     total = sums.groupBy(by, "seed").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,17 +68,21 @@ def linear_grid(rows: DataFrame, sets: dict[str, list[str]], target: str, by: st
                         yield pd.DataFrame({by: [value], "seed": [seed], "feature_set": [name], "w": [w]})
 
     fits = materialize(total.select(by, "seed", "sums").mapInPandas(solve, f"{by} long, seed int, feature_set string, w array<double>"), "fits")
-    test = data.select(by, "truth", "x", F.posexplode("tests").alias("seed", "tested")).filter("tested").withColumn("seed", F.col("seed") + 1)
+    test = data.select(by, "truth", "x", F.posexplode("tests").alias("seed", "n")).filter("n > 0").withColumn("seed", F.col("seed") + 1)
     raw = F.aggregate(F.zip_with(F.slice("w", 2, width), "x", lambda a, b: a * b), F.element_at("w", 1), lambda a, x: a + x)
     # expm1 of what a fit on few rows may say of a far row stays finite.
     value = F.expm1(F.least(raw, F.lit(700.0))) if log_target else F.greatest(F.round(raw), F.lit(0.0))
     fit = [by, "feature_set", "seed"]
-    scored = materialize(test.join(F.broadcast(fits), [by, "seed"]).select(*fit, "truth", value.alias("predicted")), "grid-scores")
+    scored = materialize(test.join(F.broadcast(fits), [by, "seed"]).groupBy(*fit, "truth", value.alias("predicted")).agg(F.sum("n").alias("n")), "grid-scores")
     err = F.col("truth") - F.col("predicted")
-    base = scored.groupBy(*fit).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.when(F.var_pop("truth") > 0, 1 - F.sum(err * err) / (F.count("*") * F.var_pop("truth"))).alias("r2"))
-    ranks = lambda c, r: _ranks_within(scored.groupBy(*fit, c).agg(F.count("*").alias("n")), fit, c).select(*fit, c, F.col("r").alias(r))
+    centre = scored.groupBy(*fit).agg((F.sum(F.col("n") * F.col("truth")) / F.sum("n")).alias("centre"))
+    off, n = F.col("truth") - F.col("centre"), F.sum("n")
+    base = scored.join(F.broadcast(centre), fit).groupBy(*fit).agg(n.alias("n"), (F.sum(F.col("n") * F.abs(err)) / n).alias("mae"), F.when(F.min("truth") < F.max("truth"), 1 - F.sum(F.col("n") * err * err) / F.sum(F.col("n") * off * off)).alias("r2"))
+    ranks = lambda c, r: _ranks_within(scored.groupBy(*fit, c).agg(F.sum("n").alias("n")), fit, c).select(*fit, c, (F.col("r") - (F.col("size") + 1) / 2).alias(r))
     both = scored.join(ranks("truth", "ra"), [*fit, "truth"]).join(ranks("predicted", "rb"), [*fit, "predicted"])
-    rho = both.groupBy(*fit).agg(F.when((F.var_pop("ra") > 0) & (F.var_pop("rb") > 0), F.covar_pop("ra", "rb") / F.stddev_pop("ra") / F.stddev_pop("rb")).alias("spearman"))
+    # Ranks less their mean.
+    product = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    rho = both.groupBy(*fit).agg(F.when((product("ra", "ra") > 0) & (product("rb", "rb") > 0), product("ra", "rb") / F.sqrt(product("ra", "ra")) / F.sqrt(product("rb", "rb"))).alias("spearman"))
     return base.join(rho, fit).select(*fit, "n", rounded("mae").alias("mae"), rounded("r2").alias("r2"), rounded("spearman").alias("spearman"))
 
 
