@@ -21,29 +21,30 @@ def _parents(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return edges.join(depth.select(F.col("id").alias("dst"), F.col("depth").alias("d")), "dst").join(depth.select(F.col("id").alias("src"), F.col("depth").alias("dp")), "src").select(F.col("dst").alias("v"), "d", F.col("src").alias("p"), "dp")
 
 
-def seen_out_degree(edges: DataFrame, depth: DataFrame) -> DataFrame:
+def seen_out_degree(edges: DataFrame, depth: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``(p, d, out_seen, beta)``: children of p of a depth below d, and those one deeper than p, for each depth d of a child of p.
 
     A running sum over the few depths at which p has children; no pair of children is formed."""
-    per = _parents(edges, depth).groupBy("p", "dp", "d").agg(F.count("*").alias("n"))
+    per = (_parents(edges, depth) if rows is None else rows).groupBy("p", "dp", "d").agg(F.count("*").alias("n"))
     before = Window.partitionBy("p").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     out = F.coalesce(F.sum("n").over(before), F.lit(0))
     beta = F.coalesce(F.sum(F.when(F.col("d") == F.col("dp") + 1, F.col("n")).otherwise(0)).over(before), F.lit(0))
     return per.select("p", "d", out.alias("out_seen"), beta.alias("beta"))
 
 
-def parent_degrees(edges: DataFrame, depth: DataFrame) -> DataFrame:
-    """Parent in-degrees, seen out-degrees, depths and betas per node."""
+def parent_degrees(edges: DataFrame, depth: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Parent in-degrees, seen out-degrees, depths and betas per node. ``rows``, here and below, are the parents (``_parents``), where they are stored."""
+    rows = _parents(edges, depth) if rows is None else rows
     ind = degrees(edges).select(F.col("id").alias("p"), "in_degree")
-    rows = _parents(edges, depth).join(seen_out_degree(edges, depth), ["p", "d"]).join(ind, "p")
+    rows = rows.join(seen_out_degree(edges, depth, rows), ["p", "d"]).join(ind, "p")
     agg = [rounded(F.avg(c)).alias(f"parent_{n}_mean") for c, n in (("in_degree", "indeg"), ("out_seen", "outdeg"), ("dp", "depth"), ("beta", "beta"))]
     agg += [F.max(c).alias(f"parent_{n}_max") for c, n in (("in_degree", "indeg"), ("out_seen", "outdeg"), ("dp", "depth"), ("beta", "beta"))]
     return rows.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("parent_count"), F.sum("out_seen").alias("parent_outdeg_sum"), *agg)
 
 
-def survival_rates(edges: DataFrame, depth: DataFrame) -> DataFrame:
+def survival_rates(edges: DataFrame, depth: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``(d, t, rate)``: of the nodes of depth t, the share with a child of a depth below d; for each d above t."""
-    first = _parents(edges, depth).groupBy(F.col("p").alias("id")).agg(F.min("d").alias("first_child"))
+    first = (_parents(edges, depth) if rows is None else rows).groupBy(F.col("p").alias("id")).agg(F.min("d").alias("first_child"))
     sizes = depth.groupBy(F.col("depth").alias("t")).agg(F.count("*").alias("n"))
     alive = depth.join(first, "id").groupBy(F.col("depth").alias("t"), "first_child").agg(F.count("*").alias("a"))
     frontier = depth.select(F.col("depth").alias("d")).distinct()
@@ -52,10 +53,11 @@ def survival_rates(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return pairs.groupBy("d", "t", "n").agg(F.coalesce(F.sum(F.when(F.col("first_child") < F.col("d"), F.col("a"))), F.lit(0)).alias("a")).select("d", "t", (F.col("a") / F.col("n")).alias("rate"))
 
 
-def survival_feature(edges: DataFrame, depth: DataFrame) -> DataFrame:
+def survival_feature(edges: DataFrame, depth: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Mean over v's parents of the survival rate of their depth, as seen from v's depth."""
-    rates = survival_rates(edges, depth).withColumnRenamed("t", "dp")
-    rows = _parents(edges, depth).join(F.broadcast(rates), ["d", "dp"])  # a row for each pair of depths
+    rows = _parents(edges, depth) if rows is None else rows
+    rates = survival_rates(edges, depth, rows).withColumnRenamed("t", "dp")
+    rows = rows.join(F.broadcast(rates), ["d", "dp"])  # a row for each pair of depths
     return rows.groupBy(F.col("v").alias("id")).agg(rounded(F.avg("rate")).alias("parent_survival_mean"))
 
 
@@ -92,9 +94,9 @@ def parentset_rarity(edges: DataFrame, depth: DataFrame) -> DataFrame:
     return per.join(earlier, ["key", "depth"]).select("id", "rarity")
 
 
-def parentset_similarity(edges: DataFrame, depth: DataFrame, k: int = 25) -> DataFrame:
+def parentset_similarity(edges: DataFrame, depth: DataFrame, k: int = 25, rows: DataFrame | None = None) -> DataFrame:
     """Mean and maximum of the k greatest Jaccard similarities of v's parents with those of shallower nodes that share one."""
-    rows = _parents(edges, depth)
+    rows = _parents(edges, depth) if rows is None else rows
     shared = rows.select("v", "d", "p").join(rows.select(F.col("v").alias("w"), F.col("d").alias("dw"), "p"), "p").filter("dw < d").groupBy("v", "w").agg(F.count("*").alias("s"))
     ind = degrees(edges).select("id", "in_degree")
     jac = shared.join(ind.select(F.col("id").alias("v"), F.col("in_degree").alias("nv")), "v").join(ind.select(F.col("id").alias("w"), F.col("in_degree").alias("nw")), "w")
@@ -104,9 +106,9 @@ def parentset_similarity(edges: DataFrame, depth: DataFrame, k: int = 25) -> Dat
     return depth.select("id").join(out, "id", "left").na.fill(0.0)
 
 
-def cooccurrence(edges: DataFrame, depth: DataFrame) -> DataFrame:
+def cooccurrence(edges: DataFrame, depth: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Per node, over pairs of its parents: how many shallower nodes have both as parents."""
-    rows = _parents(edges, depth)
+    rows = _parents(edges, depth) if rows is None else rows
     pairs = rows.select("v", "d", F.col("p").alias("a")).join(rows.select("v", F.col("p").alias("b")), "v").filter("a < b")
     per = pairs.groupBy("a", "b", "d").agg(F.count("*").alias("n"))
     before = Window.partitionBy("a", "b").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
@@ -182,14 +184,16 @@ def parent_components(edges: DataFrame, depth: DataFrame, d: int) -> DataFrame:
     return mixture(parents, "component")
 
 
-def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame, modules: DataFrame) -> DataFrame:
-    """A row per node: depth, all feature blocks seen from its own depth, and the targets. ``modules(id, module)`` is the module of each node. What nodes reach is kept as bits."""
+def dataset(edges: DataFrame, depth: DataFrame, targets: DataFrame, modules: DataFrame, height: DataFrame | None = None) -> DataFrame:
+    """A row per node: depth, all feature blocks seen from its own depth, and the targets. ``modules(id, module)`` is the module of each node, ``height(id, depth)`` the Kahn rounds of the
+    reversed edges, where they are known. What nodes reach is kept as bits; parents with their depths are stored once for the blocks that start from them."""
     place = materialize(places(depth), "places")
+    rows = materialize(_parents(edges, depth), "parents")
     ind = degrees(edges).select("id", F.col("in_degree").alias("indeg_seen"))
     out = depth.select("id", "depth").join(ind, "id", "left")
     mixed = mixture(edges.join(modules.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "module"), "module")
-    blocks = [parent_degrees(edges, depth), survival_feature(edges, depth), upstream(edges), parentset_rarity(edges, depth), parentset_similarity(edges, depth), cooccurrence(edges, depth)]
-    blocks += [parent_reach(edges, depth, descendants(edges, place)), parent_pairs(edges, ancestors(edges, depth, place), place), mixed, peek(edges)]
+    blocks = [parent_degrees(edges, depth, rows), survival_feature(edges, depth, rows), upstream(edges), parentset_rarity(edges, depth), parentset_similarity(edges, depth, rows=rows), cooccurrence(edges, depth, rows)]
+    blocks += [parent_reach(edges, depth, descendants(edges, place, height)), parent_pairs(edges, ancestors(edges, depth, place), place), mixed, peek(edges)]
     for block in blocks:
         out = out.join(materialize(block, "features"), "id", "left")  # a plan for each block instead of one of them all
     return out.na.fill(1.0, ["parent_diversity"]).na.fill(0).join(targets.select("id", "y1", "y2"), "id")

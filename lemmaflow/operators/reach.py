@@ -55,13 +55,14 @@ def ancestors(edges: DataFrame, depth: DataFrame, place: DataFrame) -> DataFrame
     return flow(edges, place, depth)
 
 
-def descendants(edges: DataFrame, place: DataFrame) -> DataFrame:
-    """``(id, at, word, bits)``: the descendants of each node that has any."""
+def descendants(edges: DataFrame, place: DataFrame, height: DataFrame | None = None) -> DataFrame:
+    """``(id, at, word, bits)``: the descendants of each node that has any. ``height(id, depth)`` are the Kahn rounds of the reversed edges, where they are known."""
     back = materialize(reverse(edges).select("src", "dst"), "reach-back")
-    height = materialize(kahn_rounds(back), "reach-height")
-    out = flow(back, place, height)
-    for table in (back, height):
-        drop_table(table)
+    own = materialize(kahn_rounds(back), "reach-height") if height is None else None
+    out = flow(back, place, own if height is None else height)
+    for table in (back, own):
+        if table is not None:
+            drop_table(table)
     return out
 
 
