@@ -186,9 +186,10 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int, near: DataFr
         d = _differences(groups, pivots, segments, heavy).withColumn("x", F.col("n") + F.col("ps") - 2 * F.col("overlap")).withColumn("f", f)
         d = differences = materialize(d, "differences")
         # Of all pairs with f1 + f2 <= 0 in a group, each document of one also has such a pair with the document of the least f.
-        first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"))
+        # ``low`` is the least f of a group without its pivot, whose own links are all known here: no other partner has less.
+        first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"), F.min("f").alias("low"))
         first = pivots.join(first, "pivot").withColumn("q", F.least("q", F.struct(((F.col("pn") - F.col("ps")) * p - F.col("pn") * q).alias("f"), F.col("pivot").alias("id"))))
-        d = join_by_key(d, first.select("pivot", "q"), "pivot", "doc_id", heavy)
+        d = join_by_key(d, first.select("pivot", "q", "low"), "pivot", "doc_id", heavy)
         to_pivot = p * F.col("overlap") >= percent * (F.col("pn") + F.col("n"))
         to_first = (F.col("f") + F.col("q.f") <= 0) & (F.col("q.id") != F.col("doc_id"))
         d = d.withColumn("to", F.array_compact(F.array(F.when(to_pivot, F.col("pivot")), F.when(to_first, F.col("q.id")))))
@@ -198,18 +199,20 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int, near: DataFr
 
         # The common order within a group: elements of few documents first. Those that one document alone has find none, wherever they stand.
         d = d.select("*", F.xxhash64("pivot", "doc_id").alias("one")).join(label, "doc_id", "left").withColumn("label", F.coalesce("new", "label"))
-        each = d.select("one", "doc_id", F.explode(F.transform("elements", lambda e: F.xxhash64("pivot", e))).alias("key"))
+        # The least number of elements that X shares with any other X it links with.
+        widest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * q / p)
+        least = F.greatest(F.lit(1), F.col("x") - widest, F.ceil((F.col("f") + F.col("low")) / (2 * p))).cast("int")
+        d = d.withColumn("least", least)
+        able = d.filter(F.size("elements") >= F.col("least"))
+        each = elements = materialize(able.select("one", "doc_id", F.explode(F.transform("elements", lambda e: F.xxhash64("pivot", e))).alias("key")), "elements")
         counts = materialize(each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
         each = join_by_key(each, counts, "key", "doc_id", heavy_keys(counts, "key"))
         order = each.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("order"))
-        # The least number of elements that X shares with any other X it links with.
-        widest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * q / p)
-        least = F.greatest(F.lit(1), F.col("x") - widest, F.ceil((F.col("f") + F.col("q.f")) / (2 * p))).cast("int")
-        nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).withColumn("least", least).filter("least <= xs")
+        nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).filter("least <= xs")
         prefix = F.slice("order", 1, (F.col("xs") - F.col("least") + 1).cast("int"))
         rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs", "own").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own")
         rows = stored = materialize(rows, "buckets")
-        for table in (keys, live, groups, pivots, links, counts, differences):
+        for table in (keys, live, groups, pivots, links, elements, counts, differences):
             drop_table(table)
     for table in (keys, live, groups, pivots):
         drop_table(table)

@@ -6,6 +6,7 @@ import numpy as np
 
 from lemmaflow.llm import minmax
 from lemmaflow.llm.text import ascii_words, shingle_hashes
+from lemmaflow.plans.durable import materialize
 from tests.llm.test_llm import brute_components, frame, odd_docs, text
 
 TWO = "doc_id long, text string"
@@ -90,3 +91,29 @@ def test_both_ends_of_a_permutation_estimate_the_similarity():
         keys = minmax.band_keys(least, most)
         met += bool((keys[0] == keys[1]).any())
     assert np.abs(np.mean(hits, axis=0)).max() < 0.01 and met == pairs
+
+
+def test_copies_just_below_the_link_leave_few_rows(spark, monkeypatch):
+    """Copies that differ from their original by a little too much share only chance elements with each other: few of these go on to a second round, and elements grow with the copies."""
+    made = {}
+
+    def counting(df, name="stage", about_rows=None):
+        out = materialize(df, name, about_rows)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minmax.jaccard, "materialize", counting)
+    rng, totals = random.Random(5), []
+    base = [f"b{i}" for i in range(200)]
+    for copies in (100, 200):
+        made.clear()
+        rows = [(0, " ".join(base))]
+        for i in range(1, copies + 1):
+            w = list(base)
+            for j in rng.sample(range(1, 199, 2), 12):  # 24 of 199 bigrams go and 24 come: 175 of 223
+                w[j] = f"y{rng.randint(0, 60)}"
+            rows.append((i, " ".join(w)))
+        assert found(spark, rows, k=2, percent=80) == brute_components(rows, 2, 80)
+        assert made["buckets"] <= 8 * copies and made["elements"] <= 100 * copies
+        totals.append(made["elements"])
+    assert totals[1] <= 2.1 * totals[0]
