@@ -60,3 +60,22 @@ def test_motifs_equal_plain_ones_without_a_table_a_round(spark, tmp_path):
     assert judged == {(t, m): reason(t, m) for t, es in flows.items() for m in permutations(sorted(heads[t]), 3) if {m[:2], m[1:]} <= has[t]}
     assert {"ok", "missing_internal_edge", "intermediate_path_violation"} == set(judged.values())
     assert count() == tables
+
+
+def test_paths_are_judged_where_their_proof_is(spark):
+    """The same paths, counts and first witnesses as by joins; a pattern with more witnesses than samples, in one theorem and in several; no path is shuffled."""
+    flows = {f"p{i}": _flow(i, i % 2 == 0) for i in range(12)} | {None: [(0, 1, "goal"), (1, 2, "goal")]}
+    rows = [(t, a, b, f"h{a % 2}", None if b == 8 else f"h{b % 2}", k) for t, es in flows.items() for a, b, k in es]
+    flow = spark.createDataFrame(rows, "theorem string, src int, dst int, src_head string, dst_head string, kind string").repartition(3)
+    want = motifs.collapsible_paths(flow, motifs.paths(flow, 3))
+    plain = lambda df: sorted(map(repr, (r.asDict() for r in df.select("theorem", "members", "heads", "kinds", "reason").collect())))
+    assert plain(motifs.judged_paths(flow, 3)) == plain(want) and want.count() > 100
+    all_ = want.collect()
+    counts = {(r.heads, tuple(r.kinds), r.reason): (r.witnesses, r.support) for r in motifs.path_reasons(flow, 3).collect()}
+    assert counts == {k: (len(x), len(set(x))) for k in {(r.heads, tuple(r.kinds), r.reason) for r in all_} for x in [[r.theorem for r in all_ if (r.heads, tuple(r.kinds), r.reason) == k]]}
+    for samples in (1, 5):
+        some = lambda df, samples=samples: {(r.heads, tuple(r.kinds)): (r.sampled, r.good) for r in motifs.collapsible_majority(df, samples).collect()}
+        assert some(motifs.first_paths(flow, 3, samples)) == some(want)
+    assert motifs.first_paths(flow, 3, 1).count() < want.count() / 2
+    plan = motifs.path_reasons(flow, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
