@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from lemmaflow.operators import mining, proof, resolve
+from lemmaflow.plans.durable import materialize
 
 
 @pytest.mark.parametrize("support", [1, 4])
@@ -25,6 +26,19 @@ def test_frequent_sets_of_nothing(spark):
     assert mining.frequent_sets(spark.createDataFrame([], "theorem int, premise string"), 2).count() == 0
 
 
+def test_frequent_sets_of_equal_theorems(spark, monkeypatch):
+    """A hundred times the theorems, of the same sets, give no more occurrences; repeated rows count once, rows without a theorem or premise are only counted by themselves."""
+    made = []
+    monkeypatch.setattr(mining, "materialize", lambda df, name="stage": (lambda out: (made.append((name, out.count())), out)[1])(materialize(df, name)))
+    for times in (1, 100):
+        made.clear()
+        rows = [(t, p) for i in range(times) for t, items in ((2 * i, "abc"), (2 * i + 1, "bcd")) for p in items] * 2 + [(None, "a"), (None, "b"), (0, None)]
+        got = {tuple(x["items"]): x.support for x in mining.frequent_sets(spark.createDataFrame(rows, "theorem int, premise string"), 1).collect()}
+        want = Counter(s for items in ("abc", "bcd") for k in range(1, 6) for s in itertools.combinations(items, k) for _ in range(times))
+        assert got == want + Counter({("a",): 1, ("b",): 1, (None,): 1})
+        assert max(n for name, n in made if name == "occurrences") <= 12
+
+
 def test_probes(spark):
     r = random.Random(4)
     names = {".".join("".join(r.choice("abλ😀") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 3))) for _ in range(150)}
