@@ -153,10 +153,11 @@ def _(s, d):
     return models.top_k_retrieval_blocks(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
-@register("topk_retrieval_all", "with q as (select vec_id as query_id, embedding as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")
+@register("topk_retrieval_all", "with q as (select vec_id as query_id, embedding as qv from embeddings), s as (select query_id, vec_id as id, list_sum([qv[i]::double * embedding[i]::double for i in range(1, len(qv) + 1)]) as score from embeddings, q where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, round(score, 5) as score from r where rank <= 10")
 def _(s, d):
+    """Every row is a query."""
     e = v.table(s, d, "embeddings")
-    return models.top_k_retrieval_blocks(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return models.top_k_retrieval_blocks(e, e, "vec_id", "embedding", 10)
 
 
 @register("level_success_rates", "select idx as depth, count(*) as n, round(avg(case when head = 'purchase' then 1 else 0 end) * 100, 6) as success_percent from v_steps group by 1", v.STEPS)

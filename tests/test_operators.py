@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import __spark_entry__ as entry
+
 from lemmaflow.functions import candidates
 from lemmaflow.functions import text as t
 from lemmaflow.operators import components, cycles, features, graph, loops, mining, models, motifs, object_flow, proof, reports, resolve, stats
@@ -193,6 +195,18 @@ def test_retrieval_goes_through_all_queries(spark):
     assert {(r.query_id, r.rank, r.id) for r in got} == want and len(got) == len(want) == 36
 
 
+def test_every_vector_is_a_query(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(5)]) for i in range(1, 300)]  # many ties
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(models, "_AT_ONCE", 7)
+    monkeypatch.setattr(models, "_VECTORS_AT_ONCE", 40)
+    got = entry.queries()["topk_retrieval_all"](spark, str(tmp_path)).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, r + 1, i) for q, x in rows for r, (_, i) in enumerate(sorted((-dot(x, y), i) for i, y in rows if i != q)[:10])}
+    assert {(r.query_id, r.rank, r.id) for r in got} == want and len(got) == len(want) == 2990
+
+
 def test_retrieval_keeps_ties_in_order(spark):
     """Copies have equal scores to the last bit, so the smaller id comes first; candidates come from a matrix product in any case."""
     rng = random.Random(9)
