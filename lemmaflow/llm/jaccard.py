@@ -36,6 +36,8 @@ from .skew import heavy_keys, join_by_key
 from .text import ascii_words, shingle_hashes
 
 FRAGMENTS, SMALL_BUCKET, EXTRA_PERCENT, MAX_BROADCAST = 4, 32, 5, 2_000_000
+#: So many of the first elements of a difference must be others' too, for a difference that shares ``least`` with any it links with.
+EARLY = "1 + least div 4"
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("first", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
@@ -186,10 +188,9 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int, near: DataFr
         d = _differences(groups, pivots, segments, heavy).withColumn("x", F.col("n") + F.col("ps") - 2 * F.col("overlap")).withColumn("f", f)
         d = differences = materialize(d, "differences")
         # Of all pairs with f1 + f2 <= 0 in a group, each document of one also has such a pair with the document of the least f.
-        # ``low`` is the least f of a group without its pivot, whose own links are all known here: no other partner has less.
-        first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"), F.min("f").alias("low"))
+        first = d.groupBy("pivot").agg(F.min(F.struct("f", F.col("doc_id").alias("id"))).alias("q"))
         first = pivots.join(first, "pivot").withColumn("q", F.least("q", F.struct(((F.col("pn") - F.col("ps")) * p - F.col("pn") * q).alias("f"), F.col("pivot").alias("id"))))
-        d = join_by_key(d, first.select("pivot", "q", "low"), "pivot", "doc_id", heavy)
+        d = join_by_key(d, first.select("pivot", "q"), "pivot", "doc_id", heavy)
         to_pivot = p * F.col("overlap") >= percent * (F.col("pn") + F.col("n"))
         to_first = (F.col("f") + F.col("q.f") <= 0) & (F.col("q.id") != F.col("doc_id"))
         d = d.withColumn("to", F.array_compact(F.array(F.when(to_pivot, F.col("pivot")), F.when(to_first, F.col("q.id")))))
@@ -197,22 +198,34 @@ def link_rounds(rows: DataFrame, segments: DataFrame, percent: int, near: DataFr
         edges = connected_components(links.select(F.col("doc_id").alias("src"), F.col("to").alias("dst")).union(edges))
         label = edges.select(F.col("id").alias("doc_id"), F.col("component").alias("new"))
 
-        # The common order within a group: elements of few documents first. Those that one document alone has find none, wherever they stand.
-        d = d.select("*", F.xxhash64("pivot", "doc_id").alias("one")).join(label, "doc_id", "left").withColumn("label", F.coalesce("new", "label"))
+        # Documents of one component needn't meet again, and the pivot's own links are known. So the partners of a document have the least f of the group's other components at least, and a group of one component goes.
+        named = differences.select("pivot", "doc_id", "f", "label").join(label, "doc_id", "left").select("pivot", "doc_id", "f", F.coalesce("new", "label").alias("label"))
+        named = materialize(named, "named")
+        best = named.groupBy("pivot").agg(F.min(F.struct("f", "label")).alias("best"))
+        second = join_by_key(named, best, "pivot", "doc_id", heavy).filter("label <> best.label").groupBy("pivot").agg(F.min("f").alias("second"))
+        d = join_by_key(differences, best.join(second, "pivot"), "pivot", "doc_id", heavy).select("*", F.xxhash64("pivot", "doc_id").alias("one")).join(label, "doc_id", "left").withColumn("label", F.coalesce("new", "label"))
+        d = d.withColumn("low", F.when(F.col("label") == F.col("best.label"), F.col("second")).otherwise(F.col("best.f")))
         # The least number of elements that X shares with any other X it links with.
         widest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * q / p)
         least = F.greatest(F.lit(1), F.col("x") - widest, F.ceil((F.col("f") + F.col("low")) / (2 * p))).cast("int")
-        d = d.withColumn("least", least)
-        able = d.filter(F.size("elements") >= F.col("least"))
-        each = elements = materialize(able.select("one", "doc_id", F.explode(F.transform("elements", lambda e: F.xxhash64("pivot", e))).alias("key")), "elements")
+        d = d.withColumn("least", least).filter(F.size("elements") >= F.col("least")).withColumn("keys", F.sort_array(F.transform("elements", lambda e: F.xxhash64("pivot", e))))
+        able = stored_able = materialize(d.select("one", "doc_id", "label", "n", "s", "x", "own", "least", "keys"), "able")
+        # In the order of the hashes, X and one it links with share EARLY or more of their first elements, whatever the least number of the other one: EARLY rises slower than the least number.
+        first_keys = able.select("one", "doc_id", F.explode(F.slice("keys", 1, F.size("keys") - F.col("least") + F.expr(EARLY).cast("int"))).alias("key"))
+        first_keys = materialize(first_keys, "first-keys")
+        met = materialize(first_keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "met")
+        hits = join_by_key(first_keys, met, "key", "doc_id", heavy_keys(met, "key")).groupBy("one").agg(F.count("*").alias("hits"))
+        able = able.join(hits, "one").filter(F.col("hits") >= F.expr(EARLY)).drop("hits")
+        # The common order within a group: elements of few documents first. Those that one document alone has find none, wherever they stand.
+        each = elements = materialize(able.select("one", "doc_id", F.explode("keys").alias("key")), "elements")
         counts = materialize(each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
         each = join_by_key(each, counts, "key", "doc_id", heavy_keys(counts, "key"))
         order = each.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("order"))
-        nearer = d.drop("xs", "elements").join(order, "one").withColumn("xs", F.size("order")).filter("least <= xs")
+        nearer = able.drop("keys").join(order, "one").withColumn("xs", F.size("order")).filter("least <= xs")
         prefix = F.slice("order", 1, (F.col("xs") - F.col("least") + 1).cast("int"))
         rows = nearer.select(F.posexplode(prefix).alias("pos", "e"), "doc_id", "label", "n", "s", "x", "xs", "own").select("e.key", "doc_id", "label", "n", "s", "x", "xs", "pos", "own")
         rows = stored = materialize(rows, "buckets")
-        for table in (keys, live, groups, pivots, links, elements, counts, differences):
+        for table in (keys, live, groups, pivots, links, named, stored_able, first_keys, met, elements, counts, differences):
             drop_table(table)
     for table in (keys, live, groups, pivots):
         drop_table(table)

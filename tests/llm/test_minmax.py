@@ -117,3 +117,27 @@ def test_copies_just_below_the_link_leave_few_rows(spark, monkeypatch):
         assert made["buckets"] <= 8 * copies and made["elements"] <= 100 * copies
         totals.append(made["elements"])
     assert totals[1] <= 2.1 * totals[0]
+
+
+def test_connected_copies_leave_no_elements(spark, monkeypatch):
+    """What differs between copies that are connected by their original isn't listed again; texts that share a passage only are judged by the first of their elements."""
+    made = {}
+
+    def counting(df, name="stage", about_rows=None):
+        out = materialize(df, name, about_rows)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minmax.jaccard, "materialize", counting)
+    rng = random.Random(8)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(1, 199, 2), 0 if i == 0 else 5 if i % 30 else 14):  # 10 of 199 bigrams go and 10 come, or 28
+            w[j] = f"y{rng.randint(0, 60)}"
+        rows.append((i, " ".join(w)))
+    passage = [f"p{i}" for i in range(100)]
+    rows += [(1000 + i, " ".join(passage + [f"w{rng.randint(0, 5000)}" for _ in range(100)])) for i in range(150)]
+    assert found(spark, rows, k=2, percent=80) == brute_components(rows, 2, 80)
+    assert made["live"] > 300  # large buckets of both kinds
+    assert made["elements"] <= 10 * 300
