@@ -65,3 +65,12 @@ def test_distances_of_all_pairs(spark, graph):
     found = [h for s, hs in far if s in most for h in hs if h]
     r = loops.path_statistics(spark.createDataFrame(graph, "src long, dst long")).first()
     assert (r.mean_path, r.diameter, r.pairs) == (round(sum(found) / len(found), 6), max(found), len(found))
+
+
+def test_rounds_end_with_the_last_pair(spark, monkeypatch):
+    """Once all pairs of the component are met, nothing more is sent: as many rounds as the diameter."""
+    rounds, plain = [], masks.materialize
+    monkeypatch.setattr(masks, "materialize", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    r = loops.path_statistics(spark.createDataFrame([(i, i + 1) for i in range(4)] + [(10, 11)], "src long, dst long")).first()
+    assert (r.mean_path, r.diameter, r.pairs) == (2.0, 4, 20)
+    assert rounds.count("hops") == 4
